@@ -4,4 +4,5 @@ from supportlake.plans.registry import ORACLES, QUERIES  # noqa: F401
 from supportlake.plans import (  # noqa: F401
     text_queries,
     conversation_queries,
+    merge_queries,
 )
