@@ -85,7 +85,8 @@ def running(
 
 def dense_numbers(df: DataFrame, order: str, name: str, start: Column | None = None) -> DataFrame:
     """Number all rows 1..n in the order of a unique integer column, in parallel."""
-    out = running(df, [], order, {name: ("sum", F.lit(1).cast("bigint"))})
+    # Two levels of 2**20 cover order values up to 2**40 with bounded tasks.
+    out = running(df, [], order, {name: ("sum", F.lit(1).cast("bigint"))}, bits=20, levels=2)
     return out if start is None else out.withColumn(name, F.col(name) + start)
 
 

@@ -5,4 +5,8 @@ from supportlake.plans import (  # noqa: F401
     text_queries,
     conversation_queries,
     merge_queries,
+    retrieval_queries,
+    guard_queries,
+    evaluation_queries,
+    io_queries,
 )

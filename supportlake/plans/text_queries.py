@@ -58,7 +58,7 @@ def markdown_documents(spark: SparkSession, sf: str) -> DataFrame:
 
     def render(line, i):
         return (
-            F.when(i % 9 == 0, F.concat(F.substring(F.lit("######"), 1, (i / F.lit(9)).cast("int") % 4 + 1), F.lit(" "), F.substring(line, 1, 24)))
+            F.when(i % 9 == 0, F.concat(F.substring(F.lit("######"), 1, (i / F.lit(9)).cast("int") % 4 + 1), F.lit(" "), line))
             .when((i % 9).isin(3, 4, 5), F.concat(F.lit("| "), line, F.lit(" | x |")))
             .when(i % 27 == 16, F.lit("```"))
             .when(i % 27 == 20, F.lit("```"))
@@ -75,7 +75,7 @@ def markdown_documents(spark: SparkSession, sf: str) -> DataFrame:
       SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS ls FROM documents),
     lines AS (
       SELECT doc_id, i, CASE
-        WHEN i % 9 = 0 THEN substring('######', 1, CAST(i // 9 AS INTEGER) % 4 + 1) || ' ' || substring(ls[i + 1], 1, 24)
+        WHEN i % 9 = 0 THEN substring('######', 1, CAST(i // 9 AS INTEGER) % 4 + 1) || ' ' || ls[i + 1]
         WHEN i % 9 IN (3, 4, 5) THEN '| ' || ls[i + 1] || ' | x |'
         WHEN i % 27 IN (16, 20) THEN '```' ELSE ls[i + 1] END AS line
       FROM raw, LATERAL (SELECT unnest(range(len(ls))) AS i) r),
@@ -322,14 +322,14 @@ def txt_source_url(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "txt_expand_synonyms",
     """WITH q AS (SELECT item_id, text || CASE item_id % 3 WHEN 0 THEN ' 邮费' WHEN 1 THEN ' 退货 不开机' ELSE '' END AS raw,
-         substring(text, 1, 40) AS canonical FROM benchmark)
+         upper(text) AS canonical FROM benchmark)
        SELECT item_id, array_to_string(list_concat(CASE WHEN raw = canonical THEN [raw] ELSE [raw, canonical] END,
          CASE item_id % 3 WHEN 0 THEN ['邮费', '运费'] WHEN 1 THEN ['退东西', '退货', '不开机', '无法开机'] ELSE [] END), ' ') AS lexical FROM q""",
 )
 def txt_expand_synonyms(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("item_id") % 3
     raw = F.concat(F.col("text"), F.when(n == 0, " 邮费").when(n == 1, " 退货 不开机").otherwise(""))
-    items = read_input(spark, sf, "benchmark").select("item_id", raw.alias("raw"), F.substring("text", 1, 40).alias("canonical"))
+    items = read_input(spark, sf, "benchmark").select("item_id", raw.alias("raw"), F.upper("text").alias("canonical"))
     return items.select("item_id", qn.expand_synonyms("raw", "canonical").alias("lexical"))
 
 
