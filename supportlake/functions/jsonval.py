@@ -6,9 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Closes the wrapping list below; no JSON text of ours contains it.
+_END = "end-of-text-9f27"
+
+
 def parsed(raw: Column) -> Column:
-    """Variant of the text, NULL where it is not valid JSON."""
-    return F.try_parse_json(raw)
+    """Variant of the text, NULL where it is not exactly one valid JSON value.
+
+    Spark's parser stops after the first value and ignores what follows, so the
+    text is read as the first of two list elements and the second must be ours.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(f',"{_END}"]')))
+    closed = F.try_variant_get(listed, "$[1]", "string") == _END
+    return F.when(closed, F.try_variant_get(listed, "$[0]", "variant"))
 
 
 def is_object(raw: Column) -> Column:

@@ -395,7 +395,7 @@ def parse_expansions(raw: Column | str, fallback: Column | str) -> Column:
     raw, fallback = tx._c(raw), tx._c(fallback)
     listed = F.get_json_object(raw, "$.queries")
     # As raw JSON values, so that a number or a nested value is told from a string.
-    values = F.try_variant_get(F.try_parse_json(raw), "$.queries", "array<variant>")
+    values = js.value(raw, "$.queries", "array<variant>")
     texts = F.transform(values, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
     valid = (
         js.keys_are(raw, "queries") & js.is_object(raw) & listed.isNotNull() & texts.isNotNull()

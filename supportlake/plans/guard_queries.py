@@ -46,7 +46,7 @@ def generations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_GEN = ad.with_cte("messages") + """, g AS (SELECT id, id % 12 AS n, regexp_replace(substring(content, 1, 50), '[\\[\\]]', '', 'g') AS t FROM messages WHERE role = 'assistant'),
+_GEN = ad.with_cte("messages") + """, g AS (SELECT id, id % 12 AS n, regexp_replace(content, '[\\[\\]]', '', 'g') AS t FROM messages WHERE role = 'assistant'),
 p AS (SELECT *, CASE n WHEN 6 THEN 'structured_output_parse_error' WHEN 7 THEN 'generation_result_schema_invalid' WHEN 9 THEN 'generation_result_schema_invalid' WHEN 11 THEN 'structured_output_missing' END AS failure,
   CASE WHEN n IN (0, 1, 2, 3, 8, 10) THEN true WHEN n IN (4, 5) THEN false END AS sufficient,
   CASE n WHEN 0 THEN t || ' [1][2]' WHEN 1 THEN t || ' [1]' WHEN 2 THEN t || ' [9]' WHEN 3 THEN t WHEN 4 THEN '' WHEN 5 THEN '' WHEN 8 THEN 'a [2] [2]' WHEN 10 THEN ' ' END AS answer,

@@ -163,7 +163,7 @@ def str_extract(spark: SparkSession, sf: str) -> DataFrame:
     )
     stream = split_stream(spark, rows, "extract-input", order="candidate_id")
     jobs.wait(jobs.stream_extract(stream, f"{base}/staging", f"{base}/promoted", f"{base}/checkpoint", redact=False))
-    return spark.read.schema("source_key string").parquet(f"{base}/promoted")
+    return spark.read.parquet(f"{base}/promoted").select("source_key")
 
 
 @query(
