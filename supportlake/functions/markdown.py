@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from supportlake.functions.text import _c, strip
+from supportlake.functions.text import _c, bind, strip
 
 LINE_BREAK = "\\r\\n|[\\n\\x0b\\f\\r\\x1c-\\x1e\\x85\u2028\u2029]"
 
@@ -37,11 +37,6 @@ _PARTS = "array<struct<path:array<string>,kind:string,answer:string,ordinal:bigi
 STRINGS = "array<string>"
 
 
-def bind(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def empty(kind: str) -> Column:
     return F.array().cast(kind)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from supportlake.functions.text import _c, strip
+from supportlake.functions.text import _c, bind, strip
 
 # Patterns of identifiers, quantities, clauses and negation.
 IDENTIFIER = r"[A-Za-z][A-Za-z0-9_.-]*"
@@ -40,15 +40,18 @@ REASON_UNAVAILABLE = "改写服务或输出不可用，使用原话"
 
 
 def _mask_inside(text: Column, span: str, digits: str, mask: str) -> Column:
-    """Overwrite ``digits`` that lie inside matches of ``span``; lengths are kept."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?U)(?:{span})|[\s\S]"), F.lit(0))
-    return F.array_join(
-        F.transform(
-            pieces,
-            lambda p: F.when(F.length(p) > 1, F.regexp_replace(p, digits, mask)).otherwise(p),
-        ),
-        "",
-    )
+    """Overwrite ``digits`` that lie inside matches of ``span``; lengths are kept.
+
+    The text is cut into span matches and the stretches between them.
+    """
+    whole = rf"(?U)\A(?:{span})\z"
+
+    def mask_text(t: Column) -> Column:
+        pieces = F.regexp_extract_all(t, F.lit(rf"(?U)(?:{span})|[\s\S]+?(?=(?:{span})|\z)"), F.lit(0))
+        masked = F.transform(pieces, lambda p: F.when(p.rlike(whole), F.regexp_replace(p, digits, mask)).otherwise(p))
+        return F.when(t.rlike(digits), F.array_join(masked, "")).otherwise(t)
+
+    return bind(text, mask_text)
 
 
 def identifier_signature(col: Column | str) -> Column:
@@ -91,7 +94,8 @@ def unknown_unit_clauses(col: Column | str) -> Column:
         units = F.regexp_extract_all(pair["masked"], F.lit(tail), F.lit(4))
         following = F.regexp_extract_all(pair["masked"], F.lit(tail), F.lit(5))
         return F.exists(F.arrays_zip(units.alias("u"), following.alias("f")), lambda m: (m["u"] == "") & (m["f"] != ""))
-    return F.transform(F.filter(both, locked), lambda pair: pair["shown"])
+    numbered = F.filter(both, lambda pair: pair["masked"].rlike(f"(?U){NUMBER}"))
+    return F.transform(F.filter(numbered, locked), lambda pair: pair["shown"])
 
 
 def negative_clauses(col: Column | str) -> Column:
@@ -100,19 +104,18 @@ def negative_clauses(col: Column | str) -> Column:
 
 def accept_rewrite(raw: Column | str, candidate: Column | str) -> dict[str, Column]:
     """Columns ``canonical`` and ``downgrade_reason`` for a proposed rewrite."""
-    raw, candidate = _c(raw), strip(candidate)
-    kept = candidate != ""
-    for signature in (identifier_signature, quantity_signature, unknown_unit_clauses, negative_clauses):
-        kept = kept & (signature(raw) == signature(candidate))
-    reason = (
-        F.when(candidate.isNull(), F.lit(REASON_UNAVAILABLE))
-        .when(kept, F.lit(""))
-        .otherwise(F.lit(REASON_NOT_PRESERVED))
-    )
-    return {
-        "canonical": F.when(candidate.isNotNull() & kept, candidate).otherwise(strip(raw)),
-        "downgrade_reason": reason,
-    }
+    raw = _c(raw)
+
+    def same(c: Column) -> Column:
+        kept = c != ""
+        for signature in (identifier_signature, quantity_signature, unknown_unit_clauses, negative_clauses):
+            kept = kept & (signature(raw) == signature(c))
+        # NULL: no rewrite arrived; empty: refused.
+        return F.when(c.isNull(), F.lit(None).cast("string")).when(kept, c).otherwise(F.lit(""))
+
+    accepted = bind(strip(candidate), same)
+    reason = F.when(accepted.isNull(), F.lit(REASON_UNAVAILABLE)).when(accepted == "", F.lit(REASON_NOT_PRESERVED)).otherwise(F.lit(""))
+    return {"canonical": F.when(F.coalesce(accepted, F.lit("")) != "", accepted).otherwise(strip(raw)), "downgrade_reason": reason}
 
 
 def expand_synonyms(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supportlake.functions import markdown as md
+from supportlake.functions.text import bind
 
 
 def explode_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -50,7 +51,7 @@ def chunk_documents(docs: DataFrame, max_chars: int = 1200, overlap: int = 200)
     parts = md.numbered_parts(md.segments("text"), max_chars, overlap)
     # The outer explode keeps the optimizer from evaluating the fold a second
     # time as an inferred "array is not empty" filter.
-    rows = docs.select("source", F.posexplode_outer(md.bind(drafts(parts), linked)).alias("position", "item"))
+    rows = docs.select("source", F.posexplode_outer(bind(drafts(parts), linked)).alias("position", "item"))
     return rows.filter(F.col("position").isNotNull()).select(
         "source", F.col("position").cast("bigint").alias("position"),
         "item.draft.*", "item.previous_source_key", "item.next_source_key",

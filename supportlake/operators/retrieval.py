@@ -13,6 +13,7 @@ from supportlake.functions import text as tx
 from supportlake.functions.lexical import tokenize
 from supportlake.operators.scan import running
 from supportlake.operators.topk import rank_hits, topk
+from supportlake.session import materialize
 
 # Candidate limits, fusion constant, and the policy scopes.
 LEG_LIMIT = 50
@@ -121,16 +122,20 @@ def bm25_topk(
     ).groupBy("term").agg(F.count("*").alias("df"))
     stats = bm25_stats(index).first()
     n_docs, avg_len = stats["n_docs"], stats["avg_len"] or 1.0
-    weighted = terms.join(used, "term").select(
-        "query_id", "term", F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
-    )
+    idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    # Written once: its size is checked before it is read.
+    weighted = materialize(terms.join(used, "term").select("query_id", "term", idf.alias("idf")), "query-terms")
 
     def pack(rows: pa.Table) -> dict:
         query_ids, query_pos = np.unique(rows.column("query_id").to_numpy(), return_inverse=True)
         encoded = rows.column("term").combine_chunks().dictionary_encode()
-        weights = np.zeros((len(encoded.dictionary), len(query_ids)))
-        weights[encoded.indices.to_numpy(), query_pos] = rows.column("idf").to_numpy()
-        return {"query_ids": query_ids, "terms": encoded.dictionary, "weights": weights}
+        codes = encoded.indices.to_numpy()
+        by_term = np.argsort(codes, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(encoded.dictionary)))])
+        return {
+            "query_ids": query_ids, "terms": encoded.dictionary, "starts": starts.astype(np.int64),
+            "owners": query_pos[by_term].astype(np.int64), "idf": rows.column("idf").to_numpy()[by_term],
+        }
 
     def score(rows: pa.Table, packed: dict) -> np.ndarray:
         import pyarrow.compute as pc
@@ -145,12 +150,21 @@ def bm25_topk(
         row, term = cell // max(n_terms, 1), cell % max(n_terms, 1)
         length = rows.column("doc_len").to_numpy()
         part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / avg_len))
-        matrix = np.zeros((len(packed["query_ids"]), n_rows))
-        for start in range(0, n_rows, 512):
-            inside = (row >= start) & (row < start + 512)
-            dense = np.zeros((min(512, n_rows - start), n_terms))
-            dense[row[inside] - start, term[inside]] = part[inside]
-            matrix[:, start : start + 512] = packed["weights"].T @ dense.T
+        # A posting adds to exactly the queries that hold its term; postings are
+        # taken in portions whose additions fit a bounded buffer.
+        first, stop = packed["starts"][term], packed["starts"][term + 1]
+        reach = stop - first
+        portion = np.cumsum(reach) // 2_000_000
+        n_queries = len(packed["query_ids"])
+        matrix = np.zeros(n_queries * n_rows)
+        for number in range(int(portion[-1]) + 1 if len(portion) else 0):
+            low, high = np.searchsorted(portion, [number, number + 1])
+            f, r = first[low:high], reach[low:high]
+            entry = np.repeat(f - (np.cumsum(r) - r), r) + np.arange(r.sum())
+            flat = packed["owners"][entry] * n_rows + np.repeat(row[low:high], r)
+            added = packed["idf"][entry] * np.repeat(part[low:high], r)
+            matrix += np.bincount(flat, weights=added, minlength=len(matrix))
+        matrix = matrix.reshape(n_queries, n_rows)
         return np.where(matrix > 0, matrix, -np.inf)
 
     return topk(weighted, index.select("chunk_id", "tokens", "doc_len"), k, pack, score, **options)
@@ -273,30 +287,42 @@ def rerank(candidates: DataFrame, scores: DataFrame, top_n: int = FINAL_LIMIT) -
     return rows.unionByName(failed, allowMissingColumns=True)
 
 
+def search_legs(queries: DataFrame, chunks: DataFrame, dense: bool = True, lexical: bool = True) -> dict[str, DataFrame]:
+    """Both ranked legs over the active chunks, each written once for all its uses.
+
+    Queries: query_id, embedding, lexical. Chunks: id, embedding, embedding_text.
+    """
+    searched = chunks.filter("is_active").select(F.col("id").alias("chunk_id"), "embedding", F.col("embedding_text").alias("text"))
+    legs = {}
+    if dense:
+        with_vector = searched.filter(F.col("embedding").isNotNull())
+        legs["dense"] = materialize(dense_topk(queries, with_vector), "dense-leg")
+    if lexical:
+        index = materialize(lexical_index(searched), "lexical-index")
+        asked = queries.select("query_id", F.col("lexical").alias("text"))
+        legs["bm25"] = materialize(bm25_topk(asked, index), "lexical-leg")
+    return legs
+
+
 def retrieve(
     queries: DataFrame, chunks: DataFrame, sync: DataFrame, strategy: str, scores: DataFrame | None = None,
-    limit: int = HYBRID_LIMIT,
+    limit: int = HYBRID_LIMIT, legs: dict[str, DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(candidates, final) of one strategy for a whole query table.
 
-    Queries: query_id, embedding, lexical. Chunks need embedding, embedding_text
-    and the stored fields; only synchronised rows are searched.
+    Candidates are written once: an external model scores them, and rerank
+    joins those scores back. Pass ``legs`` to share the searches of strategies.
     """
     if strategy not in STRATEGIES:
         raise ValueError("unknown strategy")
-    searched = chunks.filter("is_active").select(F.col("id").alias("chunk_id"), "embedding", F.col("embedding_text").alias("text"), "content_hash")
-    legs = []
-    if strategy != "bm25":
-        legs.append(dense_topk(queries, searched.filter(F.col("embedding").isNotNull())))
-    if strategy != "dense":
-        lexical = queries.select("query_id", F.col("lexical").alias("text"))
-        legs.append(bm25_topk(lexical, lexical_index(searched)))
-    hits = rrf_fuse(legs, limit) if len(legs) == 2 else legs[0]
-    hashed = hits.join(searched.select("chunk_id", "content_hash"), "chunk_id")
-    candidates = hydrate(hashed, chunks, sync)
+    if strategy == "hybrid_rerank" and scores is None:
+        raise ValueError("hybrid_rerank needs a score table")
+    if legs is None:
+        legs = search_legs(queries, chunks, strategy != "bm25", strategy != "dense")
+    hits = legs[strategy] if strategy in legs else rrf_fuse([legs["dense"], legs["bm25"]], limit)
+    hashes = chunks.filter("is_active").select(F.col("id").alias("chunk_id"), "content_hash")
+    candidates = materialize(hydrate(hits.join(hashes, "chunk_id"), chunks, sync), "candidates")
     if strategy == "hybrid_rerank":
-        if scores is None:
-            raise ValueError("hybrid_rerank needs a score table")
         return candidates, rerank(candidates, scores)
     return candidates, candidates.filter(F.col("n") <= FINAL_LIMIT)
 

@@ -95,8 +95,9 @@ def first_per_key(df: DataFrame, keys: list[str], order: str, *, last: bool = Fa
 
     Only keys and the order value enter the aggregation, which is combined
     before the shuffle, so a key that holds most rows costs one row per task.
-    The payload is picked up afterwards by a join on the unique order value.
+    The payload is picked up afterwards by a join on the unique order value;
+    that side drops the keys, so an expensive key is computed once.
     """
     pick = F.max(order) if last else F.min(order)
-    winners = df.groupBy(*keys).agg(pick.alias(order)).select(order)
-    return df.join(winners, order, "left_semi")
+    winners = df.groupBy(*keys).agg(pick.alias(order))
+    return df.drop(*keys).join(winners, order).select(*df.columns)

@@ -67,10 +67,13 @@ class _Best:
 
 
 def _best_of(tables: Iterator[pa.Table], packed: dict, score: Score, k: int) -> pa.RecordBatch:
-    best = _Best(k, len(packed["query_ids"]))
+    n_queries = len(packed["query_ids"])
+    best = _Best(k, n_queries)
+    # The score matrix of a step stays at a few million cells for any query set.
+    step = min(4096, max(64, 4_000_000 // max(n_queries, 1)))
     for table in tables:
-        for start in range(0, table.num_rows, 4096):
-            part = table.slice(start, 4096)
+        for start in range(0, table.num_rows, step):
+            part = table.slice(start, step)
             matrix = np.round(score(part, packed), SCORE_DIGITS)
             best.add(part.column("chunk_id").to_numpy(), matrix)
     return best.batch(packed["query_ids"])

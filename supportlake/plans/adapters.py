@@ -5,10 +5,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supportlake.sources.tables import read_input
+from supportlake.session import run_dir
+from supportlake.sources.tables import read_input, spread
 
 # Message ids leave room for a billion turns per conversation.
 TURNS = 1_000_000_000
@@ -58,6 +61,28 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return read_input(spark, sf, "documents")
 
 
+def documents_spread(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents for work that is heavy per text."""
+    return spread(documents(spark, sf), "doc_id")
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table that stands for a stored one: written once per application.
+
+    Merges and searches start from tables that exist. Written to the shared
+    folder, they are read by every step instead of being derived again.
+    """
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        path = run_dir(spark, name)
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def content_type_of(source: Column) -> Column:
     """Three content types over the document sources."""
     number = F.regexp_extract(source, r"(\d+)", 1).cast("int") % 3
@@ -66,7 +91,7 @@ def content_type_of(source: Column) -> Column:
 
 def chunk_drafts(spark: SparkSession, sf: str) -> DataFrame:
     """One draft per document: the source is its category, neighbours share it."""
-    docs = documents(spark, sf)
+    docs = documents_spread(spark, sf)
     name = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
     return docs.select(
         "doc_id", "lang", F.concat(F.lit("doc:"), name, F.lit(":0")).alias("source_key"),

@@ -10,6 +10,7 @@ from supportlake.operators import context as cx
 from supportlake.operators import conversations as cv
 from supportlake.plans import adapters as ad
 from supportlake.plans.registry import query
+from supportlake.session import materialize
 from supportlake.plans.text_queries import FINGERPRINT_SQL, MESSAGE_TOKENS_SQL, TOKENS_SQL
 
 _TURNS = ad.with_cte("messages", "cursors", "user_turns")
@@ -109,7 +110,7 @@ def cnv_validate_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 def _doc_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as candidates: exact copies meet on the same source message."""
-    docs = ad.documents(spark, sf)
+    docs = ad.documents_spread(spark, sf)
     return docs.select(
         F.col("doc_id").alias("candidate_id"), F.lit("copies").alias("category"), F.array(F.lit("q")).alias("questions"),
         F.col("text").alias("answer"), (F.col("doc_id") % 2).alias("source_user_message_id"),
@@ -136,7 +137,9 @@ def cnv_stage_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _staging(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = _doc_candidates(spark, sf).withColumn("fingerprint", tx.fingerprint("category", "questions", "answer"))
+    rows = ad.stored(spark, sf, "staging", lambda: _doc_candidates(spark, sf).withColumn(
+        "fingerprint", tx.fingerprint("category", "questions", "answer")
+    ))
     promoted = F.when(F.col("candidate_id") % 7 == 3, F.lit("2024-01-01"))
     staging = rows.select(F.col("candidate_id").alias("id"), "category", "questions", "answer", "fingerprint", promoted.alias("promoted_at"))
     chunks = rows.filter(F.col("candidate_id") % 9 == 0).select(
@@ -167,7 +170,7 @@ def cnv_promotion_counts(spark: SparkSession, sf: str) -> DataFrame:
         (SELECT doc_id, {FINGERPRINT_SQL.format("text")} AS fp FROM documents) GROUP BY fp""",
 )
 def cnv_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return cv.exact_dedup(ad.documents(spark, sf), "text", "doc_id").select("doc_id", "fingerprint")
+    return cv.exact_dedup(ad.documents_spread(spark, sf), "text", "doc_id").select("doc_id", "fingerprint")
 
 
 @query(
@@ -234,7 +237,8 @@ def ctx_turn_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _layer1(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    turns = cx.turn_groups(ad.messages(spark, sf))
+    # Grouped once and read by every later layer.
+    turns = materialize(cx.turn_groups(ad.messages(spark, sf)), "turns")
     return turns, cx.layer1(turns, ad.conversations(spark, sf), BUDGET)
 
 

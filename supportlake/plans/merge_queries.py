@@ -14,7 +14,11 @@ from supportlake.sources.tables import read_input
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored chunk table: the even documents as they were before the import."""
+    """Stored chunk table: documents as they were before the import."""
+    return ad.stored(spark, sf, "chunks", lambda: _old_chunks(spark, sf))
+
+
+def _old_chunks(spark: SparkSession, sf: str) -> DataFrame:
     drafts = ad.chunk_drafts(spark, sf).filter("doc_id % 5 <> 4")
     n = F.col("doc_id")
     text = F.when(n % 5 == 1, F.concat("answer", F.lit("!"))).when(n % 5 == 2, F.concat("answer", F.lit(" old"))).otherwise(F.col("answer"))

@@ -9,6 +9,7 @@ from supportlake.functions import text as tx
 from supportlake.operators import retrieval as rt
 from supportlake.plans import adapters as ad
 from supportlake.plans.registry import query
+from supportlake.session import materialize
 from supportlake.sources.tables import read_input
 
 
@@ -55,10 +56,14 @@ def ret_tokenize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf: str) -> DataFrame:
-    docs = ad.documents(spark, sf)
+    docs = ad.documents_spread(spark, sf)
     return rt.lexical_index(docs.select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
+def _stored_index(spark: SparkSession, sf: str) -> DataFrame:
+    return ad.stored(spark, sf, "lexical-index", lambda: _index(spark, sf))
+
+
 _POSTINGS = f"""{_TOKENS},
 post AS (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM docs_tok) GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
@@ -94,7 +99,7 @@ def _benchmark(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ret_bm25_topk", f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm25_all WHERE rank <= 10")
 def ret_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    hits = rt.bm25_topk(_benchmark(spark, sf), _index(spark, sf), 10)
+    hits = rt.bm25_topk(_benchmark(spark, sf), _stored_index(spark, sf), 10)
     return hits.withColumn("score", F.round("score", 6))
 
 
@@ -159,6 +164,10 @@ fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 
 def _stored(spark: SparkSession, sf: str) -> DataFrame:
     """Chunk table whose texts are documents and whose vectors are the corpus vectors."""
+    return ad.stored(spark, sf, "searched-chunks", lambda: _searched(spark, sf))
+
+
+def _searched(spark: SparkSession, sf: str) -> DataFrame:
     drafts = ad.chunk_drafts(spark, sf)
     vectors = corpus_vectors(spark, sf).withColumnRenamed("chunk_id", "doc_id")
     n = F.col("doc_id")
@@ -226,12 +235,14 @@ def ret_retrieve_strategies(spark: SparkSession, sf: str) -> DataFrame:
     """All four strategies over the whole query table."""
     stored = _stored(spark, sf)
     sync, queries, out = _sync(stored), _text_queries(spark, sf), None
+    legs = rt.search_legs(queries, stored)
     for strategy in rt.STRATEGIES:
         base = "hybrid" if strategy == "hybrid_rerank" else strategy
-        candidates, final = rt.retrieve(queries, stored, sync, base)
+        candidates, final = rt.retrieve(queries, stored, sync, base, legs=legs)
         if strategy == "hybrid_rerank":
             final = rt.rerank(candidates, _scores(candidates))
         part = final.select(F.lit(strategy).alias("strategy"), "query_id", "chunk_id", "n", F.round("score", 6).alias("score"))
+        part = materialize(part, "strategy")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -23,7 +23,7 @@ from supportlake.sources.tables import read_input
             LATERAL (SELECT unnest(range(len(lines))) AS i) r""",
 )
 def chk_explode_lines(spark: SparkSession, sf: str) -> DataFrame:
-    rows = chunking.explode_lines(ad.documents(spark, sf).select("doc_id", "text"))
+    rows = chunking.explode_lines(ad.documents_spread(spark, sf).select("doc_id", "text"))
     return rows.withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
@@ -36,7 +36,7 @@ def chk_explode_lines(spark: SparkSession, sf: str) -> DataFrame:
               sha256(array_to_string(s, '|')) AS sentences_sha FROM s""",
 )
 def chk_split_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    docs = ad.documents(spark, sf).select("doc_id", md.split_sentences("text").alias("s"))
+    docs = ad.documents_spread(spark, sf).select("doc_id", md.split_sentences("text").alias("s"))
     return docs.select(
         "doc_id", F.size("s").cast("bigint").alias("n_sentences"),
         F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)).cast("bigint").alias("longest"),
@@ -46,7 +46,7 @@ def chk_split_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("chk_pack_sentences")
 def chk_pack_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    docs = ad.documents(spark, sf).select(
+    docs = ad.documents_spread(spark, sf).select(
         "doc_id", F.posexplode_outer(md.pack_sentences(md.split_sentences("text"), 1200, 200)).alias("part_no", "part")
     )
     return docs.filter(F.col("part_no").isNotNull())
@@ -65,7 +65,7 @@ def markdown_documents(spark: SparkSession, sf: str) -> DataFrame:
             .otherwise(line)
         )
 
-    docs = ad.documents(spark, sf)
+    docs = ad.documents_spread(spark, sf)
     return docs.select("doc_id", "source", F.array_join(F.transform(lines, render), "\n").alias("text"))
 
 
@@ -254,7 +254,7 @@ def txt_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("txt_redact_pii")
 def txt_redact_pii(spark: SparkSession, sf: str) -> DataFrame:
-    return ad.documents(spark, sf).select("doc_id", tx.redact_pii("text").alias("redacted"))
+    return ad.documents_spread(spark, sf).select("doc_id", tx.redact_pii("text").alias("redacted"))
 
 
 @query("txt_redact_messages")
@@ -265,7 +265,7 @@ def txt_redact_messages(spark: SparkSession, sf: str) -> DataFrame:
 @query("txt_count_pii")
 def txt_count_pii(spark: SparkSession, sf: str) -> DataFrame:
     counts = tx.pii_counts("text")
-    per_doc = ad.documents(spark, sf).select("source", *[c.alias(n) for n, c in counts.items()])
+    per_doc = ad.documents_spread(spark, sf).select("source", *[c.alias(n) for n, c in counts.items()])
     return per_doc.groupBy("source").agg(*[F.sum(n).alias(n) for n in counts])
 
 
@@ -275,7 +275,7 @@ def txt_count_pii(spark: SparkSession, sf: str) -> DataFrame:
        FROM documents GROUP BY source""",
 )
 def txt_count_email(spark: SparkSession, sf: str) -> DataFrame:
-    per_doc = ad.documents(spark, sf).select("source", tx.count_matches("text", tx.PII_PATTERNS[1][1]).alias("n"))
+    per_doc = ad.documents_spread(spark, sf).select("source", tx.count_matches("text", tx.PII_PATTERNS[1][1]).alias("n"))
     return per_doc.groupBy("source").agg(F.sum("n").alias("n_emails"))
 
 
@@ -339,7 +339,7 @@ def txt_expand_synonyms(spark: SparkSession, sf: str) -> DataFrame:
        FROM (SELECT doc_id, list_distinct(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_.-]*')) AS s FROM documents)""",
 )
 def txt_identifier_signature(spark: SparkSession, sf: str) -> DataFrame:
-    docs = ad.documents(spark, sf).select("doc_id", qn.identifier_signature("text").alias("s"))
+    docs = ad.documents_spread(spark, sf).select("doc_id", qn.identifier_signature("text").alias("s"))
     return docs.select(
         "doc_id", F.size("s").cast("bigint").alias("n_identifiers"),
         F.sha2(F.array_join(F.array_sort("s"), "|"), 256).alias("signature_sha"),

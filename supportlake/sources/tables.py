@@ -91,3 +91,12 @@ def read_input(spark: SparkSession, folder: str, name: str) -> DataFrame:
     path = f"{folder}/{name}.parquet"
     reader = spark.read.schema(INPUT_SCHEMAS[name]) if name in INPUT_SCHEMAS else spark.read
     return reader.parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table of few files over the cores before heavy per-row work.
+
+    A table of many files is already spread by its scan and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
