@@ -65,11 +65,14 @@ def _outside_identifiers(text: Column) -> Column:
 def quantity_signature(col: Column | str) -> Column:
     """Quantities in order: those with a unit, currency or digits, then marked numbers."""
     text = _c(col)
-    masked = _outside_identifiers(text)
-    group = [F.regexp_extract_all(masked, F.lit(QUANTITY), F.lit(i)) for i in range(1, 5)]
-    found = F.arrays_zip(*[g.alias(n) for g, n in zip(group, ("currency", "sign", "number", "unit"))])
+    matches = F.regexp_extract_all(_outside_identifiers(text), F.lit(QUANTITY), F.lit(0))
+
+    def parts(match: Column) -> Column:
+        names = ("currency", "sign", "number", "unit")
+        return F.struct(*[F.regexp_extract(match, QUANTITY, i).alias(n) for i, n in enumerate(names, 1)])
+
     kept = F.filter(
-        found,
+        F.transform(matches, parts),
         lambda q: (q["unit"] != "") | (q["currency"] != "") | q["number"].rlike(r"(?U)\d|点"),
     )
     plain = F.transform(kept, lambda q: F.concat(q["currency"], q["sign"], q["number"], q["unit"]))

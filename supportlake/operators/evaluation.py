@@ -312,15 +312,18 @@ def validate_replay(lines: DataFrame, raw: str = "value", row_id: str = "row_num
     keys = F.json_object_keys(text)
     has_all = F.size(F.array_except(F.array(*map(F.lit, REPLAY_FIELDS)), F.coalesce(keys, F.array().cast("array<string>")))) == 0
 
-    def kind(field: str, pattern: str) -> Column:
-        return F.coalesce(js.kind(text, f"$.{field}").rlike(pattern), F.lit(False))
+    def problem(v: Column) -> Column:
+        def kind(field: str, pattern: str) -> Column:
+            return F.coalesce(js.kind(v, f"$.{field}").rlike(pattern), F.lit(False))
+
+        typed = (
+            kind("answer", "^STRING$") & kind("citations", "^ARRAY") & kind("required_facts", "^ARRAY") & kind("metrics", "^OBJECT")
+            & kind("refused", "^BOOLEAN$") & kind("should_refuse", "^BOOLEAN$")
+        )
+        return F.when(v.isNull(), "invalid_json").when(~(js.is_object(v) & has_all), "missing_fields").when(~typed, "invalid_types")
 
-    typed = (
-        kind("answer", "^STRING$") & kind("citations", "^ARRAY") & kind("required_facts", "^ARRAY") & kind("metrics", "^OBJECT")
-        & kind("refused", "^BOOLEAN$") & kind("should_refuse", "^BOOLEAN$")
-    )
     rows = lines.filter(~tx.is_blank(text)).withColumns({
-        "problem": F.when(js.parsed(text).isNull(), "invalid_json").when(~(js.is_object(text) & has_all), "missing_fields").when(~typed, "invalid_types"),
+        "problem": js.read_object(text, problem),
         "eval_id": F.get_json_object(text, "$.eval_id"), "strategy": F.get_json_object(text, "$.strategy"),
     })
     counts = rows.groupBy("eval_id", "strategy").agg(F.count("*").alias("__n"))

@@ -29,29 +29,32 @@ def parse_generation(raw: Column | str) -> dict[str, Column]:
     Booleans and numbers are read leniently ("yes", 1, "2"), text is not.
     """
     raw = tx._c(raw)
-    word = F.lower(js.value(raw, "$.sufficient", "string"))
-    scalar = js.kind(raw, "$.sufficient").rlike("^(BOOLEAN|STRING|BIGINT|DECIMAL|DOUBLE)")
-    sufficient = F.when(scalar & word.isin(*TRUE_WORDS), True).when(scalar & word.isin(*FALSE_WORDS), False)
-    numbers = F.transform(
-        js.value(raw, "$.cited_numbers", "array<variant>"),
-        lambda v: F.regexp_extract(F.try_variant_get(v, "$", "string"), r"^\s*([+-]?\d+)(?:\.0*)?\s*$", 1).try_cast("bigint"),
-    )
-    typed = (
-        sufficient.isNotNull() & js.is_string(raw, "$.reason") & js.is_string(raw, "$.answer")
-        & numbers.isNotNull() & ~F.exists(numbers, lambda n: n.isNull())
-    )
-    failure = (
-        F.when(raw.isNull() | tx.is_blank(raw), "structured_output_missing")
-        .when(js.parsed(raw).isNull(), "structured_output_parse_error")
-        .when(~F.coalesce(js.is_object(raw) & typed, F.lit(False)), "generation_result_schema_invalid")
-    )
-    return {
-        "failure": failure,
-        "sufficient": F.when(failure.isNull(), sufficient),
-        "reason": F.when(failure.isNull(), js.value(raw, "$.reason", "string")),
-        "answer": F.when(failure.isNull(), js.value(raw, "$.answer", "string")),
-        "cited_numbers": F.when(failure.isNull(), numbers),
-    }
+
+    def build(v: Column) -> Column:
+        word = F.lower(js.value(v, "$.sufficient", "string"))
+        scalar = js.kind(v, "$.sufficient").rlike("^(BOOLEAN|STRING|BIGINT|DECIMAL|DOUBLE)")
+        sufficient = F.when(scalar & word.isin(*TRUE_WORDS), True).when(scalar & word.isin(*FALSE_WORDS), False)
+        numbers = F.transform(
+            js.value(v, "$.cited_numbers", "array<variant>"),
+            lambda n: F.regexp_extract(F.try_variant_get(n, "$", "string"), r"^\s*([+-]?\d+)(?:\.0*)?\s*$", 1).try_cast("bigint"),
+        )
+        typed = (
+            js.is_object(v) & sufficient.isNotNull() & js.is_string(v, "$.reason") & js.is_string(v, "$.answer")
+            & numbers.isNotNull() & ~F.exists(numbers, lambda n: n.isNull())
+        )
+        failure = (
+            F.when(raw.isNull() | tx.is_blank(raw), "structured_output_missing")
+            .when(v.isNull(), "structured_output_parse_error")
+            .when(~F.coalesce(typed, F.lit(False)), "generation_result_schema_invalid")
+        )
+        return F.struct(
+            failure.alias("failure"), sufficient.alias("sufficient"), js.value(v, "$.reason", "string").alias("reason"),
+            js.value(v, "$.answer", "string").alias("answer"), numbers.alias("cited_numbers"),
+        )
+
+    out = js.read_object(raw, build)
+    fields = {f: F.when(out["failure"].isNull(), out[f]) for f in ("sufficient", "reason", "answer", "cited_numbers")}
+    return {"failure": out["failure"], **fields}
 
 
 def inline_numbers(answer: Column | str) -> Column:

@@ -419,14 +419,15 @@ MAX_EXPANSIONS = 3
 def parse_expansions(raw: Column | str, fallback: Column | str) -> Column:
     """Fallback question first, then at most three distinct valid expansions."""
     raw, fallback = tx._c(raw), tx._c(fallback)
-    listed = F.get_json_object(raw, "$.queries")
-    # As raw JSON values, so that a number or a nested value is told from a string.
-    values = js.value(raw, "$.queries", "array<variant>")
-    texts = F.transform(values, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
-    valid = (
-        js.keys_are(raw, "queries") & js.is_object(raw) & listed.isNotNull() & texts.isNotNull()
-        & ~F.exists(F.coalesce(texts, F.array().cast("array<string>")), lambda t: t.isNull())
-    )
+
+    def strings(v: Column) -> Column:
+        """The listed strings, or NULL unless this is one object with one key full of strings."""
+        values = js.value(v, "$.queries", "array<variant>")
+        texts = F.transform(values, lambda t: F.when(F.schema_of_variant(t) == "STRING", F.try_variant_get(t, "$", "string")))
+        valid = js.is_object(v) & js.keys_are(raw, "queries") & ~F.exists(texts, lambda t: t.isNull())
+        return F.when(valid, texts)
+
+    texts = js.read_object(raw, strings)
 
     def normalized(value: Column) -> Column:
         # Lower case plus the two letters whose case folding differs from it.
@@ -441,8 +442,7 @@ def parse_expansions(raw: Column | str, fallback: Column | str) -> Column:
         )
         return F.when(fresh, F.concat(acc, F.array(text))).otherwise(acc)
 
-    folded = F.aggregate(F.coalesce(texts, F.array().cast("array<string>")), F.array(fallback), step)
-    return F.when(valid, folded).otherwise(F.array(fallback))
+    return F.aggregate(F.coalesce(texts, F.array().cast("array<string>")), F.array(fallback), step)
 
 
 EVIDENCE = T.StructType([

@@ -55,17 +55,21 @@ REFUND_REASONS = ("商品质量问题", "错发/漏发", "不想要/不合适",
 def parse_intents(raw: Column | str) -> dict[str, Column]:
     """``intent`` and ``confidence`` of a strict two-key object, else ``error``."""
     raw = tx._c(raw)
-    intent, confidence = js.value(raw, "$.intent", "string"), js.value(raw, "$.confidence", "double")
-    error = (
-        F.when(~js.is_object(raw), "invalid_json")
-        .when(~js.keys_are(raw, "confidence", "intent"), "wrong_keys")
-        .when(~(js.is_string(raw, "$.intent") & F.coalesce(intent.isin(*ROUTES), F.lit(False))), "unknown_intent")
-        .when(~js.is_number(raw, "$.confidence"), "confidence_not_a_number")
-        .when(~F.coalesce(confidence.between(0, 1), F.lit(False)), "confidence_out_of_range")
-    )
-    return {
-        "intent": F.when(error.isNull(), intent), "confidence": F.when(error.isNull(), confidence), "intent_error": error,
-    }
+
+    def build(v: Column) -> Column:
+        intent, confidence = js.value(v, "$.intent", "string"), js.value(v, "$.confidence", "double")
+        error = (
+            F.when(~js.is_object(v), "invalid_json")
+            .when(~js.keys_are(raw, "confidence", "intent"), "wrong_keys")
+            .when(~(js.is_string(v, "$.intent") & F.coalesce(intent.isin(*ROUTES), F.lit(False))), "unknown_intent")
+            .when(~js.is_number(v, "$.confidence"), "confidence_not_a_number")
+            .when(~F.coalesce(confidence.between(0, 1), F.lit(False)), "confidence_out_of_range")
+        )
+        return F.struct(intent.alias("intent"), confidence.alias("confidence"), error.alias("error"))
+
+    out = js.read_object(raw, build)
+    good = out["error"].isNull()
+    return {"intent": F.when(good, out["intent"]), "confidence": F.when(good, out["confidence"]), "intent_error": out["error"]}
 
 
 def route_turns(turns: DataFrame) -> DataFrame:
@@ -131,18 +135,24 @@ def resolve_order_id(turns: DataFrame) -> DataFrame:
 
 def parse_reference(raw: Column | str, original: Column | str) -> dict[str, Column]:
     raw, original = tx._c(raw), tx._c(original)
-    question, resolved = js.value(raw, "$.question", "string"), js.value(raw, "$.reference_resolved", "boolean")
-    error = (
-        F.when(~js.is_object(raw), "invalid_json")
-        .when(~js.keys_are(raw, "question", "reference_resolved"), "wrong_keys")
-        .when(~js.is_string(raw, "$.question") | tx.is_blank(F.coalesce(question, F.lit(""))), "question_blank")
-        .when(~js.is_bool(raw, "$.reference_resolved"), "flag_not_boolean")
-        .when(~resolved & (question != original), "unresolved_changes_question")
-    )
+
+    def build(v: Column) -> Column:
+        question, resolved = js.value(v, "$.question", "string"), js.value(v, "$.reference_resolved", "boolean")
+        error = (
+            F.when(~js.is_object(v), "invalid_json")
+            .when(~js.keys_are(raw, "question", "reference_resolved"), "wrong_keys")
+            .when(~js.is_string(v, "$.question") | tx.is_blank(F.coalesce(question, F.lit(""))), "question_blank")
+            .when(~js.is_bool(v, "$.reference_resolved"), "flag_not_boolean")
+            .when(~resolved & (question != original), "unresolved_changes_question")
+        )
+        return F.struct(question.alias("question"), resolved.alias("resolved"), error.alias("error"))
+
+    out = js.read_object(raw, build)
+    good = out["error"].isNull()
     return {
-        "resolved_question": F.when(error.isNull(), question).otherwise(original),
-        "reference_resolved": F.when(error.isNull(), resolved).otherwise(F.lit(False)),
-        "reference_error": error,
+        "resolved_question": F.when(good, out["question"]).otherwise(original),
+        "reference_resolved": F.when(good, out["resolved"]).otherwise(F.lit(False)),
+        "reference_error": out["error"],
     }
 
 
@@ -184,23 +194,24 @@ def refund_type(text: Column | str) -> Column:
 
 def validate_after_sale(raw: Column | str) -> dict[str, Column]:
     """Nullable order_id and expected_solution texts and a known request_type, else ``error``."""
-    raw = tx._c(raw)
-
-    def text_or_null(path: str) -> Column:
-        return F.coalesce(js.kind(raw, path).isin("STRING", "VOID"), F.lit(True))
-
-    kind = js.value(raw, "$.request_type", "string")
-    error = (
-        F.when(~js.is_object(raw), "invalid_json")
-        .when(~(text_or_null("$.order_id") & text_or_null("$.expected_solution")), "field_not_text")
-        .when(~text_or_null("$.request_type") | F.coalesce(~kind.isin(*AFTER_SALE_TYPES), F.lit(False)), "unknown_request_type")
-    )
-    return {
-        "order_id": F.when(error.isNull(), js.value(raw, "$.order_id", "string")),
-        "request_type": F.when(error.isNull(), kind),
-        "expected_solution": F.when(error.isNull(), js.value(raw, "$.expected_solution", "string")),
-        "error": error,
-    }
+    def build(v: Column) -> Column:
+        def text_or_null(path: str) -> Column:
+            return F.coalesce(js.kind(v, path).isin("STRING", "VOID"), F.lit(True))
+
+        kind = js.value(v, "$.request_type", "string")
+        error = (
+            F.when(~js.is_object(v), "invalid_json")
+            .when(~(text_or_null("$.order_id") & text_or_null("$.expected_solution")), "field_not_text")
+            .when(~text_or_null("$.request_type") | F.coalesce(~kind.isin(*AFTER_SALE_TYPES), F.lit(False)), "unknown_request_type")
+        )
+        return F.struct(
+            js.value(v, "$.order_id", "string").alias("order_id"), kind.alias("request_type"),
+            js.value(v, "$.expected_solution", "string").alias("expected_solution"), error.alias("error"),
+        )
+
+    out = js.read_object(tx._c(raw), build)
+    fields = {f: F.when(out["error"].isNull(), out[f]) for f in ("order_id", "request_type", "expected_solution")}
+    return {**fields, "error": out["error"]}
 
 
 _REQUEST_FIELDS = ("conversation_id", "message_id", "user_id", "order_id", "request_type", "reason")

@@ -58,7 +58,7 @@ def read_jsonl(
         F.when(F.get_json_object(text, f"$.{f.name}").isNotNull() & F.col(f"row.{f.name}").isNull(), F.lit(f.name)) for f in schema
     ]))
     problem = (
-        F.when(~js.is_object(text), "malformed_json")
+        F.when(~js.is_object(js.parsed(text)), "malformed_json")
         .when(F.size(lacking) > 0, F.concat(F.lit("missing:"), F.array_join(lacking, ",")))
         .when(F.size(wrong) > 0, F.concat(F.lit("type:"), F.array_join(wrong, ",")))
     )
