@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from supportlake.functions import text as tx
 from supportlake.operators.conversations import has_tool_calls, with_turns
-from supportlake.operators.scan import running
+from supportlake.operators.scan import join_per_key, running
 
 # Kept answer length, the tool marker and the cut-off notes.
 ASSISTANT_CHARS = 60
@@ -36,7 +36,7 @@ def turn_tokens(turns: DataFrame, ratio: float = 1.0) -> DataFrame:
 def _anchored(turns: DataFrame, anchors: DataFrame) -> DataFrame:
     """Turn rows after the summarised part, with the conversation's anchors."""
     meta = anchors.select("conversation_id", "summary_upto_msg_id", "layer1_from_msg_id", "current_id")
-    return turns.join(meta, "conversation_id").filter(
+    return join_per_key(turns, meta, ["conversation_id"], "turn_start").filter(
         F.col("turn_start") > F.coalesce("summary_upto_msg_id", F.lit(0))
     )
 
@@ -78,7 +78,7 @@ def layer2_shorten(turns: DataFrame, bounds: DataFrame, assistant_chars: int = A
     per turn placed second. ``position`` orders the rows inside a turn.
     """
     limits = bounds.select("conversation_id", "summary_upto_msg_id", "layer1_from_msg_id")
-    old = turns.join(limits, "conversation_id").filter(
+    old = join_per_key(turns, limits, ["conversation_id"], "id").filter(
         (F.col("turn_start") > F.coalesce("summary_upto_msg_id", F.lit(0)))
         & (F.col("turn_start") < F.col("layer1_from_msg_id"))
     )
@@ -208,7 +208,7 @@ def cap_observation(content: Column | str, budget: int, n_calls: Column | int, r
 def context_view(turns: DataFrame, bounds: DataFrame, shortened: DataFrame) -> DataFrame:
     """Prompt rows per conversation: layer-2 rows, then verbatim layer-1 rows, in order."""
     limits = bounds.select("conversation_id", "layer1_from_msg_id")
-    recent = turns.join(limits, "conversation_id").filter(F.col("turn_start") >= F.col("layer1_from_msg_id"))
+    recent = join_per_key(turns, limits, ["conversation_id"], "id").filter(F.col("turn_start") >= F.col("layer1_from_msg_id"))
     newer = recent.select(
         "conversation_id", "turn_start", "id", "role", "content", F.col("id").alias("position"), F.lit(1).alias("layer")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supportlake.functions import text as tx
-from supportlake.operators.scan import dense_numbers, first_per_key, running
+from supportlake.operators.scan import dense_numbers, first_per_key, join_per_key, running
 
 # Limits of an extraction candidate and the preview length.
 MAX_CATEGORY = 256
@@ -86,7 +86,7 @@ def advance_cursor(messages: DataFrame, cursors: DataFrame, limit: int | None =
     cursor = cursors.select("conversation_id", F.col("last_message_id").alias("cursor"))
 
     def after_cursor(df: DataFrame, id_col: str) -> DataFrame:
-        joined = df.join(cursor, "conversation_id", "left").withColumn(
+        joined = join_per_key(df, cursor, ["conversation_id"], id_col, "left").withColumn(
             "cursor", F.coalesce("cursor", F.lit(0).cast("bigint"))
         )
         return joined.filter(F.col(id_col) > F.col("cursor"))
@@ -121,7 +121,7 @@ def budget_batches(pending: DataFrame, n_turns: str, budget: int, order: str = "
 
 def batch_stats(messages: DataFrame, batches: DataFrame) -> DataFrame:
     """Messages read in (cursor, next_cursor] and the tool messages among them."""
-    joined = messages.join(batches.select("conversation_id", "cursor", "next_cursor"), "conversation_id")
+    joined = join_per_key(messages, batches.select("conversation_id", "cursor", "next_cursor"), ["conversation_id"], "id")
     inside = joined.filter((F.col("id") > F.col("cursor")) & (F.col("id") <= F.col("next_cursor")))
     return inside.groupBy("conversation_id").agg(
         F.count("*").alias("messages_read"),

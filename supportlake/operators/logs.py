@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from supportlake.operators.merge import flag_member
 from supportlake.operators.scan import first_per_key, running
 
 # Log event names and the write tool.
@@ -59,20 +60,22 @@ def audit_status_report(audit: DataFrame) -> DataFrame:
     )
 
 
-def permission_join(calls: DataFrame, policy: DataFrame) -> DataFrame:
+def permission_join(calls: DataFrame, policy: DataFrame, salt_by: str) -> DataFrame:
     """Permission per call: builtin tools by name, external ones only if listed as read.
 
-    Policy: server, tool_name, permission. It is a configuration table of a few
-    rows per server; Spark broadcasts it only if it is small.
+    Policy: server, tool_name, permission. The lookup is salted by a column of
+    many values, as one tool may take most calls.
     """
+    pair = F.concat_ws("\x00", "source", "tool_name")
     listed = policy.filter(F.col("permission") == "read").select(
-        F.concat(F.lit("mcp:"), "server").alias("source"), "tool_name", F.lit(True).alias("__read")
-    ).distinct()
+        F.concat_ws("\x00", F.concat(F.lit("mcp:"), "server"), "tool_name").alias("pair")
+    )
+    flagged = flag_member(calls, pair, listed, "pair", "__read", salt_by)
     builtin = F.col("source") == "builtin"
     permission = (
         F.when(builtin & (F.col("tool_name") == WRITE_TOOL), "write").when(builtin | F.col("__read"), "read").otherwise("deny")
     )
-    return calls.join(listed, ["source", "tool_name"], "left").withColumn("permission", permission).drop("__read")
+    return flagged.withColumn("permission", permission).drop("__read")
 
 
 def classify_calls(calls: DataFrame) -> DataFrame:

@@ -117,9 +117,8 @@ def bm25_topk(
     that occurs in every chunk costs arithmetic, never a row per pair.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokenize("text"))).alias("term"))
-    used = index.select(F.explode(F.array_distinct("tokens")).alias("term")).join(
-        terms.select("term").distinct(), "term", "left_semi"
-    ).groupBy("term").agg(F.count("*").alias("df"))
+    # Counted first, so that a term of nearly every chunk is combined before it moves.
+    used = bm25_terms(index).join(terms.select("term").distinct(), "term", "left_semi")
     stats = bm25_stats(index).first()
     n_docs, avg_len = stats["n_docs"], stats["avg_len"] or 1.0
     idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from supportlake.functions import jsonval as js
 from supportlake.functions import text as tx
-from supportlake.operators.scan import first_per_key, running
+from supportlake.operators.scan import first_per_key, join_per_key, running
 
 # Intents and routes, greeting words, status-question and ticket
 # patterns, request types and reasons.
@@ -233,11 +233,8 @@ def accept_refunds(
         F.coalesce(F.array_contains(F.from_json(F.get_json_object("actions", "$.items"), "array<string>"), "refund_form"), F.lit(False)).alias("__listed"),
         *[F.get_json_object("actions", f"$.refund_form.{f}").alias(f"__{f}") for f in ("order_id", "request_id", "request_type")],
     )
-    joined = (
-        requests.join(own_orders, ["order_id", "user_id"], "left")
-        .join(owners, "conversation_id", "left")
-        .join(offers, "message_id", "left")
-    )
+    owned = join_per_key(requests, owners, ["conversation_id"], "seq", "left")
+    joined = owned.join(own_orders, ["order_id", "user_id"], "left").join(offers, "message_id", "left")
     offered = (
         F.col("__listed") & (F.col("__conversation") == F.col("conversation_id"))
         & (F.col("__order_id") == F.col("order_id")) & (F.col("__request_id") == F.col("request_id"))

@@ -83,6 +83,20 @@ def running(
     )
 
 
+def join_per_key(
+    df: DataFrame, small: DataFrame, keys: list[str], order: str, how: str = "inner", bits: int = 16
+) -> DataFrame:
+    """Join one row per key onto many rows of that key without one task per key.
+
+    The small side is first repeated for the blocks its key really spans (one
+    for an ordinary key), then joined by key and block. A later aggregate by
+    key does not pull the rows of a hot key together either.
+    """
+    blocked = df.withColumn("__block", F.shiftright(F.col(order).cast("bigint"), bits))
+    cells = blocked.select(*keys, "__block").distinct()
+    return blocked.join(cells.join(small, keys, how), [*keys, "__block"]).drop("__block")
+
+
 def dense_numbers(df: DataFrame, order: str, name: str, start: Column | None = None) -> DataFrame:
     """Number all rows 1..n in the order of a unique integer column, in parallel."""
     # Two levels of 2**20 cover order values up to 2**40 with bounded tasks.

@@ -448,7 +448,7 @@ def _calls(spark: SparkSession, sf: str) -> DataFrame:
     policy = kinds.select(
         F.lit("logistics").alias("server"), F.col("event_type").alias("tool_name"), F.when(F.col("event_type").isin("view", "click"), "read").otherwise("write").alias("permission")
     )
-    return lg.permission_join(calls, policy)
+    return lg.permission_join(calls, policy, "event_id")
 
 
 _CALLS = """WITH c AS (SELECT event_id, event_id AS n, CASE event_type WHEN 'purchase' THEN 'create_ticket' ELSE event_type END AS tool_name,
