@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from supportlake.functions import text as tx
 from supportlake.operators.scan import dense_numbers, first_per_key
+from supportlake.session import materialize
 
 # Status names and byte limits of indexed fields.
 PENDING, VECTORIZED = "pending", "vectorized"
@@ -72,6 +73,8 @@ def upsert_drafts(chunks: DataFrame, drafts: DataFrame) -> DataFrame:
     })
     top = F.coalesce(chunks.agg(F.max("id")).scalar(), F.lit(0))
     added = incoming.join(chunks.select("source_key"), "source_key", "left_anti").select("source_key", "new_draft_order")
+    # Keys only, written once: numbering reads them once per level.
+    added = materialize(added, "added-keys")
     numbers = dense_numbers(added, "new_draft_order", "new_id").select("source_key", "new_id")
     numbered = merged.join(numbers, "source_key", "left").withColumn("id", F.coalesce("id", F.col("new_id") + top))
     return numbered.select(*chunks.columns)

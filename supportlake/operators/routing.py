@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from supportlake.functions import jsonval as js
 from supportlake.functions import text as tx
 from supportlake.operators.scan import first_per_key, join_per_key, running
+from supportlake.session import materialize
 
 # Intents and routes, greeting words, status-question and ticket
 # patterns, request types and reasons.
@@ -249,6 +250,8 @@ def accept_refunds(
         .when(~F.coalesce(offered, F.lit(False)), "refund_form_not_offered"),
     ).select(*requests.columns, "problem")
     content = F.struct(*_REQUEST_FIELDS)
+    # The joined check feeds both the choice of the first request and the comparison.
+    checked = materialize(checked, "checked-requests")
     valid = checked.filter(F.col("problem").isNull())
     first = first_per_key(valid, ["request_id"], "seq").select("request_id", content.alias("__first"))
     stored = saved.select("request_id", content.alias("__saved"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supportlake.session import run_dir
+from supportlake.session import path_exists, run_dir
 from supportlake.sources.tables import read_input, spread
 
 # Message ids leave room for a billion turns per conversation.
@@ -76,7 +76,7 @@ def stored(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFram
     folder, they are read by every step instead of being derived again.
     """
     key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _STORED:
+    if key not in _STORED or not path_exists(spark, _STORED[key]):
         path = run_dir(spark, name)
         build().write.parquet(path)
         _STORED[key] = path

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from supportlake.session import path_exists
+
 
 def write_snapshot(df: DataFrame, path: str, keep_pointer: bool = True) -> str:
     """Write a new version folder, then point to it; readers never see half a table.
@@ -29,8 +31,7 @@ POINTER = "version string, sequence bigint"
 
 
 def _pointers(spark: SparkSession, path: str) -> DataFrame | None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/pointer")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if not path_exists(spark, f"{path}/pointer"):
         return None
     return spark.read.schema(POINTER).json(f"{path}/pointer")
 
