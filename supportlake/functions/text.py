@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Whitespace as the reference language defines it for strip and \s.
+# White space as Python's strip and \s see it.
 WS = r"[\s\x1c-\x1f]"
 CJK = r"[㐀-鿿]"
 
