@@ -25,16 +25,23 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+#: The package's own setting, used where the cluster names no checkpoint folder.
+FOLDER_SETTING = "spark.supportlake.shared.dir"
 
-    Only where the session names none (local tests) a temporary folder is set.
+
+def shared_dir(spark: SparkSession, folder: str | None = None) -> str:
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
+
+    ``folder`` (or the package's own setting) is used where the session names none. Without either, a local
+    session gets a temporary folder; on a cluster that is an error, because executors do not share local folders.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="supportlake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None) or folder or spark.conf.get(FOLDER_SETTING, None)
+    if not named:
+        if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+            raise RuntimeError(f"set spark.checkpoint.dir (or {FOLDER_SETTING}) to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="supportlake-")
+        spark.conf.set(FOLDER_SETTING, named)
+    return named.rstrip("/")
 
 
 def run_dir(spark: SparkSession, name: str) -> str:

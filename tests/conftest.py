@@ -1,6 +1,6 @@
 import pytest
 
-from supportlake.session import local_session
+from supportlake.session import FOLDER_SETTING, local_session
 
 
 @pytest.fixture(scope="session")
@@ -15,5 +15,5 @@ def sf():
 
 @pytest.fixture(autouse=True)
 def shared_folder(spark, tmp_path_factory):
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.conf.get(FOLDER_SETTING, None):
+        spark.conf.set(FOLDER_SETTING, str(tmp_path_factory.mktemp("shared")))
