@@ -166,9 +166,10 @@ def sample_edits(text: Column, key: Column) -> Column:
 def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """``docs`` with ``tree_chars`` and ``tree_tokens``, the sums of each text's tree (the total at index 1), and ``n_tokens``.
 
-    A null text is empty: a tree of one empty leaf, 0 tokens. All rows stay. Columns of these names must not exist.
+    A null text is empty: a tree of one empty leaf, 0 tokens. All rows stay; a result replaces a column of its name.
     """
     definition = read_definition(tokenizer_path)
+    docs = docs.drop("tree_chars", "tree_tokens", "n_tokens")
     sums = T.ArrayType(T.LongType(), False)
     schema = T.StructType([*docs.schema.fields, T.StructField("tree_chars", sums), T.StructField("tree_tokens", sums), T.StructField("n_tokens", T.LongType())])
 
@@ -194,10 +195,10 @@ def apply_edits(trees: DataFrame, edits: Column, tokenizer_path: str) -> DataFra
 
     ``trees`` comes from ``count_tokens``. Text, trees and ``n_tokens`` follow the edits; ``n_before`` has the count
     before, ``n_edits`` the edits applied, ``n_encoded`` the pieces that were encoded for them. Places beyond the text
-    mean its end; a null edit, a null list and a null ``put`` change nothing.
+    mean its end; a null edit, a null list and a null ``put`` change nothing. A result replaces a column of its name.
     """
     definition = read_definition(tokenizer_path)
-    given = trees.withColumn("n_before", F.col("n_tokens")).withColumn("edit_list", edits)
+    given = trees.withColumn("edit_list", edits).drop("n_edits", "n_encoded").withColumn("n_before", F.col("n_tokens"))
     schema = T.StructType([f for f in given.schema.fields if f.name != "edit_list"] + [T.StructField("n_edits", T.LongType()), T.StructField("n_encoded", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

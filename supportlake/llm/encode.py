@@ -22,12 +22,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = True
     """``docs`` with ``bpe_ids`` (array<int>) and ``bpe_text`` (decoded), if kept, ``bpe_n_tokens``, ``bpe_ids_sha256`` and ``bpe_text_sha256``.
 
     Every whole text is encoded by the pair occurrence index and decoded again; strings of special tokens in a text become these tokens. A null text is empty and
-    decodes to an empty text. All rows and columns stay, repeated rows too; columns that start with ``bpe_`` must not
-    exist. A narrow operation: no shuffle, memory bounded by an Arrow batch.
+    decodes to an empty text. All rows and columns stay, repeated rows too, but columns of the input that start
+    with ``bpe_`` go. A narrow operation: no shuffle, memory bounded by an Arrow batch.
     """
-    clash = [c for c in docs.columns if c.startswith("bpe_")]
-    if clash:
-        raise ValueError(f"columns {clash} are reserved")
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("bpe_")])
     definition = read_definition(tokenizer_path)
     added = [("bpe_n_tokens", T.LongType()), ("bpe_ids_sha256", T.StringType()), ("bpe_text_sha256", T.StringType())]
     if keep_text:

@@ -82,7 +82,7 @@ class LanguageModel:
         weights = []
         for bit in self.code.T:
             weights.append(np.log(share[bit > 0].mean(axis=0) / share[bit < 0].mean(axis=0)))
-        stacked = np.array(weights).reshape(self.code.shape[1], -1).T
+        stacked = np.array(weights).reshape(self.code.shape[1], counts.shape[1]).T
         self.weights = np.vstack([stacked, np.zeros((1, stacked.shape[1]))]).astype(np.float32)
         # How far the classifier of a bit sends a language to its own side, per language.
         pull = np.maximum(share @ stacked * self.code, 1e-6)
@@ -165,12 +165,10 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, min_score:
     """``docs`` with ``lang_pred``, ``score`` (0 to 1) and ``ambiguous`` (score below ``min_score``).
 
     The prediction reads the text alone. A null text, one without a letter and any text without a model is ``und`` with
-    score 0. All rows and columns stay; a column that has the name of a result is an error.
+    score 0. All rows and columns stay; a result replaces a column of its name (and ``has_letter_`` goes).
     """
     added = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("ambiguous", T.BooleanType())]
-    clash = sorted({name for name, _ in added} & set(docs.columns))
-    if clash:
-        raise ValueError(f"columns {clash} are results")
+    docs = docs.drop(*[name for name, _ in added], "has_letter_")
     schema = T.StructType([*docs.schema.fields, *[T.StructField(name, kind) for name, kind in added]])
     names = docs.columns
     given = docs.withColumn("has_letter_", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))

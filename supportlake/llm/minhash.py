@@ -172,12 +172,13 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Data
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = 28, rows: int = 5) -> DataFrame:
-    """``doc_id, class_id, node``: one row per row of ``docs``; the class is named by its smallest id.
+    """``doc_id, class_id, node, component, worded``: one row per row of ``docs``; the class is named by its smallest id.
 
     A class is a component of texts linked by a verified probability Jaccard similarity of at least ``threshold``, with
     equal texts in one class. Two texts at the threshold 0.8 meet in some band with probability above 0.99998. Texts
     without a word (null, empty, blank) are never duplicates: their class is their own id. Rows that repeat an id stay.
-    Null ids are smallest only where a class has no other. An empty table gives no rows. ``node`` is the text's md5.
+    Null ids are smallest only where a class has no other. An empty table gives no rows. ``node`` is the text's md5, ``component`` the least
+    of the class (null without a word), which tells classes apart where ids repeat.
     """
     signed = materialize(sign(docs, k, bands, rows), "minhash-signed")
     nodes = signed.where("keys is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value("keys").alias("keys"))
@@ -213,19 +214,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
     named = nodes.select("node", "first_id").join(parts, "node", "left")
     whole = named.select("node", "first_id", F.coalesce("component", "node").alias("component"))
     classes = whole.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    by_node = whole.join(classes, "component").select("node", "class_id", F.lit(True).alias("worded"))
+    by_node = whole.join(classes, "component").select("node", "component", "class_id", F.lit(True).alias("worded"))
     out = signed.select("doc_id", "node", F.col("keys").isNotNull().alias("worded")).join(by_node, ["node", "worded"], "left")
-    return out.select("doc_id", F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "node", "worded")
+    return out.select("doc_id", F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "node", "component", "worded")
 
 
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each class one row with the smallest id, and every text without words.
 
-    ``classes`` comes from ``near_duplicates``. Columns of ``docs`` stay; repeated rows of the chosen text are one row.
+    ``classes`` comes from ``near_duplicates``. Columns of ``docs`` stay; repeated rows of the chosen text are one row. Columns named ``keep_id``, ``keep_node``, ``keep_key`` go.
     """
-    chosen = classes.where("worded and doc_id <=> class_id").groupBy("class_id").agg(F.min("node").alias("keep_node"))
+    chosen = classes.where("worded and doc_id <=> class_id").groupBy("component").agg(
+        F.min("node").alias("keep_node"), F.min("class_id").alias("keep_id")
+    ).drop("component")
+    docs = docs.drop("keep_id", "keep_node", "keep_key")
     keyed = docs.withColumn("keep_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = keyed.where(worded).join(chosen, (F.col("keep_key") == F.col("keep_node")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = kept.drop("keep_node", "class_id").dropDuplicates(["keep_key"])
+    kept = keyed.where(worded).join(chosen, (F.col("keep_key") == F.col("keep_node")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    kept = kept.drop("keep_node", "keep_id").dropDuplicates(["keep_key"])
     return kept.unionByName(keyed.where(~worded)).drop("keep_key")

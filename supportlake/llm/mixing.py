@@ -76,11 +76,9 @@ def mix_sources(
     ``mix_key``: rows go to the tasks by ``mix_key`` and are sorted by it, which is a random order of all copies that
     does not depend on the layout of the input. ``size`` is the unit that weights are shares of (characters by default), ``total`` the wanted output
     in that unit (the input's size by default). Equal ids get equal numbers of copies; a null id counts as the id
-    "null". An empty table gives an empty result. Columns of ``docs`` that start with ``mix_`` must not exist.
+    "null". An empty table gives an empty result. Columns of the input that start with ``mix_`` go.
     """
-    clash = [c for c in docs.columns if c.startswith("mix_")]
-    if clash:
-        raise ValueError(f"columns {clash} are reserved")
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("mix_")])
     units = F.length("text") if size is None else size
     rates = materialize(source_rates(docs, weights, units, total).where(F.col("rate") > 0), "mix-rates")
     # A written table has a known size: Spark broadcasts it under its threshold. Beyond, the salted join below

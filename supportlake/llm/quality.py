@@ -93,13 +93,11 @@ def apply_quality_rules(
 
     A document fails the base rules with fewer than ``min_words`` words, or with more than ``max_repeat_percent`` of its
     words in repeated windows. It is kept if it passes them and its failed lines have at most ``max_lost_percent`` of its
-    words. A null or empty text has no words and fails. All rows and columns stay, repeated rows too; a column that has
-    the name of a result is an error. A narrow operation over whole texts.
+    words. A null or empty text has no words and fails. All rows and columns stay, repeated rows too; a result replaces a column
+    of its name. A narrow operation over whole texts.
     """
     names = [name for name, _ in _SCHEMA]
-    clash = sorted(set(names) & set(docs.columns))
-    if clash:
-        raise ValueError(f"columns {clash} are results")
+    docs = docs.drop(*names)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(name, kind) for name, kind in _SCHEMA]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

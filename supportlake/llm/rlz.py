@@ -35,8 +35,6 @@ def keyed(docs: DataFrame) -> DataFrame:
 
     Else a written table numbers the rows by id (null first), text; rows that repeat an id count as one after the other.
     """
-    if "row_key" in docs.columns:
-        raise ValueError("the column row_key is reserved")
     rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
     odd = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null")
     if odd.isEmpty():
@@ -262,13 +260,11 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     the same one) are removed; windows are judged on the input. ``kept_sha256`` is that of the kept words joined by one
     blank. ``clean_text`` is the text with the removed words cut out, and unchanged without any. ``begins`` and ``ends``
     are spans of removed words (they may overlap; null without any). A null text is empty. Rows that repeat an id come
-    one after the other, by text, a null id first. Equal words are told by 64-bit hashes. All rows and columns stay; a column that has the name of a result is an error.
+    one after the other, by text, a null id first. Equal words are told by 64-bit hashes. All rows and columns stay; a result replaces a column of its name (and ``row_key`` goes).
     An empty table gives no rows.
     """
     results = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("clean_text", T.StringType())]
-    clash = sorted({*(name for name, _ in results), "begins", "ends"} & set(docs.columns))
-    if clash:
-        raise ValueError(f"columns {clash} are results")
+    docs = docs.drop(*[name for name, _ in results], "begins", "ends", "row_key")
     if window <= ANCHOR:
         raise ValueError(f"a window has more than {ANCHOR} words")
     rows = keyed(docs)
