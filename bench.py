@@ -8,7 +8,7 @@ import sys
 import time
 
 from supportlake.plans.catalog import QUERIES
-from supportlake.session import local_session
+from supportlake.session import local_session, remove_run_dirs
 
 HEADLINE = (
     "ret_flagship_report", "ret_dense_topk", "ret_bm25_topk", "ret_retrieve_hybrid", "chk_chunk_documents", "chk_split_sentences",
@@ -30,6 +30,7 @@ def main() -> None:
         # Full result, nothing collected: every column of every row is computed.
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - began, 3)
+    remove_run_dirs(spark)
     print(json.dumps({
         "metric": "support_knowledge_headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": folder.rstrip("/").rsplit("sf", 1)[-1], "cores": cores, "spark": spark.version,

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supportlake.functions import text as tx
-from supportlake.operators.scan import dense_numbers, first_per_key, join_per_key, running
+from supportlake.operators.scan import dense_numbers, first_per_key, join_per_key, read_once, running
 
 # Limits of an extraction candidate and the preview length.
 MAX_CATEGORY = 256
@@ -157,6 +157,7 @@ def validate_candidates(candidates: DataFrame, turns: DataFrame) -> DataFrame:
         .when(F.coalesce(F.length(answer) < 1, F.lit(True)), "answer_empty")
         .when(F.exists(questions, lambda q: q == ""), "question_blank"),
     ).withColumns(clean)
+    checked = read_once(checked)
     bad = checked.filter(F.col("violation").isNotNull()).select("batch_id").distinct().withColumn("__bad", F.lit(True))
     return checked.join(bad, "batch_id", "left").withColumn("batch_ok", F.col("__bad").isNull()).drop("__bad")
 

@@ -418,20 +418,35 @@ def split_leakage(cases: DataFrame, group: str) -> DataFrame:
 def corpus_digest(chunks: DataFrame, key: str = "source_key", answer: str = "answer") -> DataFrame:
     """One digest of a whole corpus that does not depend on row order.
 
-    Every row's hash is cut into 60-bit numbers that are summed up, so the
-    digest is combined in parallel and no task ever concatenates the corpus.
+    Every row's whole hash is cut into numbers of at most 60 bits that are summed up, so the
+    digest is combined in parallel and no task ever concatenates the corpus. A NULL differs from any text.
     """
-    row = F.sha2(F.concat(F.col(key), F.lit("\x00"), F.col(answer)), 256)
+    field = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c)), F.lit("n"))
+    row = F.sha2(F.concat(field(key), F.lit("\x00"), field(answer)), 256)
     hashed = chunks.select(row.alias("h"))
     sums = [
         F.coalesce(F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").cast("string").alias(f"s{i}")
-        for i in range(4)
+        for i in range(5)
     ]
     total = hashed.agg(F.count("*").alias("n_chunks"), *sums)
-    joined = F.concat_ws("-", F.col("n_chunks").cast("string"), *[F.col(f"s{i}") for i in range(4)])
+    joined = F.concat_ws("-", F.col("n_chunks").cast("string"), *[F.col(f"s{i}") for i in range(5)])
     return total.select("n_chunks", F.sha2(joined, 256).alias("digest"))
 
 
+def check_manifest(digest: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Each entry of a stored manifest (name, n_chunks, digest) next to the corpus as it is now.
+
+    ``status`` is ``same``, ``count_differs`` or ``digest_differs``; NULL entries count as different.
+    """
+    now = digest.first()  # one row
+    both = manifest.withColumn("now_chunks", F.lit(now["n_chunks"])).withColumn("now_digest", F.lit(now["digest"]))
+    status = (
+        F.when(~F.col("n_chunks").eqNullSafe(F.col("now_chunks")), "count_differs")
+        .when(~F.col("digest").eqNullSafe(F.col("now_digest")), "digest_differs").otherwise("same")
+    )
+    return both.withColumn("status", status)
+
+
 # --- routing, expansion and workflow reports -------------------------------
 
 

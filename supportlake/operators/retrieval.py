@@ -13,7 +13,7 @@ from supportlake.functions import text as tx
 from supportlake.functions.lexical import tokenize
 from supportlake.operators.scan import running
 from supportlake.operators.topk import rank_hits, topk
-from supportlake.session import materialize
+from supportlake.session import materialize, run_dir
 
 # Candidate limits, fusion constant, and the policy scopes.
 LEG_LIMIT = 50
@@ -29,20 +29,41 @@ POLICY_TYPES = ("policy", "after_sales")
 # --- dense leg -------------------------------------------------------------
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    lists = column.combine_chunks()
-    width = len(lists[0]) if len(lists) else 0
-    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), width)
+def _matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the rows that have ``width`` components, none of them NULL, and which rows these are."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    good = np.flatnonzero(sizes == width)
+    flat = lists.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    values = flat.reshape(len(good), width)
+    whole = ~np.isnan(values).any(axis=1)
+    values, good = values[whole], good[whole]
     norms = np.linalg.norm(values, axis=1, keepdims=True)
-    return np.divide(values, norms, out=np.zeros_like(values), where=norms > 0)
+    return np.divide(values, norms, out=np.zeros_like(values), where=norms > 0), good
 
 
-def _pack_vectors(rows: pa.Table) -> dict:
-    return {"query_ids": rows.column("query_id").to_numpy(), "vectors": _matrix(rows.column("embedding"))}
+def _pack_vectors(rows: pa.Table, width: int | None = None) -> dict:
+    """Queries as unit vectors by width (or of one width only); NULL and empty vectors find nothing."""
+    column = rows.column("embedding").combine_chunks() if isinstance(rows.column("embedding"), pa.ChunkedArray) else rows.column("embedding")
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    groups, keys, n = [], [], 0
+    for size in np.unique(sizes[sizes > 0]) if width is None else [width]:
+        vectors, good = _matrix(column, int(size))
+        groups.append((int(size), np.arange(n, n + len(good)), vectors))
+        keys.append(good)
+        n += len(good)
+    kept = np.concatenate(keys) if keys else np.empty(0, dtype=int)
+    return {"query_ids": rows.column("query_id").to_numpy()[kept], "groups": groups}
 
 
 def _cosine(rows: pa.Table, packed: dict) -> np.ndarray:
-    return packed["vectors"] @ _matrix(rows.column("embedding")).T
+    """Scores of all rows; vectors of different widths, and NULL vectors, score minus infinity."""
+    out = np.full((len(packed["query_ids"]), rows.num_rows), -np.inf)
+    for width, who, vectors in packed["groups"]:
+        found, good = _matrix(rows.column("embedding"), width)
+        if len(good) and len(who):
+            out[np.ix_(who, good)] = vectors @ found.T
+    return out
 
 
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = LEG_LIMIT, **options) -> DataFrame:
@@ -52,38 +73,73 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = LEG_LIMIT, **opti
     )
 
 
-def dense_topk_ann(
-    queries: DataFrame, chunks: DataFrame, k: int = LEG_LIMIT, n_lists: int = 16, n_probe: int = 6,
-    sample_rows: int = 100_000, seed: int = 7,
-) -> DataFrame:
-    """Approximate cosine top-k over k-means cells; a query scores its nearest cells only.
+def vector_cells(chunks: DataFrame, n_lists: int, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
+    """Chunks (chunk_id, embedding) written by k-means cell, and the unit centres of the cells.
 
-    Centres are fitted on a bounded sample. Every chunk belongs to one cell and
-    stays where it is: no cell, whatever its size, is gathered anywhere.
+    Centres are fitted on all usable vectors. NULL and empty vectors have no cell. The table is partitioned by ``cell``, so a search
+    reads the cells it probes and no others; a large cell is many files and many tasks.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    points = chunks.select("chunk_id", "embedding", array_to_vector("embedding").alias("features"))
-    total = points.count()
-    part = points if total <= sample_rows else points.sample(fraction=sample_rows / total, seed=seed)
-    model = KMeans(k=n_lists, seed=seed, featuresCol="features", predictionCol="cell", distanceMeasure="cosine").fit(part)
+    usable = chunks.where("embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null)")
+    points = usable.select("chunk_id", "embedding", array_to_vector("embedding").alias("features"))
+    model = KMeans(k=n_lists, seed=seed, featuresCol="features", predictionCol="cell", distanceMeasure="cosine").fit(points)
     centres = np.array(model.clusterCenters())
-    centres = centres / np.linalg.norm(centres, axis=1, keepdims=True)
-    celled = model.transform(points).select("chunk_id", "embedding", "cell")
+    centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
+    path = run_dir(chunks.sparkSession, "vector-cells")
+    model.transform(points).select("chunk_id", "embedding", "cell").write.partitionBy("cell").parquet(path)
+    return chunks.sparkSession.read.schema("chunk_id bigint, embedding array<float>, cell int").parquet(path), centres
+
+
+def search_cells(
+    queries: DataFrame, cells: DataFrame, centres: np.ndarray, k: int, n_probe: int, **options
+) -> DataFrame:
+    """Cosine top-k of each query over its ``n_probe`` nearest cells; scores are exact, recall grows with ``n_probe``.
+
+    Cells that no query probes are not read (partition filter); a cell's rows are multiplied with the queries that
+    probe the cell only. With all cells probed the result is that of ``dense_topk``.
+    """
+
+    width = centres.shape[1]
+
+    def near(vectors: np.ndarray) -> np.ndarray:
+        return np.argsort(-(vectors @ centres.T), axis=1, kind="stable")[:, :n_probe]
+
+    def probed(batches):
+        for batch in batches:
+            vectors = _pack_vectors(pa.Table.from_batches([batch]), width)["groups"][0][2]
+            if len(vectors):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(near(vectors)), pa.int32())], ["cell"])
+
+    asked = queries.select("query_id", "embedding")
+    wanted = [r.cell for r in asked.mapInArrow(probed, "cell int").distinct().collect()]  # at most one row per cell
 
     def pack(rows: pa.Table) -> dict:
-        packed = _pack_vectors(rows)
-        near = np.argsort(-(packed["vectors"] @ centres.T), axis=1)[:, :n_probe]
-        probes = np.zeros((len(near), len(centres)), dtype=bool)
-        np.put_along_axis(probes, near, True, axis=1)
-        return {**packed, "probes": probes}
+        packed = _pack_vectors(rows, width)
+        vectors = packed["groups"][0][2]
+        probes = np.zeros((len(vectors), len(centres)), dtype=bool)
+        if len(probes):
+            np.put_along_axis(probes, near(vectors), True, axis=1)
+        return {**packed, "vectors": vectors, "probes": probes}
 
     def score(rows: pa.Table, packed: dict) -> np.ndarray:
-        matrix = _cosine(rows, packed)
-        return np.where(packed["probes"][:, rows.column("cell").to_numpy()], matrix, -np.inf)
-
-    return topk(queries.select("query_id", "embedding"), celled, k, pack, score)
+        out = np.full((len(packed["vectors"]), rows.num_rows), -np.inf)
+        found = rows.column("cell").to_numpy()
+        for cell in np.unique(found):
+            at, who = np.flatnonzero(found == cell), np.flatnonzero(packed["probes"][:, cell])
+            if len(who):
+                part = {"query_ids": who, "groups": [(width, np.arange(len(who)), packed["vectors"][who])]}
+                out[np.ix_(who, at)] = _cosine(rows.take(pa.array(at)), part)
+        return out
+
+    return topk(asked, cells.where(F.col("cell").isin(wanted)), k, pack, score, **options)
+
+
+def dense_topk_ann(queries: DataFrame, chunks: DataFrame, k: int, n_lists: int, n_probe: int, seed: int = 7) -> DataFrame:
+    """Cells of ``chunks`` built and searched at once; see ``vector_cells`` and ``search_cells``."""
+    cells, centres = vector_cells(chunks, n_lists, seed)
+    return search_cells(queries, cells, centres, k, n_probe)
 
 
 # --- lexical leg -----------------------------------------------------------

@@ -11,12 +11,29 @@ table, so no task ever sees more than ``2**bits`` rows of one level.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from supportlake.session import materialize
+
 _AGGREGATES = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
 
 
+_WIDE = re.compile(r"^[\s:+\-!]*(Join|Aggregate|Window|Generate|Sort|Union|Repartition\w*|RebalancePartitions|MapIn\w+|Expand)\b", re.M)
+
+
+def read_once(df: DataFrame) -> DataFrame:
+    """``df`` for uses that read it more than once: itself if it is a plain scan, else written and read back.
+
+    Without that, every further use in a plan would evaluate everything below again, and nested uses multiply.
+    """
+    if df.isStreaming or not _WIDE.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
+    return materialize(df, "scan-input")
+
+
 def _combine(kind: str, local: Column, carried: Column) -> Column:
     if kind == "max":
         return F.greatest(local, carried)
@@ -49,7 +66,7 @@ def running(
     for name, (kind, expr) in specs.items():
         inputs[name] = f"__in_{name}"
         base = base.withColumn(inputs[name], expr)
-    blocked = base.withColumn("__block", F.shiftright(F.col(order).cast("bigint"), bits))
+    blocked = read_once(base).withColumn("__block", F.shiftright(F.col(order).cast("bigint"), bits))
     by = [*keys, "__block"]
     direction = F.col(order).desc() if descending else F.col(order).asc()
     frame = (Window.unboundedPreceding, 0 if inclusive else -1)
@@ -92,7 +109,7 @@ def join_per_key(
     for an ordinary key), then joined by key and block. A later aggregate by
     key does not pull the rows of a hot key together either.
     """
-    blocked = df.withColumn("__block", F.shiftright(F.col(order).cast("bigint"), bits))
+    blocked = read_once(df).withColumn("__block", F.shiftright(F.col(order).cast("bigint"), bits))
     cells = blocked.select(*keys, "__block").distinct()
     return blocked.join(cells.join(small, keys, how), [*keys, "__block"]).drop("__block")
 

@@ -30,37 +30,44 @@ Score = Callable[[pa.Table, dict], np.ndarray]
 
 
 class _Best:
-    """The k best (score, lowest id first) per query seen so far."""
+    """The k best (score, lowest id first) per query seen so far, as two matrices."""
 
     def __init__(self, k: int, n_queries: int):
-        self.k = k
-        self.scores: list[np.ndarray] = [np.empty(0)] * n_queries
-        self.ids: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * n_queries
+        self.scores = np.full((n_queries, k), -np.inf)
+        self.ids = np.full((n_queries, k), np.iinfo(np.int64).max, dtype=np.int64)
 
     def add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
-        for q in range(len(self.scores)):
-            row = matrix[q]
-            seen = row > -np.inf
-            if len(self.scores[q]) >= self.k:
-                seen &= row >= self.scores[q][-1]
-            if not seen.any():
-                continue
-            scores = np.concatenate([self.scores[q], row[seen]])
-            keys = np.concatenate([self.ids[q], ids[seen]])
-            if len(scores) > self.k:
-                edge = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
-                keep = scores >= edge
-                scores, keys = scores[keep], keys[keep]
-            order = np.lexsort((keys, -scores))[: self.k]
-            self.scores[q], self.ids[q] = scores[order], keys[order]
+        """Only queries with a row that reaches their k-th score are touched, all of them at once."""
+        k = self.scores.shape[1]
+        hit = np.flatnonzero((matrix >= self.scores[:, -1:]).any(axis=1) & (matrix > -np.inf).any(axis=1))
+        if not len(hit):
+            return
+        fresh = matrix[hit]
+        if fresh.shape[1] > 2 * k:
+            # The k best scores and all that tie with the last of them: nothing else can enter.
+            edge = np.maximum(-np.partition(-fresh, k - 1, axis=1)[:, k - 1 : k], self.scores[hit, -1:])
+            reach = fresh >= edge
+            width = int(reach.sum(axis=1).max())
+            if width < fresh.shape[1]:
+                pick = np.argsort(~reach, axis=1, kind="stable")[:, :width]
+                fresh = np.where(np.take_along_axis(reach, pick, 1), np.take_along_axis(fresh, pick, 1), -np.inf)
+                keys = ids[pick]
+            else:
+                keys = np.broadcast_to(ids, fresh.shape)
+        else:
+            keys = np.broadcast_to(ids, fresh.shape)
+        scores = np.concatenate([self.scores[hit], fresh], axis=1)
+        keys = np.concatenate([self.ids[hit], keys], axis=1)
+        order = np.lexsort((keys, -scores), axis=1)[:, :k]
+        self.scores[hit], self.ids[hit] = np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)
 
     def batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
-        sizes = [len(s) for s in self.scores]
+        query, rank = np.nonzero(self.scores > -np.inf)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.repeat(query_ids, sizes), pa.int64()),
-                pa.array(np.concatenate(self.ids) if sizes else [], pa.int64()),
-                pa.array(np.concatenate(self.scores) if sizes else [], pa.float64()),
+                pa.array(np.asarray(query_ids, dtype=np.int64)[query], pa.int64()),
+                pa.array(self.ids[query, rank], pa.int64()),
+                pa.array(self.scores[query, rank], pa.float64()),
             ],
             names=["query_id", "chunk_id", "score"],
         )
@@ -72,7 +79,7 @@ def _best_of(tables: Iterator[pa.Table], packed: dict, score: Score, k: int) ->
     # The score matrix of a step stays at a few million cells for any query set.
     step = min(4096, max(64, 4_000_000 // max(n_queries, 1)))
     for table in tables:
-        for start in range(0, table.num_rows, step):
+        for start in range(0, table.num_rows if n_queries else 0, step):
             part = table.slice(start, step)
             matrix = np.round(score(part, packed), SCORE_DIGITS)
             best.add(part.column("chunk_id").to_numpy(), matrix)

@@ -381,10 +381,10 @@ def evl_split_leakage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "evl_corpus_digest",
-    """WITH h AS (SELECT sha256('k' || doc_id || chr(0) || text) AS h FROM documents),
+    """WITH h AS (SELECT sha256('vk' || doc_id || chr(0) || coalesce('v' || text, 'n')) AS h FROM documents),
        s AS (SELECT count(*) AS n, """
-    + ", ".join(f"CAST(sum(CAST('0x' || substring(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR) AS s{i}" for i in range(4))
-    + """ FROM h) SELECT n AS n_chunks, sha256(concat_ws('-', CAST(n AS VARCHAR), s0, s1, s2, s3)) AS digest FROM s""",
+    + ", ".join(f"CAST(sum(CAST('0x' || substring(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR) AS s{i}" for i in range(5))
+    + """ FROM h) SELECT n AS n_chunks, sha256(concat_ws('-', CAST(n AS VARCHAR), s0, s1, s2, s3, s4)) AS digest FROM s""",
 )
 def evl_corpus_digest(spark: SparkSession, sf: str) -> DataFrame:
     docs = ad.documents(spark, sf).select(F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("source_key"), F.col("text").alias("answer"))

@@ -38,7 +38,14 @@ def ret_dense_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ret_dense_topk_ann")
 def ret_dense_topk_ann(spark: SparkSession, sf: str) -> DataFrame:
-    return rt.dense_topk_ann(query_vectors(spark, sf), corpus_vectors(spark, sf), 10)
+    return rt.dense_topk_ann(query_vectors(spark, sf), corpus_vectors(spark, sf), 10, n_lists=16, n_probe=6)
+
+
+@query("ret_dense_topk_all_cells", f"WITH {DENSE} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM dense WHERE rank <= 10")
+def ret_dense_topk_all_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The cell search with all cells probed, which must be the exact result."""
+    hits = rt.dense_topk_ann(query_vectors(spark, sf), corpus_vectors(spark, sf), 10, n_lists=8, n_probe=8)
+    return hits.withColumn("score", F.round("score", 6))
 
 
 # --- lexical ---------------------------------------------------------------
@@ -147,9 +154,9 @@ def ret_policy_scope(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- fusion and evidence ---------------------------------------------------
-# The lexical leg of the fused queries ranks the vectors' labelled documents.
+# The lexical leg of the fused queries ranks all documents, with or without a vector.
 
-_TEXT_LEG = """t AS (SELECT e.vec_id AS chunk_id, regexp_extract_all(lower(d.text), '[\\p{L}\\p{N}_]+') AS tokens FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 10 <> 0),
+_TEXT_LEG = """t AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS tokens FROM documents),
 tp AS (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM t) GROUP BY 1, 2),
 tdf AS (SELECT term, count(*) AS df FROM tp GROUP BY 1), ts AS (SELECT count(*) AS n_docs, avg(len(tokens)) AS avg_len FROM t), tl AS (SELECT chunk_id, len(tokens) AS doc_len FROM t),
 tq AS (SELECT DISTINCT query_id, term FROM (SELECT e.vec_id AS query_id, unnest(regexp_extract_all(lower(d.text), '[\\p{L}\\p{N}_]+')) AS term
@@ -163,7 +170,7 @@ fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 
 
 def _stored(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunk table whose texts are documents and whose vectors are the corpus vectors."""
+    """Chunk table whose texts are all documents and whose vectors are the corpus vectors, where there is one."""
     return ad.stored(spark, sf, "searched-chunks", lambda: _searched(spark, sf))
 
 
@@ -171,9 +178,9 @@ def _searched(spark: SparkSession, sf: str) -> DataFrame:
     drafts = ad.chunk_drafts(spark, sf)
     vectors = corpus_vectors(spark, sf).withColumnRenamed("chunk_id", "doc_id")
     n = F.col("doc_id")
-    return drafts.join(vectors, "doc_id").select(
+    return drafts.join(vectors, "doc_id", "left").select(
         n.alias("id"), "source_key", "category", "questions", "answer", F.col("answer").alias("embedding_text"), "chapter_path",
-        "content_type", F.lit(True).alias("is_active"), "embedding", "label", F.lit("vectorized").alias("vector_status"),
+        "content_type", F.lit(True).alias("is_active"), "embedding", "label", F.when(F.col("embedding").isNotNull(), "vectorized").otherwise("pending").alias("vector_status"),
         F.concat(F.lit("h"), n.cast("string")).alias("content_hash"),
     )
 
@@ -226,7 +233,8 @@ reranked AS (SELECT query_id, chunk_id, round((chunk_id * 37 % 101) / 101.0, 6)
 
 @query("ret_rerank", f"WITH {DENSE}, {_RERANK} SELECT query_id, chunk_id, n, score, error FROM reranked")
 def ret_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    candidates = rt.dense_topk(query_vectors(spark, sf), corpus_vectors(spark, sf), 10).withColumnRenamed("rank", "n")
+    found = rt.dense_topk(query_vectors(spark, sf), corpus_vectors(spark, sf), 10).withColumnRenamed("rank", "n")
+    candidates = materialize(found, "candidates")
     return rt.rerank(candidates, _scores(candidates)).select("query_id", "chunk_id", "n", "score", "error")
 
 
@@ -354,7 +362,7 @@ def ret_parse_expansions(spark: SparkSession, sf: str) -> DataFrame:
 @query("ret_adapt_evidence")
 def ret_adapt_evidence(spark: SparkSession, sf: str) -> DataFrame:
     stored = _stored(spark, sf)
-    hits = rt.dense_topk(query_vectors(spark, sf), corpus_vectors(spark, sf), 5)
+    hits = materialize(rt.dense_topk(query_vectors(spark, sf), corpus_vectors(spark, sf), 5), "hits")
     hashed = hits.withColumn("content_hash", F.concat(F.lit("h"), F.col("chunk_id").cast("string")))
     evidence = rt.hydrate(hashed, stored, _sync(stored))
     faq = rt.faq_retrieve(hits, stored, 5, 0.2).withColumnRenamed("rank", "n")

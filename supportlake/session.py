@@ -44,9 +44,19 @@ def shared_dir(spark: SparkSession, folder: str | None = None) -> str:
     return named.rstrip("/")
 
 
+def _application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/supportlake-{spark.sparkContext.applicationId}"
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder for one run of a job."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, inside the folder of this application."""
+    return f"{_application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_run_dirs(spark: SparkSession) -> None:
+    """Deletes what this application stored. Results that still read stored tables are no longer valid."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -94,9 +94,10 @@ def read_input(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table of few files over the cores before heavy per-row work.
+    """Spread an input of fewer scan tasks than cores before heavy per-row work.
 
-    A table of many files is already spread by its scan and is left alone.
+    Scan tasks are bounded by ``spark.sql.files.maxPartitionBytes``, so such an input has at most that many bytes
+    per core; any other is spread by its scan and is left alone, however few its files are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

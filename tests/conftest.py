@@ -1,11 +1,13 @@
 import pytest
 
-from supportlake.session import FOLDER_SETTING, local_session
+from supportlake.session import FOLDER_SETTING, local_session, remove_run_dirs
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, 4)
+    session = local_session(4, 4)
+    yield session
+    remove_run_dirs(session)
 
 
 @pytest.fixture(scope="session")

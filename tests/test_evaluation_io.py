@@ -65,6 +65,13 @@ def test_corpus_digest_ignores_order_and_sees_edits(spark):
     frame = spark.createDataFrame(rows, "source_key string, answer string")
     digest = ev.corpus_digest(frame).first()
     assert ev.corpus_digest(frame.repartition(7).orderBy(F.rand(1))).first() == digest
+    for column in ("source_key", "answer"):  # a NULL is seen, in any row
+        hidden = frame.withColumn(column, F.when(F.col("source_key") != "k3", F.col(column)))
+        assert ev.corpus_digest(hidden).first() not in (digest, ev.corpus_digest(frame.where("source_key <> 'k3'")).first())
+    kept = [("a", digest["n_chunks"], digest["digest"]), ("b", 1, digest["digest"]), ("c", digest["n_chunks"], "x"), ("d", None, None)]
+    manifest = frame.sparkSession.createDataFrame(kept, "name string, n_chunks long, digest string")
+    status = {r["name"]: r["status"] for r in ev.check_manifest(ev.corpus_digest(frame), manifest).collect()}
+    assert status == {"a": "same", "b": "count_differs", "c": "digest_differs", "d": "count_differs"}
     assert ev.corpus_digest(frame.withColumn("answer", F.when(F.col("source_key") == "k3", "x").otherwise(F.col("answer")))).first() != digest
 
 

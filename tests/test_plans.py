@@ -21,6 +21,19 @@ def test_no_pairwise_joins(spark, sf, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+ONCE = (
+    "cnv_pair_turns", "cnv_advance_cursor", "cnv_budget_batches", "cnv_batch_stats", "cnv_validate_candidates", "ctx_layer1",
+    "ctx_layer2_shorten", "ctx_layer2_overflow", "ctx_summary_batch", "ctx_context_view", "log_audit_loop_limits",
+)
+
+
+@pytest.mark.parametrize("name", ONCE)
+def test_running_values_do_not_multiply_scans(spark, sf, name):
+    text = plan(spark, sf, name)
+    print(name, text.count("FileScan parquet"), text.count("conversations.parquet"))
+    assert text.count("conversations.parquet") <= 6
+
+
 def test_top_k_limits_each_task_before_the_shuffle(spark, sf):
     assert "WindowGroupLimit" in plan(spark, sf, "ret_dense_topk")
 

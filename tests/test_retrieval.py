@@ -43,6 +43,31 @@ def test_equal_vectors_tie_by_id_even_when_most_rows_are_copies(spark):
     assert [r["chunk_id"] for r in rt.dense_topk(query, corpus, 4).orderBy("rank").collect()] == [0, 1, 2, 3]
 
 
+def test_empty_null_and_wrong_width_vectors(spark):
+    kinds = "id long, embedding array<float>"
+    some = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.0, 1.0]), (5, []), (6, [None, 1.0])], kinds)
+    asked, corpus = some.withColumnRenamed("id", "query_id"), some.withColumnRenamed("id", "chunk_id")
+    assert rt.dense_topk(asked.limit(0), corpus, 3).count() == 0
+    assert rt.dense_topk(asked, corpus.limit(0), 3).count() == 0
+    found = rows(rt.dense_topk(asked, corpus, 3), "query_id", "rank", "chunk_id")
+    assert found == [(1, 1, 1), (1, 2, 4), (3, 1, 3), (4, 1, 4), (4, 2, 1)]  # only vectors of one width are compared
+    assert rows(rt.dense_topk(asked, corpus, 3, broadcast_bytes=20), "query_id", "rank", "chunk_id") == found
+
+
+def test_selection_is_vectorised():
+    import time
+
+    best, rng = topk._Best(50, 20_000), np.random.default_rng(0)
+    matrix = np.round(rng.standard_normal((20_000, 1000)).astype(np.float32).astype(float), 3)
+    began = time.process_time()
+    best.add(np.arange(1000), matrix)
+    first = time.process_time() - began
+    best.add(np.arange(1000, 2000), matrix - 10)  # beats nothing
+    for q in (0, 7, 19_999):
+        assert best.ids[q].tolist() == np.lexsort((np.arange(1000), -matrix[q]))[:50].tolist()
+    assert first < 20
+
+
 def test_bm25_grid_equals_broadcast(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
     asked = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
@@ -65,6 +90,10 @@ def test_approximate_search_recall_and_scores(spark, sf):
     common = exact.keys() & near.keys()
     assert len(common) / len(exact) > 6 / 16  # better than the share of cells it reads
     assert all(math.isclose(exact[k], near[k], abs_tol=1e-8) for k in common)
+    cells, centres = rt.vector_cells(corpus, 5)
+    one = rt.search_cells(queries.limit(1), cells, centres, 10, 1)
+    filters = one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert "cell" in filters  # cells that no query probes are not read
     whole = rt.dense_topk_ann(queries, corpus, 10, n_lists=5, n_probe=5)
     assert {(r["query_id"], r["chunk_id"]) for r in whole.collect()} == exact.keys()
 
