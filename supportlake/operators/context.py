@@ -215,6 +215,21 @@ def context_view(turns: DataFrame, bounds: DataFrame, shortened: DataFrame) -> D
     return shortened.withColumn("layer", F.lit(2)).unionByName(newer)
 
 
+def conversation_context(bounds: DataFrame, view: DataFrame, picked: DataFrame) -> DataFrame:
+    """One row per conversation of ``bounds``: rows per layer, the summary text and how many segments it leaves out.
+
+    View: from ``context_view``. Picked: from ``pick_summaries``. Without segments the summary is empty.
+    """
+    sizes = view.groupBy("conversation_id").agg(
+        F.count_if(F.col("layer") == 2).alias("n_layer2"), F.count_if(F.col("layer") == 1).alias("n_layer1")
+    )
+    known = bounds.select("conversation_id").join(sizes, "conversation_id", "left")
+    return known.join(summary_texts(picked), "conversation_id", "left").select(
+        "conversation_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_layer2", "n_layer1")],
+        F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("omitted", F.lit(0)).cast("bigint").alias("omitted"),
+    )
+
+
 def admission_check(
     df: DataFrame, input_tokens: str, window: int, output: int, safety: int, max_tokens: int, used: str, max_output: int
 ) -> DataFrame:

@@ -530,6 +530,63 @@ def check_matrix(rows: DataFrame, checks: str = "checks") -> DataFrame:
     )
 
 
+# Name of each check next to the expected field that asks for it.
+STEP_CHECKS = {
+    "tool_calls": "tool_calls",
+    "preview": "preview",
+    "preview_any": "preview_content",
+    "answer_any": "answer_content",
+    "forbidden_any": "forbidden_content_absent",
+    "forbidden_tools": "forbidden_tools_absent",
+    "invalid_arguments": "invalid_arguments_audited",
+    "forbidden_tool": "forbidden_tool_denied",
+    "ticket_count_delta": "ticket_count_delta",
+    "audit_status": "audit_status",
+}
+
+
+def step_checks(expected: str = "expected", actual: str = "actual") -> Column:
+    """Named checks of a step (map of name to outcome), from structs of what is expected and what happened.
+
+    A NULL expected field asks for nothing, so its check is absent rather than false; an empty list of texts or forbidden
+    tools asks for nothing either, an empty list of tool calls is met. Expected: the fields of STEP_CHECKS (lists of strings
+    for ``tool_calls``, ``*_any`` and ``forbidden_tools``). Actual: tool_names, answer, previews (ticket_type,
+    description), invalid_arguments, forbidden_tool, ticket_count_delta, audit_statuses, has_error_event.
+    """
+    want, got = (lambda f: F.col(expected)[f]), (lambda f: F.col(actual)[f])
+    tools, answer = F.coalesce(got("tool_names"), F.array().cast("array<string>")), F.coalesce(got("answer"), F.lit(""))
+    shown = F.array_join(
+        F.flatten(F.transform(got("previews"), lambda p: F.array(F.coalesce(p["ticket_type"], F.lit("")), F.coalesce(p["description"], F.lit(""))))), " "
+    )
+    asked = lambda f: F.coalesce(F.size(want(f)), F.lit(0)) > 0
+    flag = lambda f: F.coalesce(got(f), F.lit(False))
+    outcome = {
+        "tool_calls": F.forall(want("tool_calls"), lambda t: F.array_contains(tools, t)),
+        "preview": (F.coalesce(F.size(got("previews")), F.lit(0)) > 0) == want("preview"),
+        "preview_any": F.when(asked("preview_any"), F.exists(want("preview_any"), lambda t: F.coalesce(F.contains(shown, t), F.lit(False)))),
+        "answer_any": F.when(asked("answer_any"), F.exists(want("answer_any"), lambda t: F.contains(answer, t))),
+        "forbidden_any": F.when(asked("forbidden_any"), ~F.exists(want("forbidden_any"), lambda t: F.contains(answer, t))),
+        "forbidden_tools": F.when(asked("forbidden_tools"), ~F.arrays_overlap(want("forbidden_tools"), tools)),
+        "invalid_arguments": F.when(want("invalid_arguments").isNotNull(), flag("invalid_arguments")),
+        "forbidden_tool": F.when(want("forbidden_tool").isNotNull(), flag("forbidden_tool")),
+        "ticket_count_delta": F.when(
+            want("ticket_count_delta").isNotNull(), got("ticket_count_delta").eqNullSafe(want("ticket_count_delta"))
+        ),
+        "audit_status": F.when(
+            want("audit_status").isNotNull(), F.coalesce(F.array_contains(got("audit_statuses"), want("audit_status")), F.lit(False))
+        ),
+    }
+    entries = [F.struct(F.lit(STEP_CHECKS[f]).alias("check"), ok.alias("ok")) for f, ok in outcome.items()]
+    entries.append(F.struct(F.lit("no_sse_error").alias("check"), F.when(flag("has_error_event"), F.lit(False)).alias("ok")))
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["ok"].isNotNull()))
+
+
+def expected_checks(expected: str = "expected") -> Column:
+    """Names of the checks that a step's expectations ask for; those of a failed step count as false."""
+    names = [F.when(F.col(expected)[f].isNotNull(), F.lit(name)) for f, name in STEP_CHECKS.items()]
+    return F.filter(F.array(*names), lambda n: n.isNotNull())
+
+
 def case_outcomes(expected: DataFrame, actual: DataFrame, steps: DataFrame) -> DataFrame:
     """Outcome per case: a failed step keeps its expected checks as false.
 

@@ -268,12 +268,30 @@ def typed_scope(chunks: DataFrame, content_types: tuple[str, ...], prefixes: tup
 
 
 def policy_scope(intents: DataFrame) -> DataFrame:
-    """One (intent, prefix) row per scope of a high-risk intent; other intents carry an error."""
+    """One (intent, prefix) row per scope of a high-risk intent, with the content types it forces; other intents carry an error."""
     scopes = F.create_map(*[x for name, values in POLICY_PREFIXES.items() for x in (F.lit(name), F.array(*map(F.lit, values)))])
     found = F.try_element_at(scopes, F.col("intent"))
     return intents.select(
         "*", F.explode_outer(found).alias("category_prefix"),
-    ).withColumn("error", F.when(F.col("category_prefix").isNull(), "policy_retrieval_needs_refund_or_after_sale"))
+    ).withColumns({
+        "content_types": F.when(F.col("category_prefix").isNotNull(), F.array(*map(F.lit, POLICY_TYPES))),
+        "error": F.when(F.col("category_prefix").isNull(), "policy_retrieval_needs_refund_or_after_sale"),
+    })
+
+
+def policy_hits(hits: DataFrame, scopes: DataFrame, key: str = "query_id") -> DataFrame:
+    """Hits inside the scope that the intent of their query forces, each once, renumbered in hit order.
+
+    Hits: ``key``, n, category, content_type and payload. Scopes: from ``policy_scope``, with ``key``. A query without a
+    scope has no hits. Scopes are at most a few rows per query, so they are folded to one row each before the join.
+    """
+    folded = scopes.where("error is null").groupBy(key).agg(
+        F.collect_set("category_prefix").alias("__prefixes"), F.first("content_types").alias("__types")
+    )
+    inside = F.exists("__prefixes", lambda p: (F.col("category") == p) | F.col("category").startswith(F.concat(p, F.lit(" / "))))
+    kept = hits.join(folded, key).filter(inside & F.array_contains("__types", F.col("content_type")))
+    order = Window.partitionBy(key).orderBy("n")
+    return kept.drop("__prefixes", "__types").withColumn("n", F.row_number().over(order).cast("bigint"))
 
 
 def rrf_fuse(legs: list[DataFrame], limit: int = HYBRID_LIMIT, k: int = RRF_K, leg_limit: int = LEG_LIMIT) -> DataFrame:

@@ -349,6 +349,25 @@ def ctx_context_view(spark: SparkSession, sf: str) -> DataFrame:
     return cx.context_view(turns, bounds, cx.layer2_shorten(turns, bounds)).drop("id")
 
 
+@query(
+    "ctx_conversation_context",
+    _LAYER2 + f""", view AS (SELECT conversation_id, 2 AS layer FROM shortened UNION ALL
+      SELECT t.conversation_id, 1 FROM turns t JOIN layer1 l USING (conversation_id) WHERE t.turn_start >= l.layer1_from_msg_id),
+    sizes AS (SELECT conversation_id, count(*) FILTER (WHERE layer = 2) AS n_layer2, count(*) FILTER (WHERE layer = 1) AS n_layer1 FROM view GROUP BY 1),
+    segs AS (SELECT conversation_id, id % {ad.TURNS} + 1 AS segment, content FROM messages WHERE role = 'assistant'),
+    s AS (SELECT *, sum({_L2_TOKENS}) OVER (PARTITION BY conversation_id ORDER BY segment DESC) AS suffix FROM segs),
+    texts AS (SELECT conversation_id, coalesce(string_agg(content, chr(10) ORDER BY segment) FILTER (WHERE suffix <= 300), '') AS summary,
+      count(*) FILTER (WHERE suffix > 300) AS omitted FROM s GROUP BY 1)
+    SELECT conversation_id, coalesce(n_layer2, 0) AS n_layer2, coalesce(n_layer1, 0) AS n_layer1, coalesce(summary, '') AS summary, coalesce(omitted, 0) AS omitted
+    FROM (SELECT conversation_id FROM layer1) LEFT JOIN sizes USING (conversation_id) LEFT JOIN texts USING (conversation_id)""",
+)
+def ctx_conversation_context(spark: SparkSession, sf: str) -> DataFrame:
+    turns, bounds = _layer1(spark, sf)
+    bounds = materialize(bounds, "bounds")
+    view = cx.context_view(turns, bounds, cx.layer2_shorten(turns, bounds))
+    return cx.conversation_context(bounds, view, cx.pick_summaries(_summaries(spark, sf), 300))
+
+
 @query(
     "ctx_admission_check",
     ad.with_cte("messages") + f""", t AS (SELECT conversation_id, CAST(sum({MESSAGE_TOKENS_SQL}) AS BIGINT) AS input_tokens, count(*) * 50 AS used FROM messages GROUP BY 1)

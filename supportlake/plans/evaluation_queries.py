@@ -391,6 +391,46 @@ def evl_corpus_digest(spark: SparkSession, sf: str) -> DataFrame:
     return ev.corpus_digest(docs)
 
 
+@query(
+    "evl_step_checks",
+    """WITH s AS (SELECT conv_id * 1000000000 + turn AS id, (conv_id + turn) % 6 AS k, coalesce(text, '') AS answer, length(coalesce(text, '')) AS n FROM conversations),
+    c AS (
+      SELECT id, 'tool_calls' AS name, n % 2 = 0 AS ok FROM s WHERE k = 0 UNION ALL
+      SELECT id, 'preview', (n % 3 = 0) = (n % 2 = 0) FROM s WHERE k = 1 UNION ALL
+      SELECT id, 'preview_content', n % 3 = 0 AND contains(answer, 'the') FROM s WHERE k = 1 UNION ALL
+      SELECT id, 'answer_content', contains(answer, 'the') OR contains(answer, 'er') FROM s WHERE k = 2 UNION ALL
+      SELECT id, 'forbidden_content_absent', NOT contains(answer, 'an') FROM s WHERE k = 2 UNION ALL
+      SELECT id, 'forbidden_tools_absent', n % 2 <> 0 FROM s WHERE k = 3 UNION ALL
+      SELECT id, 'invalid_arguments_audited', n % 5 = 0 FROM s WHERE k = 3 UNION ALL
+      SELECT id, 'forbidden_tool_denied', n % 7 = 0 FROM s WHERE k = 4 UNION ALL
+      SELECT id, 'ticket_count_delta', n % 4 = 1 FROM s WHERE k = 4 UNION ALL
+      SELECT id, 'audit_status', n % 3 = 1 FROM s WHERE k = 5 UNION ALL
+      SELECT id, 'no_sse_error', false FROM s WHERE n % 11 = 0)
+    SELECT id, name AS "check", ok FROM c""",
+)
+def evl_step_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as steps: what is expected goes by position, what happened by the text."""
+    raw = read_input(spark, sf, "conversations")
+    text = F.coalesce("text", F.lit(""))
+    k, n = (F.col("conv_id") + F.col("turn")) % 6, F.length(text)
+    words = lambda *w: F.array(*map(F.lit, w))
+    expected = F.struct(
+        F.when(k == 0, words("lookup")).alias("tool_calls"), F.when(k == 1, n % 2 == 0).alias("preview"), F.when(k == 1, words("the")).alias("preview_any"),
+        F.when(k == 2, words("the", "er")).alias("answer_any"), F.when(k == 2, words("an")).alias("forbidden_any"),
+        F.when(k == 3, words("lookup", "other")).alias("forbidden_tools"), F.when(k == 3, F.lit(True)).alias("invalid_arguments"),
+        F.when(k == 4, F.lit(True)).alias("forbidden_tool"), F.when(k == 4, F.lit(1)).alias("ticket_count_delta"),
+        F.when(k == 5, F.lit("denied")).alias("audit_status"),
+    )
+    preview = F.struct(F.lit("t").alias("ticket_type"), text.alias("description"))
+    actual = F.struct(
+        F.when(n % 2 == 0, words("lookup")).otherwise(words("none")).alias("tool_names"), text.alias("answer"), F.when(n % 3 == 0, F.array(preview)).alias("previews"),
+        (n % 5 == 0).alias("invalid_arguments"), (n % 7 == 0).alias("forbidden_tool"), (n % 4).alias("ticket_count_delta"),
+        F.when(n % 3 == 1, words("ok", "denied")).alias("audit_statuses"), (n % 11 == 0).alias("has_error_event"),
+    )
+    steps = raw.select((F.col("conv_id") * ad.TURNS + F.col("turn")).alias("id"), expected.alias("expected"), actual.alias("actual"))
+    return steps.select("id", F.explode(ev.step_checks()).alias("check", "ok"))
+
+
 # --- routing and workflow reports ------------------------------------------
 
 

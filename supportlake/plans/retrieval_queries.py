@@ -141,6 +141,7 @@ def ret_typed_scope(spark: SparkSession, sf: str) -> DataFrame:
     "ret_policy_scope",
     """WITH i AS (SELECT conv_id * 1000000000 + turn AS id, CASE (conv_id + turn) % 3 WHEN 0 THEN '退款退货' WHEN 1 THEN '售后' ELSE '物流' END AS intent FROM conversations)
        SELECT id, intent, unnest(CASE intent WHEN '退款退货' THEN ['退换货与退款'] WHEN '售后' THEN ['退换货与退款', '支付与售后'] ELSE [NULL] END) AS category_prefix,
+         CASE WHEN intent <> '物流' THEN 'policy,after_sales' END AS content_types,
          CASE WHEN intent = '物流' THEN 'policy_retrieval_needs_refund_or_after_sale' END AS error FROM i""",
 )
 def ret_policy_scope(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,7 +151,33 @@ def ret_policy_scope(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("conv_id") * ad.TURNS + F.col("turn")).alias("id"),
         F.when(n == 0, "退款退货").when(n == 1, "售后").otherwise("物流").alias("intent"),
     )
-    return rt.policy_scope(intents)
+    return rt.policy_scope(intents).withColumn("content_types", F.array_join("content_types", ","))
+
+
+@query(
+    "ret_policy_hits",
+    """WITH h AS (SELECT item_id AS query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS n,
+        CASE doc_id % 4 WHEN 0 THEN '退换货与退款' WHEN 1 THEN '退换货与退款 / ' || source WHEN 2 THEN '支付与售后 / ' || source ELSE '支付与售后服务' END AS category,
+        CASE CAST(regexp_extract(source, '[0-9]+') AS INTEGER) % 3 WHEN 0 THEN 'product_faq' WHEN 1 THEN 'after_sales' ELSE 'policy' END AS content_type
+      FROM documents JOIN benchmark ON item_id = doc_id % 40)
+    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n) AS n, category, content_type FROM h
+    WHERE content_type <> 'product_faq' AND ((query_id % 3 = 0 AND chunk_id % 4 < 2) OR (query_id % 3 = 1 AND chunk_id % 4 < 3))""",
+)
+def ret_policy_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as hits of benchmark items, with the scope their item's intent forces."""
+    n, source = F.col("doc_id") % 4, F.col("source")
+    items = read_input(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
+    category = (
+        F.when(n == 0, "退换货与退款").when(n == 1, F.concat(F.lit("退换货与退款 / "), source))
+        .when(n == 2, F.concat(F.lit("支付与售后 / "), source)).otherwise("支付与售后服务")
+    )
+    docs = ad.documents(spark, sf).select(
+        (F.col("doc_id") % 40).alias("query_id"), F.col("doc_id").alias("chunk_id"), category.alias("category"),
+        ad.content_type_of(source).alias("content_type"), F.col("doc_id").alias("n"),
+    ).join(items, "query_id", "left_semi")
+    kind = F.col("query_id") % 3
+    intents = items.withColumn("intent", F.when(kind == 0, "退款退货").when(kind == 1, "售后").otherwise("物流"))
+    return rt.policy_hits(docs, rt.policy_scope(intents)).select("query_id", "chunk_id", "n", "category", "content_type")
 
 
 # --- fusion and evidence ---------------------------------------------------
