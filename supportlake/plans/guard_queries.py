@@ -220,12 +220,17 @@ def rte_route_turns(spark: SparkSession, sf: str) -> DataFrame:
     return ro.route_turns(rows).select("event_id", "effective_intent", "route", "stop_reason")
 
 
-def _asked(spark: SparkSession, sf: str, texts: tuple[str, ...]) -> DataFrame:
-    """User messages; all but every (n+1)th become one of the given questions, with the turn's own text kept otherwise."""
+def _asked(spark: SparkSession, sf: str, texts: tuple[str, ...], around: bool = True) -> DataFrame:
+    """User messages; all but every (n+1)th begin with one of the given questions, with their own text on the next line.
+
+    With ``around=False`` the question replaces the text, for rules that only a whole message can meet.
+    """
     step = len(texts) + 1
     pick = F.get(F.array(*map(F.lit, texts)), (F.col("id") % step).cast("int"))
     return ad.messages(spark, sf).filter("role = 'user'").select(
-        "id", "conversation_id", "role", F.coalesce(pick, F.col("content")).alias("content"), (F.col("id") % step).alias("pick")
+        "id", "conversation_id", "role",
+        F.coalesce(F.concat(pick, F.lit("\n"), F.coalesce("content", F.lit(""))) if around else pick, F.col("content")).alias("content"),
+        (F.col("id") % step).alias("pick")
     )
 
 
@@ -237,7 +242,7 @@ _STATUS_TEXTS = ("请问订单DEMO-1001的还在保吗？", "退款进度怎么
     ad.with_cte("messages") + """SELECT id, CASE WHEN id % 6 IN (0, 1, 3, 4) OR id % 11 = 0 THEN 'business' ELSE 'knowledge' END AS route FROM messages WHERE role = 'user'""",
 )
 def rte_route_overrides(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _asked(spark, sf, _STATUS_TEXTS)
+    rows = _asked(spark, sf, _STATUS_TEXTS, around=False)
     return rows.select("id", ro.route_overrides("content", F.lit("knowledge"), F.col("id") % 11 == 0).alias("route"))
 
 
@@ -251,7 +256,7 @@ def _order_turns(spark: SparkSession, sf: str) -> DataFrame:
     )
     resolved = F.when(n == 4, F.lit("DEMO-1001 退款")).when(n == 3, F.lit("DEMO-1002 呢")).otherwise(question)
     return users.select(
-        "id", "conversation_id", question.alias("question"), resolved.alias("resolved_question"), (F.col("id") % 5 != 0).alias("reference_resolved"),
+        "id", "conversation_id", F.concat_ws("\n", question, "content").alias("question"), F.concat_ws("\n", "content", resolved).alias("resolved_question"), (F.col("id") % 5 != 0).alias("reference_resolved"),
         F.when(F.col("conversation_id").cast("bigint") % 10 == 0, F.lit("DEMO-1001")).alias("previous_order"),
     )
 
@@ -293,7 +298,7 @@ def rte_parse_reference(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("rte_is_greeting", ad.with_cte("messages") + "SELECT id, id % 4 IN (0, 1) AS greeting FROM messages WHERE role = 'user'")
 def rte_is_greeting(spark: SparkSession, sf: str) -> DataFrame:
-    return _asked(spark, sf, ("您好！", " 谢 谢~", "你好，查订单")).select("id", ro.is_greeting("content").alias("greeting"))
+    return _asked(spark, sf, ("您好！", " 谢 谢~", "你好，查订单"), around=False).select("id", ro.is_greeting("content").alias("greeting"))
 
 
 _TICKET_TEXTS = ("请帮我创建一个工单", "不要建工单了", "能不能帮我建工单？", "他说“帮我创建工单”", "不想取消工单", "工单先取消吧")
