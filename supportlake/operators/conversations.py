@@ -67,7 +67,11 @@ def user_turns(messages: DataFrame) -> DataFrame:
 
 def pair_turns(messages: DataFrame) -> DataFrame:
     """User message with the first later answer before the next user message."""
-    pairs = user_turns(messages).filter(F.col("assistant_message_id").isNotNull()).drop("next_user_id")
+    return with_texts(user_turns(messages).filter(F.col("assistant_message_id").isNotNull()).drop("next_user_id"), messages)
+
+
+def with_texts(pairs: DataFrame, messages: DataFrame) -> DataFrame:
+    """The texts of the paired messages, looked up by their unique ids."""
     texts = messages.select("id", "content")
     users = texts.select(F.col("id").alias("user_message_id"), F.col("content").alias("user_text"))
     answers = texts.select(F.col("id").alias("assistant_message_id"), F.col("content").alias("assistant_text"))

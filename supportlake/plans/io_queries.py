@@ -108,16 +108,20 @@ def snk_append_failure_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_stream(spark: SparkSession, rows: DataFrame, name: str, parts: int = 3, order: str = "id") -> DataFrame:
-    """The rows as a file stream of several micro-batches, in the order of ``order``."""
+    """The rows as a file stream of several micro-batches, about in the order of ``order``.
+
+    Empty tasks write no file, so a batch may take a few files of the next part: jobs must not rely on the cut.
+    """
     path = run_dir(spark, name)
+    files = spark.sparkContext.defaultParallelism  # of each part, written by as many tasks
     bounds = rows.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000).alias("b")).first()["b"]
     previous = None
     for upper in [*sorted(set(bounds)), None]:
         part = rows if previous is None else rows.filter(F.col(order) > previous)
         part = part if upper is None else part.filter(F.col(order) <= upper)
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(files, order).write.mode("append").parquet(path)
         previous = upper
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def arrival_messages(spark: SparkSession, sf: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from supportlake.functions import text as tx
 from supportlake.operators import conversations as cv
 from supportlake.operators import merge as mg
+from supportlake.session import materialize
 from supportlake.sources.sinks import read_snapshot, write_snapshot
 
 
@@ -32,24 +33,30 @@ def _append_new(rows: DataFrame, path: str, batch: int) -> None:
 
 
 def stream_pair_turns(messages: DataFrame, output: str, state: str, checkpoint: str) -> StreamingQuery:
-    """Pair turns as messages arrive; a turn without an answer waits for later rows.
+    """Pair turns as messages arrive; a question without an answer waits for it, also when later questions came first.
 
-    The state is the messages of turns still open: for each conversation those
-    from its last user message on, if that has no answer yet. Each batch pairs
-    open plus new rows with the batch operator, so a long conversation is as
-    spread out here as there.
+    Answers may arrive late, questions may not: a question must not arrive after messages that follow it. The state is
+    the questions without an answer and the question after each of them, which ends its turn. All state is looked up by
+    message id, so a long conversation is as spread out here as in the batch operator.
     """
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()
         waiting = read_snapshot(spark, f"{state}/{number - 1}") if number > 0 else None
-        rows = batch if waiting is None else batch.unionByName(waiting)
-        turns = cv.user_turns(rows)
-        _append_new(cv.pair_turns(rows), output, number)
-        open_turns = turns.filter(F.col("assistant_message_id").isNull() & F.col("next_user_id").isNull()).select(
-            "conversation_id", F.col("user_message_id").alias("__from")
-        )
-        held = rows.join(open_turns, "conversation_id").filter(F.col("id") >= F.col("__from")).drop("__from")
+        fresh = batch.withColumn("__paired", F.lit(False))
+        rows = fresh if waiting is None else fresh.unionByName(waiting)
+        plain = rows.drop("__paired")
+        paired = rows.filter("__paired").select(F.col("id").alias("user_message_id"))
+        turns = materialize(cv.user_turns(plain).join(paired, "user_message_id", "left_anti"), "stream-turns")
+        pairs = cv.with_texts(turns.filter(F.col("assistant_message_id").isNotNull()).drop("next_user_id"), plain)
+        _append_new(pairs, output, number)
+        unanswered = turns.filter(F.col("assistant_message_id").isNull())
+        wanted = unanswered.select(F.col("user_message_id").alias("id"), F.lit(False).alias("__ends")).unionByName(
+            unanswered.filter(F.col("next_user_id").isNotNull()).select(F.col("next_user_id").alias("id"), F.lit(True).alias("__ends"))
+        ).groupBy("id").agg(F.min("__ends").alias("__paired"))
+        held = plain.join(wanted, "id").select(*plain.columns, "__paired")
         write_snapshot(held, f"{state}/{number}")
+        batch.unpersist()
 
     return _start(messages, handle, checkpoint)
 

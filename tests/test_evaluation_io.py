@@ -135,6 +135,24 @@ def test_streamed_pairs_equal_batch_pairs(spark, sf):
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_streamed_answers_may_come_after_later_questions(spark):
+    from supportlake.session import run_dir
+
+    base = run_dir(spark, "late")
+    schema = "id long, conversation_id string, role string, content string, tool_calls string, tool_call_id string"
+    batches = [
+        [(1, "c", "user", "q1", None, None)], [(3, "c", "user", "q2", None, None)],
+        [(2, "c", "assistant", "a1", None, None), (4, "c", "assistant", "a2", None, None)],
+        [(5, "c", "assistant", "more", None, None), (7, "c", "user", "q3", None, None)], [(8, "c", "assistant", "a3", None, None)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+        jobs.wait(jobs.stream_pair_turns(stream, f"{base}/out", f"{base}/state", f"{base}/checkpoint"))
+    got = sorted((r["user_message_id"], r["assistant_message_id"]) for r in spark.read.parquet(f"{base}/out").collect())
+    assert got == [(1, 2), (3, 4), (7, 8)]
+
+
 def test_streamed_redaction_equals_batch(spark, sf):
     want = {r["id"]: r["redacted"] for r in QUERIES["txt_redact_messages"](spark, sf).collect()}
     assert {r["id"]: r["content"] for r in QUERIES["str_redact"](spark, sf).collect()} == want
