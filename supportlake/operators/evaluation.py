@@ -342,12 +342,15 @@ def select_rejudge(rows: DataFrame) -> DataFrame:
     }).withColumn("error", F.when(~F.col("rejudge"), F.col("error")))
 
 
-def latency_report(rows: DataFrame, stages: tuple[str, ...], keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
-    """Mean seconds per stage and approximate quantiles of the total."""
+def latency_report(
+    rows: DataFrame, stages: tuple[str, ...], keys: tuple[str, ...] = ("strategy",), rank_error: float = 0.001
+) -> DataFrame:
+    """Mean seconds per stage and quantiles of the total, each within ``rank_error`` of its rank (as a share of the rows)."""
     return rows.groupBy(*keys).agg(
         F.count("*").alias("cases"), F.avg("latency_seconds").alias("latency_seconds"),
         *[F.avg(s).alias(s) for s in stages],
-        F.percentile_approx("latency_seconds", F.array(F.lit(0.5), F.lit(0.95)), F.lit(1000)).alias("quantiles"),
+        F.percentile_approx("latency_seconds", F.array(F.lit(0.5), F.lit(0.95)), F.lit(round(1 / rank_error))).alias("quantiles"),
+        F.lit(rank_error).alias("rank_error"),
     )
 
 

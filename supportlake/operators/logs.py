@@ -12,7 +12,6 @@ from supportlake.operators.scan import first_per_key, running
 DOWNGRADE_PREFIX = "层1 降级"
 MODEL_CONTEXT_EVENT = "model_ctx"
 WRITE_TOOL = "create_ticket"
-USAGE_FIELDS = ("input_tokens", "prompt_tokens")
 
 
 def latest_run_per_conversation(runs: DataFrame, order: str) -> DataFrame:

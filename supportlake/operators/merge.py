@@ -139,8 +139,8 @@ def pending_chunks(chunks: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def mark_vectorized(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Set vector id and status where a valid vector arrived; others stay pending."""
-    done = vectors.select(F.col("chunk_id").alias("id"), F.col("vector_id").alias("__vector"))
+    """Set vector id and status where a valid vector arrived; others stay pending. Of several vectors of a chunk the largest id counts."""
+    done = vectors.groupBy(F.col("chunk_id").alias("id")).agg(F.max("vector_id").alias("__vector"))
     has = F.col("__vector").isNotNull()
     return chunks.join(done, "id", "left").withColumns({
         "vector_id": F.when(has, F.col("__vector")).otherwise(F.col("vector_id")),

@@ -265,7 +265,18 @@ def ret_rerank(spark: SparkSession, sf: str) -> DataFrame:
     return rt.rerank(candidates, _scores(candidates)).select("query_id", "chunk_id", "n", "score", "error")
 
 
-@query("ret_retrieve_strategies")
+_STRATEGIES = """legs AS (
+  SELECT 'dense' AS strategy, query_id, chunk_id, rank, score FROM dense UNION ALL
+  SELECT 'bm25', query_id, chunk_id, rank, score FROM lex_all WHERE rank <= 50 UNION ALL
+  SELECT 'hybrid', query_id, chunk_id, rank, score FROM fused),
+cand AS (SELECT strategy, query_id, chunk_id, score, row_number() OVER (PARTITION BY strategy, query_id ORDER BY rank) AS n FROM legs WHERE chunk_id % 7 <> 3),
+top AS (SELECT query_id, chunk_id, n, round((chunk_id * 37 % 101) / 101.0, 6) AS given FROM cand WHERE strategy = 'hybrid' AND n <= 10)
+SELECT strategy, query_id, chunk_id, n, round(score, 6) AS score FROM cand WHERE n <= 10 UNION ALL
+SELECT 'hybrid_rerank', query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY given DESC, n), given FROM top WHERE query_id % 50 <> 40 UNION ALL
+SELECT DISTINCT 'hybrid_rerank', query_id, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE) FROM top WHERE query_id % 50 = 40"""
+
+
+@query("ret_retrieve_strategies", f"WITH {DENSE}, {_TEXT_LEG}, {_STRATEGIES}")
 def ret_retrieve_strategies(spark: SparkSession, sf: str) -> DataFrame:
     """All four strategies over the whole query table."""
     stored = _stored(spark, sf)
