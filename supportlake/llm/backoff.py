@@ -8,24 +8,34 @@ goes through the shuffle once per chunk that has the n-gram, not once per occurr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supportlake.llm.words import Words, grams, inside, mix, slices
+from supportlake.llm.words import grams, inside, mix, slices
+from supportlake.session import materialize
 
 #: Characters of a chunk and n-grams of a hash partition, about; their numbers follow from the table's size.
 CHUNK_CHARS = 1 << 24
 PARTITION_GRAMS = 1 << 21
 
 
-def distinct_grams(words: Words, order: int) -> list[np.ndarray]:
-    """Hashes of the n-grams of each length 1..order that lie in one document, one array per length, repeats included."""
-    hashes = words.hashes
-    return [mix(grams(hashes, n)[np.flatnonzero(inside(words.first, n))] + np.uint64(n)) for n in range(1, order + 1)]
+def chunk_words(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a chunk in a row, and the number of words of each document."""
+    hashes, counts = [], []
+    for _, _, words in slices(texts):
+        hashes.append(words.hashes)
+        counts.append(words.counts)
+    if not hashes:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    return np.concatenate(hashes), np.concatenate(counts).astype(np.int64)
+
+
+def gram_keys(hashes: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, key) of the n-grams of one length that lie in one document."""
+    at = np.flatnonzero(inside(first, length))
+    return at, mix(grams(hashes, length)[at] + np.uint64(length))
 
 
 def pack(hashes: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
@@ -51,17 +61,6 @@ def unplanes(data: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def _tally(texts: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-gram hashes of a chunk, ascending, and their counts."""
-    found = []
-    for _, _, words in slices(texts):
-        found += distinct_grams(words, order)
-    every = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
-    every.sort()
-    fresh = np.flatnonzero(np.diff(every, prepend=~every[:1]))
-    return every[fresh], np.diff(np.append(fresh, len(every)))
-
-
 def score_documents(docs: DataFrame, order: int = 2, backoff: float = 0.4, leave_out: bool = True) -> DataFrame:
     """``doc_id, n_words, log_score, mean_log_score, n_backoff`` for every row.
 
@@ -73,93 +72,111 @@ def score_documents(docs: DataFrame, order: int = 2, backoff: float = 0.4, leave
     Contexts do not cross documents. Rows that repeat an id or a text are documents of their own. Equal grams are told by 64-bit hashes.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n")).first()
-    n_chunks = max(1, -(-(size.chars or 0) // CHUNK_CHARS))
-    n_parts = 1 << max(0, int(np.ceil(np.log2(max(1, (size.chars or 0) / 6 * order / PARTITION_GRAMS)))))
-    chunk = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_chunks)).cast("int")
-    chunked = rows.withColumn("chunk", chunk)
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_chunks = max(1, -(-chars // CHUNK_CHARS))
+    n_parts = 1 << max(0, int(np.ceil(np.log2(max(1, chars / 6 / PARTITION_GRAMS)))))
+    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_chunks)).cast("int"))
+    # One length after the other: each is a job of its own, whose shuffle files are gone before the next.
+    answers = [materialize(_count(chunked, length, n_parts), "gram-counts") for length in range(1, order + 1)]
+    all_words = int(answers[0].agg(F.sum("events")).first()[0] or 0)
+    every = answers[0]
+    for more in answers[1:]:
+        every = every.unionByName(more)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        hashes, counts = chunk_words(left.column("text"))
+        lengths, parts = right.column("length").to_numpy(), right.column("part").to_numpy()
+        totals = []
+        for length in range(1, order + 1):
+            mine = np.flatnonzero(lengths == length)
+            mine = mine[np.argsort(parts[mine])]
+            sums = [unplanes(right.column("totals")[int(i)].as_py()) for i in mine]
+            totals.append(np.concatenate(sums).astype(np.int64) if sums else np.empty(0, dtype=np.int64))
+        logs, missed = score_words(hashes, counts, totals, all_words, backoff, leave_out)
+        return pa.table({
+            "doc_id": left.column("doc_id"), "n_words": pa.array(counts, pa.int64()), "log_score": pa.array(logs, pa.float64()),
+            "mean_log_score": pa.array(logs / np.maximum(counts, 1), mask=counts == 0), "n_backoff": pa.array(missed, pa.int64()),
+        })
+
+    scored = chunked.groupBy("chunk").cogroup(every.groupBy("chunk"))
+    return scored.applyInArrow(score, "doc_id long, n_words long, log_score double, mean_log_score double, n_backoff long")
+
+
+def _count(chunked: DataFrame, length: int, n_parts: int) -> DataFrame:
+    """``chunk, part, length, totals, events``: for each chunk the counts, over all chunks, of its distinct n-grams, in
+    ascending order of their hashes; ``events`` adds up to the number of n-grams."""
+    bits = n_parts.bit_length() - 1
 
     def tally(_: tuple, table: pa.Table) -> pa.Table:
-        hashes, counts = _tally(table.column("text"), order)
-        shift = np.uint64(64 - (n_parts.bit_length() - 1)) if n_parts > 1 else None
-        part = (hashes >> shift).astype(np.int64) if n_parts > 1 else np.zeros(len(hashes), dtype=np.int64)
+        hashes, counts = chunk_words(table.column("text"))
+        _, keys = gram_keys(hashes, np.append(0, np.cumsum(counts)), length)
+        keys.sort()
+        fresh = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+        known, times = keys[fresh], np.diff(np.append(fresh, len(keys)))
+        part = (known >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(known), dtype=np.int64)
         cuts = np.searchsorted(part, np.arange(n_parts + 1))
-        packed = [pack(hashes[a:z], counts[a:z]) for a, z in zip(cuts, cuts[1:])]
-        some = [i for i in range(n_parts) if cuts[i] < cuts[i + 1]]
+        some = np.flatnonzero(np.diff(cuts)).tolist()
+        packed = [pack(known[cuts[i] : cuts[i + 1]], times[cuts[i] : cuts[i + 1]]) for i in some]
         number = table.column("chunk")[0].as_py()
         return pa.table({
             "part": pa.array(some, pa.int32()), "chunk": pa.array([number] * len(some), pa.int32()),
-            "grams": pa.array([packed[i][0] for i in some], pa.binary()), "counts": pa.array([packed[i][1] for i in some], pa.binary()),
+            "grams": pa.array([p[0] for p in packed], pa.binary()), "counts": pa.array([p[1] for p in packed], pa.binary()),
         })
 
     def total(table: pa.Table) -> pa.Table:
-        held = [np.cumsum(unplanes(x.as_py())) for x in table.column("grams")]
+        held = [np.cumsum(unplanes(x.as_py()), dtype=np.uint64) for x in table.column("grams")]
         counts = [unplanes(x.as_py()) for x in table.column("counts")]
         every, n = np.concatenate(held), np.concatenate(counts)
-        order_ = np.argsort(every, kind="stable")
-        every, n = every[order_], n[order_]
+        order = np.argsort(every, kind="stable")
+        every, n = every[order], n[order]
         start = np.flatnonzero(np.diff(every, prepend=~every[:1]))
         known, sums = every[start], np.add.reduceat(n, start)
         answers = [planes(sums[np.searchsorted(known, x)]) for x in held]
-        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "totals": pa.array(answers, pa.binary())})
-
-    counts = chunked.groupBy("chunk").applyInArrow(tally, "part int, chunk int, grams binary, counts binary")
-    answers = counts.groupBy("part").applyInArrow(total, "chunk int, part int, totals binary")
-    n_words = F.size(F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    all_words = int(rows.agg(F.sum(n_words.cast("long"))).first()[0] or 0)
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        known, _ = _tally(left.column("text"), order)
-        parts = np.argsort(right.column("part").to_numpy()) if right.num_rows else []
-        sums = [unplanes(right.column("totals")[int(i)].as_py()) for i in parts]
-        totals = np.concatenate(sums).astype(np.int64) if sums else np.empty(0, dtype=np.int64)
-        out: list[list[np.ndarray]] = [[], [], []]
-        for _, _, words in slices(left.column("text")):
-            for held, got in zip(out, score_words(words, known, totals, all_words, order, backoff, leave_out)):
-                held.append(got)
-        n, logs, missed = (np.concatenate(x) if x else np.empty(0) for x in out)
-        mean = pa.array(logs / np.maximum(n, 1), mask=n == 0)
         return pa.table({
-            "doc_id": left.column("doc_id"), "n_words": pa.array(n, pa.int64()), "log_score": pa.array(logs, pa.float64()),
-            "mean_log_score": mean, "n_backoff": pa.array(missed, pa.int64()),
+            "chunk": table.column("chunk"), "part": table.column("part"), "length": pa.array([length] * len(held), pa.int32()),
+            "totals": pa.array(answers, pa.binary()), "events": pa.array([int(c.sum()) for c in counts], pa.int64()),
         })
 
-    scored = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    return scored.applyInArrow(score, "doc_id long, n_words long, log_score double, mean_log_score double, n_backoff long")
+    counted = chunked.groupBy("chunk").applyInArrow(tally, "part int, chunk int, grams binary, counts binary")
+    return counted.groupBy("part").applyInArrow(total, "chunk int, part int, length int, totals binary, events long")
 
 
-def score_words(words: Words, known: np.ndarray, totals: np.ndarray, all_words: int, order: int, backoff: float, leave_out: bool):
-    """(words, sum of logarithms, words that backed off) of each document, from the counts of all its n-grams."""
-    n = len(words.begin)
-    owner, counts = words.owner(), words.counts.astype(np.int64)
-    place = np.arange(n) - np.repeat(words.first[:-1], words.counts)  # of each word in its document
-    hashes = words.hashes
+def score_words(hashes: np.ndarray, counts: np.ndarray, totals: list[np.ndarray], all_words: int, backoff: float, leave_out: bool):
+    """(sum of logarithms, words that backed off) of each document of a chunk.
+
+    ``totals``: for each length the counts of the chunk's distinct n-grams in ascending order of their keys.
+    """
+    n, first = len(hashes), np.append(0, np.cumsum(counts))
+    owner = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(n) - np.repeat(first[:-1], counts)  # of each word in its document
     gram: list[np.ndarray] = []  # count of the gram of each length that starts at each word, -1 where it leaves the document
-    for length in range(1, order + 1):
+    for length, known in enumerate(totals, 1):
         count = np.full(n, -1, dtype=np.int64)
-        at = np.flatnonzero(inside(words.first, length))
+        at, keys = gram_keys(hashes, first, length)
         if len(at):
-            key = mix(grams(hashes, length)[at] + np.uint64(length))
-            count[at] = totals[np.searchsorted(known, key)]
+            order = np.argsort(keys, kind="stable")  # equal keys stay in the order of their documents
+            keys, at = keys[order], at[order]
+            fresh = np.diff(keys, prepend=~keys[:1]) != 0
+            found = known[np.cumsum(fresh) - 1]
             if leave_out:
-                own = mix(key + mix(owner[at].astype(np.uint64) + np.uint64(1)))
-                _, group, times = np.unique(own, return_inverse=True, return_counts=True)
-                count[at] -= times[group]
+                doc = owner[at]
+                run = fresh | (np.diff(doc, prepend=-1) != 0)
+                start = np.flatnonzero(run)
+                found = found - np.diff(np.append(start, len(at)))[np.cumsum(run) - 1]
+            count[at] = found
         gram.append(count)
     rest = all_words - (counts[owner] if leave_out else 0)
     alone = gram[0]
     value = np.where(alone > 0, alone / np.maximum(rest, 1), 1.0 / (rest + 1))
-    missed = np.zeros(n, dtype=bool)
-    for length in range(2, order + 1):
+    missed = alone <= 0
+    for length in range(2, len(totals) + 1):
         # The gram of this length that ends at a word, and its context, which starts at the same word.
         at = np.flatnonzero(place >= length - 1)
         start = at - (length - 1)
         full, context = gram[length - 1][start], gram[length - 2][start]
         seen = full > 0
         value[at] = np.where(seen, full / np.maximum(context, 1), backoff * value[at])
-        if length == order:
-            missed[at] = ~seen
-    if order == 1:
-        missed = alone <= 0
+        missed = np.zeros(n, dtype=bool)
+        missed[at] = ~seen
     logs = np.bincount(owner, weights=np.log(value), minlength=len(counts))
-    return counts, logs, np.bincount(owner[missed], minlength=len(counts)).astype(np.int64)
+    return logs, np.bincount(owner[missed], minlength=len(counts)).astype(np.int64)
