@@ -7,9 +7,9 @@ texts agree in a register with the probability Jaccard similarity. A shingle sto
 first arrivals of all registers (early termination).
 
 Equal texts are one node. Texts that agree in all registers of a band share a bucket. In a bucket every text is compared
-with the least one; while texts of one bucket remain in different components, the least text of each component there
-that was not a leader yet is compared with the others. No bucket is capped and none emits all its pairs, unless
-all its members are in fact unlike.
+with the most central one. Where a bucket's texts are still in different components, those outside its largest one are
+compared with all others, inside tasks that hold a bounded slice and emit links only: no bucket is capped, no pairs are
+written out, and no link that would join two components is lost.
 """
 
 from __future__ import annotations
@@ -118,7 +118,7 @@ def probability_jaccard(values_x, weights_x, values_y, weights_y) -> float:
 
 def sign(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """``doc_id, node, keys``: node is the md5 of the text, keys the band keys (null without words)."""
-    given = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), "text")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,6 +171,110 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Data
     return laid.mapInArrow(run, "a binary, b binary, similarity double")
 
 
+class Bucket:
+    """Texts of one bucket that are compared with each other in one task: a slice of outer texts and those that pass by.
+
+    Outer texts are those outside the bucket's largest component. Links found join components here too, so a pair of texts
+    that is connected already is not compared again.
+    """
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.rows: list[tuple] = []  # (node, keys, shingles, shares) of the slice
+        self.root: dict[bytes, bytes] = {}
+
+    def top(self, part: bytes) -> bytes:
+        while (above := self.root.get(part, part)) != part:
+            part = above
+        return part
+
+    def meet(self, nodes: list[bytes], parts: list[bytes], keys: np.ndarray, held: list[np.ndarray], counts: list[np.ndarray], band: int):
+        """Links (outer node, node) between the slice and a batch of texts."""
+        sizes = np.array([len(h) for h in held])
+        begin = np.cumsum(sizes) - sizes
+        flat = np.concatenate(held)
+        share = np.concatenate(counts) / np.repeat([c.sum() for c in counts], sizes)
+        plain = np.array([c.max() == 1 for c in counts])
+        tops = np.array([self.top(p) for p in parts], dtype=object)
+        links = []
+        for node, part, own_keys, own, own_counts in self.rows:
+            # Not the same component, and no band before this one in common: each pair is compared in one bucket only.
+            go = np.flatnonzero((tops != self.top(part)) & ~(keys[:, :band] == own_keys[:band]).any(axis=1))
+            if not len(go):
+                continue
+            n = sizes[go]
+            at = np.repeat(begin[go] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            spot = np.minimum(np.searchsorted(own, flat[at]), len(own) - 1)
+            common = own[spot] == flat[at]
+            cuts = np.cumsum(n) - n
+            c = np.add.reduceat(common.astype(np.int64), cuts)
+            jaccard = c / (len(own) + n - c)
+            simple = plain[go] & (own_counts.max() == 1)  # sets: the two similarities are one
+            # Else the similarity is at most the common part of either text's weight.
+            own_share = own_counts / own_counts.sum()
+            bound = np.minimum(np.add.reduceat(common * share[at], cuts), np.add.reduceat(common * own_share[spot], cuts))
+            for i in np.flatnonzero(np.where(simple, jaccard, bound) >= self.threshold - 1e-12).tolist():
+                j = int(go[i])
+                mine, theirs = self.top(part), self.top(parts[j])
+                if mine == theirs:
+                    continue
+                if not simple[i] and probability_jaccard(own, own_counts.astype(float), held[j], counts[j].astype(float)) < self.threshold - 1e-12:
+                    continue
+                links.append((node, nodes[j]))
+                self.root[max(mine, theirs)] = min(mine, theirs)
+                tops = np.array([self.top(p) for p in parts], dtype=object)
+        return links
+
+
+def link_rest(open_rows: DataFrame, texts: DataFrame, keys: DataFrame, k: int, threshold: float) -> DataFrame:
+    """``a, b``: links between different components of a bucket, enough of them to join all that are linked there.
+
+    ``open_rows``: ``key, band, node, part`` of buckets with several components; ``texts``: ``node, text``; ``keys``: ``node, keys``.
+    Every text outside the largest component of its bucket is compared with every text of other components in it, unless
+    they were joined meanwhile, inside tasks that hold SLICE_MEMBERS such texts and let the bucket pass by. No pairs are emitted but links.
+    """
+    sizes = open_rows.groupBy("key", "part").agg(F.count("*").alias("n"))
+    facts = sizes.groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    n_slices = F.ceil((F.col("all") - F.col("most")) / SLICE_MEMBERS).cast("int")
+    facts = materialize(facts.select("key", "main", n_slices.alias("n_slices")), "minhash-facts")
+    joined = open_rows.join(facts, "key").withColumn("outer", F.col("part") != F.col("main"))
+    own = F.pmod(F.xxhash64("node"), F.col("n_slices")).cast("int")
+    held = joined.where("outer").select("key", "band", "node", "part", own.alias("slice"), F.lit(0).alias("kind"))
+    passing = joined.select("key", "band", "node", "part", F.explode(F.sequence(F.lit(0), F.col("n_slices") - 1)).alias("slice"), F.lit(1).alias("kind"))
+    rows = held.unionByName(passing).join(texts, "node").join(keys, "node")
+    laid = rows.repartition("key", "slice").sortWithinPartitions("key", "slice", "kind", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bucket = None, None
+        for batch in batches:
+            links: list[tuple] = []
+            where = list(zip(batch.column("key").to_pylist(), batch.column("slice").to_pylist()))
+            kinds, bands = batch.column("kind").to_pylist(), batch.column("band").to_pylist()
+            nodes, parts = batch.column("node").to_pylist(), batch.column("part").to_pylist()
+            for start, end, words in slices(batch.column("text"), 1 << 20):
+                owner, values, counts = shingles(words, k)
+                cuts = np.searchsorted(owner, np.arange(end - start + 1))
+                all_keys = batch.column("keys").slice(start, end - start).flatten().to_numpy().reshape(end - start, -1)
+                i = start
+                while i < end:
+                    j = i + 1
+                    while j < end and where[j] == where[i] and kinds[j] == kinds[i]:
+                        j += 1
+                    if where[i] != at:
+                        at, bucket = where[i], Bucket(threshold)
+                    sets = [values[cuts[r - start] : cuts[r - start + 1]] for r in range(i, j)]
+                    times = [counts[cuts[r - start] : cuts[r - start + 1]] for r in range(i, j)]
+                    if kinds[i] == 0:
+                        bucket.rows += zip(nodes[i:j], parts[i:j], all_keys[i - start : j - start], sets, times)
+                    else:
+                        links += bucket.meet(nodes[i:j], parts[i:j], all_keys[i - start : j - start], sets, times, bands[i])
+                    i = j
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], ["a", "b"])
+
+    return laid.mapInArrow(run, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = 28, rows: int = 5) -> DataFrame:
     """``doc_id, class_id, node, component, worded``: one row per row of ``docs``; the class is named by its smallest id.
 
@@ -182,9 +286,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
     """
     signed = materialize(sign(docs, k, bands, rows), "minhash-signed")
     nodes = signed.where("keys is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value("keys").alias("keys"))
-    entries = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(entries.join(buckets, "key").select("key", "node", "leader", "n"), "minhash-buckets")
+    entries = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    buckets = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    crowd = materialize(entries.join(buckets, "key").select("key", "band", "node", "n"), "minhash-entries")
+    # The leader of a bucket is the text whose buckets are the fullest: in a group of near copies one with few edits of its own, which is near to most.
+    central = crowd.groupBy("node").agg(F.sum("n").alias("weight"))
+    ranked = crowd.join(central, "node")
+    best = ranked.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("leader"))
+    members = materialize(crowd.join(best, "key"), "minhash-buckets")
 
     wanted = members.select("node").distinct()
     unique = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), "doc_id", "text")
@@ -192,25 +301,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
     texts = unique.join(firsts, (unique.node == firsts.node) & unique.doc_id.eqNullSafe(firsts.first_id)).select(unique.node, "text")
     texts = materialize(texts.groupBy("node").agg(F.max("text").alias("text")), "minhash-texts")
 
-    edges = None
     pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    # Buckets of two are done after the first round, and so is every leader.
-    rest = members.where("n > 2 and node <> leader").select("key", "node")
-    parts = None
-    while True:
-        fresh = materialize(verify(pairs, texts, k, threshold).select("a", "b"), "minhash-links")
-        edges = fresh if edges is None else edges.unionByName(fresh)
-        parts = connected_components(edges)
-        placed = rest.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-        open_keys = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
-        rest_open = materialize(placed.join(open_keys, "key"), "minhash-open")
-        if rest_open.isEmpty():
-            break
-        leaders = rest_open.groupBy("key", "part").agg(F.min("node").alias("leader"))
-        meet = rest_open.join(leaders.withColumnRenamed("part", "leader_part"), "key").where("part <> leader_part")
-        pairs = meet.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        used = leaders.select("key", F.col("leader").alias("node"))
-        rest = rest_open.join(used, ["key", "node"], "left_anti").select("key", "node")
+    stars = materialize(verify(pairs, texts, k, threshold).select("a", "b"), "minhash-links")
+    parts = connected_components(stars)
+    # Buckets of two are done, and so is every leader.
+    rest = members.where("n > 2 and node <> leader").select("key", "band", "node")
+    placed = rest.join(parts, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("part"))
+    open_keys = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
+    open_rows = materialize(placed.join(open_keys, "key"), "minhash-open")
+    more = materialize(link_rest(open_rows, texts, nodes.select("node", "keys"), k, threshold), "minhash-more-links")
+    parts = connected_components(stars.unionByName(more))
     named = nodes.select("node", "first_id").join(parts, "node", "left")
     whole = named.select("node", "first_id", F.coalesce("component", "node").alias("component"))
     classes = whole.groupBy("component").agg(F.min("first_id").alias("class_id"))
