@@ -83,9 +83,28 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_files(read_input(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
-@query("op5_stupid_backoff")
+_BACKOFF = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+tok AS (SELECT doc_id, len(w) AS n, p, w[p] AS a, CASE WHEN p > 1 THEN w[p - 1] END AS b, CASE WHEN p > 2 THEN w[p - 2] END AS c
+  FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+counted AS (SELECT doc_id, n, p, count(*) OVER () - n AS rest,
+  count(*) OVER (PARTITION BY a) - count(*) OVER (PARTITION BY doc_id, a) AS k1,
+  count(*) OVER (PARTITION BY b, a) - count(*) OVER (PARTITION BY doc_id, b, a) AS k2,
+  count(*) OVER (PARTITION BY c, b, a) - count(*) OVER (PARTITION BY doc_id, c, b, a) AS k3 FROM tok),
+context AS (SELECT *, lag(k1) OVER (PARTITION BY doc_id ORDER BY p) AS x1, lag(k2) OVER (PARTITION BY doc_id ORDER BY p) AS x2 FROM counted),
+s1 AS (SELECT *, CASE WHEN k1 > 0 THEN k1 / greatest(rest, 1) ELSE 1 / (rest + 1) END AS v1 FROM context),
+s2 AS (SELECT *, CASE WHEN p < 2 THEN v1 WHEN k2 > 0 THEN k2 / greatest(x1, 1) ELSE 0.4::DOUBLE * v1 END AS v2 FROM s1),
+s3 AS (SELECT *, CASE WHEN p < 3 THEN v2 WHEN k3 > 0 THEN k3 / greatest(x2, 1) ELSE 0.4::DOUBLE * v2 END AS v3 FROM s2),
+scored AS (SELECT doc_id, sum(ln(v3)) AS total, count(*) FILTER (WHERE p > 2 AND k3 <= 0) AS missed FROM s3 GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, round(coalesce(total, 0), 4) AS log_score, round(total / len(w), 6) AS mean_log_score,
+  coalesce(missed, 0) AS n_backoff FROM d LEFT JOIN scored USING (doc_id)
+"""
+
+
+@query("op5_stupid_backoff", _BACKOFF)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff.score_documents(read_input(spark, sf_dir, "documents"), order=3)
+    scored = backoff.score_documents(read_input(spark, sf_dir, "documents"), order=3)
+    return scored.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
 
 
 @query("op6_language_codes")

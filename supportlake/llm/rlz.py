@@ -80,11 +80,6 @@ def anchor_rows(rows: DataFrame, window: int) -> DataFrame:
     return rows.select("row_key", "text").mapInArrow(run, "anchor long, row_key long, at int, again boolean")
 
 
-def _one(text: str) -> Words:
-    data = np.frombuffer(text.encode(), np.uint8)
-    return Words(data, np.array([0, len(data)]))
-
-
 def stretches(placed: DataFrame, window: int) -> DataFrame:
     """Per document and block, the word hashes around the shared anchors.
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 import random
 import re
 
-import pytest
-
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use for results or helpers.
@@ -58,4 +56,4 @@ def edited(rng: random.Random, words: list[str], n: int) -> list[str]:
     return out
 
 
-__all__ = ["CLASHES", "WORD", "edited", "empty_table", "odd_rows", "odd_table", "prose", "pytest", "table"]
+__all__ = ["CLASHES", "WORD", "edited", "empty_table", "odd_rows", "odd_table", "prose", "table"]
