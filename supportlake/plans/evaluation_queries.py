@@ -397,6 +397,24 @@ def evl_corpus_digest(spark: SparkSession, sf: str) -> DataFrame:
     return ev.corpus_digest(docs)
 
 
+@query(
+    "evl_check_manifest",
+    """WITH n AS (SELECT count(*) AS n FROM documents)
+       SELECT 'kept' AS name, n AS n_chunks, n AS now_chunks, 'same' AS status FROM n UNION ALL
+       SELECT 'shorter', n - 1, n, 'count_differs' FROM n UNION ALL SELECT 'edited', n, n, 'digest_differs' FROM n UNION ALL
+       SELECT 'hidden', n, n, 'digest_differs' FROM n""",
+)
+def evl_check_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus against manifests of itself, of one row less, of one edited text and of one text made NULL."""
+    docs = ad.documents(spark, sf).select(F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("source_key"), F.col("text").alias("answer"))
+    one = F.col("source_key") == "k7"
+    edited = docs.withColumn("answer", F.when(one, F.concat("answer", F.lit("."))).otherwise(F.col("answer")))
+    hidden = docs.withColumn("answer", F.when(~one, F.col("answer")))
+    entry = lambda name, df, less=0: ev.corpus_digest(df).select(F.lit(name).alias("name"), (F.col("n_chunks") - less).alias("n_chunks"), "digest")
+    manifest = entry("kept", docs).unionByName(entry("shorter", docs, 1)).unionByName(entry("edited", edited)).unionByName(entry("hidden", hidden))
+    return ev.check_manifest(ev.corpus_digest(docs), manifest).select("name", "n_chunks", "now_chunks", "status")
+
+
 @query(
     "evl_step_checks",
     """WITH s AS (SELECT conv_id * 1000000000 + turn AS id, (conv_id + turn) % 6 AS k, coalesce(text, '') AS answer, length(coalesce(text, '')) AS n FROM conversations),
