@@ -349,8 +349,8 @@ def rte_validate_after_sale(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "rte_accept_refunds",
     """SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 10 = 7 THEN 'unknown_order' WHEN o_orderkey % 10 = 3 THEN 'conversation_owner_mismatch' WHEN o_orderkey % 10 = 5 THEN 'refund_form_not_offered'
-         WHEN o_orderkey % 10 = 9 THEN 'invalid_request' ELSE 'recorded' END AS outcome FROM orders
-       UNION ALL SELECT o_orderkey + 1000000000, CASE WHEN o_orderkey % 4 = 0 THEN 'recorded' ELSE 'request_id_conflict' END FROM orders WHERE o_orderkey % 10 IN (0, 2)""",
+         WHEN o_orderkey % 10 = 9 THEN 'invalid_request' WHEN o_orderkey % 20 = 2 THEN 'request_id_conflict' ELSE 'recorded' END AS outcome FROM orders
+       UNION ALL SELECT o_orderkey + 1000000000, CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 20 = 2 THEN 'recorded' ELSE 'request_id_conflict' END FROM orders WHERE o_orderkey % 10 IN (0, 2)""",
 )
 def rte_accept_refunds(spark: SparkSession, sf: str) -> DataFrame:
     raw = read_input(spark, sf, "orders").select("o_orderkey", "o_custkey")
@@ -371,7 +371,8 @@ def rte_accept_refunds(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(key.alias("order_id"), F.concat(F.lit("r"), key).alias("request_id"), F.when(n % 10 == 5, "退货").otherwise("退款").alias("request_type")).alias("refund_form"),
     )
     offers = raw.select(n.alias("id"), F.concat(F.lit("c"), key).alias("conversation_id"), F.lit("assistant").alias("role"), F.to_json(form).alias("actions"))
-    saved = requests.filter("seq < 0")
+    # Stored before: some with the same content, some with another reason, which only the repeated request has.
+    saved = requests.filter("seq % 20 = 10").unionByName(requests.filter("seq % 20 = 2").withColumn("reason", F.lit("错发/漏发")))
     return ro.accept_refunds(requests.unionByName(again), orders, owners, offers, saved).select("seq", "outcome")
 
 
