@@ -28,8 +28,8 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}
 #: Latin letters up to a blank, line end or common mark are a piece too, which is one pre-token.
 LATIN = "A-Za-zÀ-ÖØ-öø-ˁ"
 PIECE = f" ?[{LATIN}]+(?=[ \\n,.]|\\Z)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
-#: Encoded pieces that a worker remembers; it forgets all when there are more.
-MEMORY = 1_000_000
+#: Encoded pieces that a task remembers; it forgets all when there are more, and at its end.
+MEMORY = 600_000
 #: Longer pieces are not remembered.
 LONG_PIECE = 64
 
@@ -170,6 +170,10 @@ class PairIndexBpe:
         out.update([(p, b"".join(map(get, tokens))) for p, tokens in split.items()])
         return out
 
+    def forget(self) -> None:
+        """Drop what was learnt from texts: a worker also runs tasks of other stages, which need the memory."""
+        self.known = dict(itertools.islice(self.known.items(), self.fixed))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is an empty text."""
         cut, find = self.cut, self.pieces.findall
@@ -184,7 +188,7 @@ class PairIndexBpe:
         new = set().union(*rows).difference(self.known)
         fresh = self._learn(new)
         if len(self.known) + len(fresh) > MEMORY:
-            self.known = dict(list(self.known.items())[: self.fixed])
+            self.forget()
             fresh = fresh | self._learn(set().union(*rows).difference(self.known, fresh))
         self.known.update((p, i) for p, i in fresh.items() if len(p) <= LONG_PIECE)
         table = self.known if all(len(p) <= LONG_PIECE for p in fresh) else {**self.known, **fresh}

@@ -186,6 +186,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 pa.array([int(t.tokens[1]) for t in trees], pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "tree_chars", "tree_tokens", "n_tokens"])
+        counts.clear()
 
     return docs.mapInArrow(run, schema)
 
@@ -231,5 +232,6 @@ def apply_edits(trees: DataFrame, edits: Column, tokenizer_path: str) -> DataFra
             }
             names = [f.name for f in schema.fields]
             yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names)
+        counts.clear()
 
     return given.mapInArrow(run, schema)

@@ -58,5 +58,6 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = True
                     flat = pa.Array.from_buffers(pa.int32(), total, [None, pa.py_buffer(b"".join(ids))])
                     out.insert(0, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
                 yield pa.RecordBatch.from_arrays([*rows.columns, *out], [*batch.schema.names, *[name for name, _ in added]])
+        bpe.forget()
 
     return docs.mapInArrow(run, schema)

@@ -27,8 +27,8 @@ from supportlake.llm.encode import read_definition
 from supportlake.llm.worker import per_worker
 from supportlake.session import run_dir
 
-#: Words that a worker remembers; it forgets all when there are more.
-MEMORY = 1_000_000
+#: Words that a task remembers; it forgets all when there are more, and at its end.
+MEMORY = 600_000
 #: Not split on plain blanks: other separators (which are no white space to the vocabulary) and letters whose lower case
 #: depends on their place.
 _UNUSUAL = re.compile("[\x1c-\x1fİΣ]")
@@ -129,6 +129,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
             keys = batch.column("doc_id")
             nulls += keys.null_count
             ids.append(keys.fill_null(0).to_numpy(zero_copy_only=False))
+        table.clear()
         if out is None:
             return
         out.close()
