@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from supportlake.llm.bpe import parts, vocabulary
+from supportlake.llm.worker import give_back
 
 
 def read_definition(path: str) -> str:
@@ -59,5 +60,6 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = True
                     out.insert(0, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
                 yield pa.RecordBatch.from_arrays([*rows.columns, *out], [*batch.schema.names, *[name for name, _ in added]])
         bpe.forget()
+        give_back()
 
     return docs.mapInArrow(run, schema)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import sys
 import types
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
+
 _MODULE = "supportlake_worker_memory"
 
 
@@ -16,3 +20,12 @@ def per_worker(key: Hashable, make: Callable[[], Any]) -> Any:
     if key not in held:
         held[key] = make()
     return held[key]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker stays for later stages, and its allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    library = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(library), "malloc_trim", None) if library else None
+    if trim is not None:
+        trim(0)
