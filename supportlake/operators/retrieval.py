@@ -24,6 +24,12 @@ RRF_K = 60
 STRATEGIES = ("dense", "bm25", "hybrid", "hybrid_rerank")
 POLICY_PREFIXES = {"退款退货": ("退换货与退款",), "售后": ("退换货与退款", "支付与售后")}
 POLICY_TYPES = ("policy", "after_sales")
+#: Share of the exact neighbours that a search by cells must find, queries it is measured on, and most cells.
+RECALL = 0.9
+RECALL_QUERIES = 512
+MAX_CELLS = 256
+#: A cell of fewer rows is one file.
+CELL_FILE_ROWS = 128
 
 
 # --- dense leg -------------------------------------------------------------
@@ -77,7 +83,7 @@ def vector_cells(chunks: DataFrame, n_lists: int, seed: int = 7) -> tuple[DataFr
     """Chunks (chunk_id, embedding) written by k-means cell, and the unit centres of the cells.
 
     Centres are fitted on all usable vectors. NULL and empty vectors have no cell. The table is partitioned by ``cell``, so a search
-    reads the cells it probes and no others; a large cell is many files and many tasks.
+    reads the cells it probes and no others; a cell of more than a task's share of rows is many files and many tasks.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -88,7 +94,11 @@ def vector_cells(chunks: DataFrame, n_lists: int, seed: int = 7) -> tuple[DataFr
     centres = np.array(model.clusterCenters())
     centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
     path = run_dir(chunks.sparkSession, "vector-cells")
-    model.transform(points).select("chunk_id", "embedding", "cell").write.partitionBy("cell").parquet(path)
+    sizes = model.summary.clusterSizes
+    share = max(CELL_FILE_ROWS, -(-sum(sizes) // int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = F.get(F.array(*[F.lit(-(-n // share) or 1) for n in sizes]), "cell")
+    told = model.transform(points).select("chunk_id", "embedding", "cell")
+    told.repartition("cell", F.pmod(F.xxhash64("chunk_id"), parts)).write.partitionBy("cell").parquet(path)
     return chunks.sparkSession.read.schema("chunk_id bigint, embedding array<float>, cell int").parquet(path), centres
 
 
@@ -136,10 +146,51 @@ def search_cells(
     return topk(asked, cells.where(F.col("cell").isin(wanted)), k, pack, score, **options)
 
 
-def dense_topk_ann(queries: DataFrame, chunks: DataFrame, k: int, n_lists: int, n_probe: int, seed: int = 7) -> DataFrame:
-    """Cells of ``chunks`` built and searched at once; see ``vector_cells`` and ``search_cells``."""
-    cells, centres = vector_cells(chunks, n_lists, seed)
-    return search_cells(queries, cells, centres, k, n_probe)
+def cell_count(rows: int) -> int:
+    """Cells for a corpus of ``rows`` vectors: about the square root, so that a cell holds as many rows as there are cells."""
+    return max(1, min(MAX_CELLS, rows, round(rows**0.5)))
+
+
+def probes_for_recall(queries: DataFrame, cells: DataFrame, centres: np.ndarray, k: int, recall: float, sample: int = RECALL_QUERIES) -> int:
+    """Fewest probed cells that find ``recall`` of the exact top-k neighbours, measured on ``sample`` queries picked by hash.
+
+    The cell of a true neighbour is probed from its place in the query's order of cells on, so one exact search of the sample
+    gives the recall of every number of probes. The mean over the sample must exceed ``recall`` by three standard errors, for the
+    queries outside it; with all queries in the sample it is the recall itself.
+    """
+    asked = queries.select("query_id", "embedding").where("embedding is not null").orderBy(F.xxhash64("query_id"), "query_id").limit(sample + 1)
+    rows = asked.toArrow()  # at most sample + 1 rows
+    whole, rows = rows.num_rows <= sample, rows.slice(0, sample)
+    packed = _pack_vectors(rows, centres.shape[1])
+    vectors, names = packed["groups"][0][2], packed["query_ids"]
+    probed = queries.sparkSession.createDataFrame(rows)
+    hits = dense_topk(probed, cells.select("chunk_id", "embedding"), k).join(cells.select("chunk_id", "cell"), "chunk_id")
+    found = hits.select("query_id", "cell").toArrow()  # at most k rows per query of the sample
+    if not len(names) or not found.num_rows:
+        return len(centres)
+    nearest = np.argsort(-(vectors @ centres.T), axis=1, kind="stable")
+    order = np.argsort(nearest, axis=1)  # place of each cell
+    at = {int(q): i for i, q in enumerate(names)}
+    query = np.array([at[q] for q in found.column("query_id").to_pylist()])
+    places = order[query, found.column("cell").to_numpy()]
+    asked_of = np.bincount(query, minlength=len(names))
+    for n_probe in range(1, len(centres)):
+        hit = np.bincount(query, places < n_probe, minlength=len(names))[asked_of > 0] / asked_of[asked_of > 0]
+        slack = 0.0 if whole else 3 * hit.std() / len(hit) ** 0.5
+        if hit.mean() - slack >= recall:
+            return n_probe
+    return len(centres)
+
+
+def dense_topk_ann(
+    queries: DataFrame, chunks: DataFrame, k: int, n_lists: int | None = None, n_probe: int | None = None, seed: int = 7, recall: float = RECALL
+) -> DataFrame:
+    """Cells of ``chunks`` built and searched at once; see ``vector_cells`` and ``search_cells``.
+
+    Without ``n_lists`` the number of cells follows the rows; without ``n_probe`` it is measured for ``recall`` (``probes_for_recall``).
+    """
+    cells, centres = vector_cells(chunks, n_lists or cell_count(chunks.count()), seed)
+    return search_cells(queries, cells, centres, k, n_probe or probes_for_recall(queries, cells, centres, k, recall))
 
 
 # --- lexical leg -----------------------------------------------------------

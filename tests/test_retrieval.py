@@ -98,6 +98,26 @@ def test_approximate_search_recall_and_scores(spark, sf):
     assert {(r["query_id"], r["chunk_id"]) for r in whole.collect()} == exact.keys()
 
 
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01", "sf0.1"])
+def test_approximate_search_finds_nine_of_ten_neighbours(spark, folder):
+    sf = f"/root/testdata/{folder}"
+    exact = set(rows(rt.dense_topk(rq.query_vectors(spark, sf), rq.corpus_vectors(spark, sf), 10), "query_id", "chunk_id"))
+    near = set(rows(QUERIES["ret_dense_topk_ann"](spark, sf), "query_id", "chunk_id"))
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_probes_are_chosen_by_measured_recall(spark, sf):
+    queries, corpus = vectors(spark, sf)
+    exact = set(rows(rt.dense_topk(queries, corpus, 10), "query_id", "chunk_id"))
+    cells, centres = rt.vector_cells(corpus, 12)
+    share = lambda n: len(exact & set(rows(rt.search_cells(queries, cells, centres, 10, n), "query_id", "chunk_id"))) / len(exact)
+    for recall in (0.5, 0.9):
+        n = rt.probes_for_recall(queries, cells, centres, 10, recall)
+        assert share(n) >= recall > share(n - 1)
+    assert rt.probes_for_recall(queries, cells, centres, 10, 0.9, sample=20) >= rt.probes_for_recall(queries, cells, centres, 10, 0.5)
+    assert rt.cell_count(1) == 1 and rt.cell_count(450) == 21 and rt.cell_count(10**9) == rt.MAX_CELLS
+
+
 def test_prefilter_rules(spark):
     frame = spark.createDataFrame([(1, "a", True), (2, "a / b", True), (3, "ab", True), (4, "a", False)], "chunk_id long, category string, is_active boolean")
     assert rows(rt.prefilter(frame, category="a"), "chunk_id") == [(1,)]
