@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supportlake.functions import jsonval as js
 from supportlake.functions import text as tx
 from supportlake.operators.retrieval import STRATEGIES
+from supportlake.session import materialize
 
 # Judge stages, dataset enumerations, thresholds, replay fields.
 JUDGE_STAGES = ("faithfulness_judge", "correctness_judge")
@@ -354,6 +356,32 @@ def latency_report(
     )
 
 
+def exact_quantiles(rows: DataFrame, value: str, quantiles: tuple[str, ...], keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
+    """``keys, quantiles``: the values at ranks ceil(n * q) of each group of any size; a NULL value counts as the greatest.
+
+    Quantiles are decimal texts, so that ranks are exact. Distinct values with their counts are cut into ranges, no task gets a
+    whole group; only the ranges that hold a wanted rank are ranked.
+    """
+    counted = rows.groupBy(*keys, F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
+    laid = counted.repartitionByRange(*keys, F.col("__value").asc_nulls_last()).withColumn("__range", F.spark_partition_id())
+    laid = materialize(laid, "quantile-ranges")
+    ranges = laid.groupBy(*keys, "__range").agg(F.sum("__n").alias("__sum"))
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = F.array(*[F.ceil(F.sum("__sum").over(group) * F.lit(Decimal(q))).cast("bigint") for q in quantiles])
+    # One row per range of a group, so a group is at most as many rows as there are ranges.
+    held = ranges.withColumns({"__ranks": ranks, "__before": F.sum("__sum").over(upto) - F.col("__sum")})
+    inside = lambda r: (r > F.col("__before")) & (r <= F.col("__before") + F.col("__sum"))
+    wanted = held.where(F.exists("__ranks", inside)).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__r"), "__ranks", "__before")
+    same = F.col("__range") == F.col("__r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    order = Window.partitionBy(*keys, "__range").orderBy(F.col("__value").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = laid.join(wanted, same).withColumn("__upto", F.col("__before") + F.sum("__n").over(order))
+    at = lambda i: F.when((F.col("__ranks")[i] <= F.col("__upto")) & (F.col("__ranks")[i] > F.col("__upto") - F.col("__n")), F.col("__value"))
+    return placed.groupBy(*keys).agg(F.array(*[F.max(at(i)) for i in range(len(quantiles))]).alias("quantiles"))
+
+
 # --- datasets --------------------------------------------------------------
 
 

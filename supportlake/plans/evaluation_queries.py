@@ -327,8 +327,7 @@ def evl_latency_report(spark: SparkSession, sf: str) -> DataFrame:
 )
 def evl_latency_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     rows = read_input(spark, sf, "events").select(F.col("event_type").alias("strategy"), F.col("value").alias("latency_seconds"))
-    # Groups of the tested size are within one rank of this error, so the quantiles are exact there.
-    report = ev.latency_report(rows, (), rank_error=0.00001)
+    report = ev.exact_quantiles(rows, "latency_seconds", ("0.5", "0.95"))
     return report.select("strategy", F.col("quantiles")[0].alias("p50"), F.col("quantiles")[1].alias("p95"))
 
 

@@ -84,6 +84,21 @@ def test_latency_quantiles(spark, sf):
         assert [r["p50"], r["p95"]] == [ordered[-(-len(ordered) // 2) - 1], ordered[-(-len(ordered) * 95 // 100) - 1]]
 
 
+def test_latency_quantiles_are_exact_for_large_groups_and_odd_values(spark, sf, tmp_path):
+    n = 1_200_001
+    value = F.when(F.col("id") % 3 == 0, F.rand(5) * 1e-3).otherwise(F.exp(F.randn(6)))
+    hot = spark.range(n).select(F.lit("hot").alias("event_type"), value.alias("value"))
+    odd = [(None, 2.0), (None, 1.0), ("one", 7.0), ("void", None), ("gaps", 1.0), ("gaps", None), ("gaps", None), ("same", 3.0), ("same", 3.0)]
+    events = spark.read.parquet(f"{sf}/events.parquet").limit(0)
+    small = spark.createDataFrame(odd, "event_type string, value double")
+    events.unionByName(hot.unionByName(small), allowMissingColumns=True).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["strategy"]: (r["p50"], r["p95"]) for r in QUERIES["evl_latency_quantiles"](spark, str(tmp_path)).collect()}
+    kept = spark.read.parquet(f"{tmp_path}/events.parquet").where("event_type = 'hot'").select("value").toArrow().column(0).to_numpy()
+    ordered = sorted(kept)
+    assert got.pop("hot") == (ordered[-(-n // 2) - 1], ordered[-(-n * 95 // 100) - 1])
+    assert got == {None: (1.0, 2.0), "one": (7.0, 7.0), "void": (None, None), "gaps": (None, None), "same": (3.0, 3.0)}
+
+
 def test_jsonl_rejects_carry_line_numbers(spark, tmp_path):
     lines = ['{"run_id":"a","tokens":1}', "", "{bad", '{"tokens":1}', '{"run_id":"b","tokens":"many"}', '["x"]']
     (tmp_path / "log.jsonl").write_text("\n".join(lines))
