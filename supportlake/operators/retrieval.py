@@ -335,14 +335,15 @@ def policy_hits(hits: DataFrame, scopes: DataFrame, key: str = "query_id") -> Da
 
     Hits: ``key``, n, category, content_type and payload. Scopes: from ``policy_scope``, with ``key``. A query without a
     scope has no hits. Scopes are at most a few rows per query, so they are folded to one row each before the join.
+    ``n`` is an integer and unique per query; hits are numbered in blocks of it, so a query may have any number of hits.
     """
     folded = scopes.where("error is null").groupBy(key).agg(
         F.collect_set("category_prefix").alias("__prefixes"), F.first("content_types").alias("__types")
     )
     inside = F.exists("__prefixes", lambda p: (F.col("category") == p) | F.col("category").startswith(F.concat(p, F.lit(" / "))))
     kept = hits.join(folded, key).filter(inside & F.array_contains("__types", F.col("content_type")))
-    order = Window.partitionBy(key).orderBy("n")
-    return kept.drop("__prefixes", "__types").withColumn("n", F.row_number().over(order).cast("bigint"))
+    numbered = running(kept.drop("__prefixes", "__types"), [key], "n", {"__place": ("sum", F.lit(1).cast("bigint"))})
+    return numbered.withColumn("n", F.col("__place")).drop("__place")
 
 
 def rrf_fuse(legs: list[DataFrame], limit: int = HYBRID_LIMIT, k: int = RRF_K, leg_limit: int = LEG_LIMIT) -> DataFrame:

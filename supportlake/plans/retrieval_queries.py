@@ -164,7 +164,25 @@ def ret_policy_scope(spark: SparkSession, sf: str) -> DataFrame:
     WHERE content_type <> 'product_faq' AND ((query_id % 3 = 0 AND chunk_id % 4 < 2) OR (query_id % 3 = 1 AND chunk_id % 4 < 3))""",
 )
 def ret_policy_hits(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as hits of benchmark items, with the scope their item's intent forces."""
+    """Documents as hits of the first 40 benchmark items, with the scope their item's intent forces."""
+    return _policy_hits(spark, sf, 40)
+
+
+@query(
+    "ret_policy_hits_all_items",
+    """WITH h AS (SELECT item_id AS query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS n,
+        CASE doc_id % 4 WHEN 0 THEN '退换货与退款' WHEN 1 THEN '退换货与退款 / ' || source WHEN 2 THEN '支付与售后 / ' || source ELSE '支付与售后服务' END AS category,
+        CASE CAST(regexp_extract(source, '[0-9]+') AS INTEGER) % 3 WHEN 0 THEN 'product_faq' WHEN 1 THEN 'after_sales' ELSE 'policy' END AS content_type
+      FROM documents JOIN benchmark ON item_id = doc_id % (SELECT count(*) FROM benchmark))
+    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n) AS n, category, content_type FROM h
+    WHERE content_type <> 'product_faq' AND ((query_id % 3 = 0 AND chunk_id % 4 < 2) OR (query_id % 3 = 1 AND chunk_id % 4 < 3))""",
+)
+def ret_policy_hits_all_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents dealt over all benchmark items."""
+    return _policy_hits(spark, sf, read_input(spark, sf, "benchmark").count())
+
+
+def _policy_hits(spark: SparkSession, sf: str, n_items: int) -> DataFrame:
     n, source = F.col("doc_id") % 4, F.col("source")
     items = read_input(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
     category = (
@@ -172,7 +190,7 @@ def ret_policy_hits(spark: SparkSession, sf: str) -> DataFrame:
         .when(n == 2, F.concat(F.lit("支付与售后 / "), source)).otherwise("支付与售后服务")
     )
     docs = ad.documents(spark, sf).select(
-        (F.col("doc_id") % 40).alias("query_id"), F.col("doc_id").alias("chunk_id"), category.alias("category"),
+        (F.col("doc_id") % n_items).alias("query_id"), F.col("doc_id").alias("chunk_id"), category.alias("category"),
         ad.content_type_of(source).alias("content_type"), F.col("doc_id").alias("n"),
     ).join(items, "query_id", "left_semi")
     kind = F.col("query_id") % 3

@@ -130,6 +130,30 @@ def test_prefilter_rules(spark):
             rt.prefilter(frame, category=bad)
 
 
+def test_policy_hits_of_one_query_are_numbered_in_blocks(spark):
+    scopes = rt.policy_scope(spark.createDataFrame([(1, "退款退货"), (2, "物流")], "query_id long, intent string"))
+    hits = spark.range(200_000).select(
+        (F.col("id") % 2 + 1).alias("query_id"), F.col("id").alias("n"), F.lit("退换货与退款").alias("category"),
+        F.when(F.col("id") % 3 == 0, "product_faq").otherwise("policy").alias("content_type"), F.col("id").alias("chunk_id"),
+    )
+    got = rt.policy_hits(hits, scopes)
+    assert "__block" in got._jdf.queryExecution().optimizedPlan().toString()  # no task gets all hits of a query
+    kept = [i for i in range(0, 200_000, 2) if i % 3]
+    assert rows(got, "query_id", "n", "chunk_id") == [(1, place, i) for place, i in enumerate(kept, 1)]
+
+
+def test_policy_hits_ask_all_items(spark):
+    sf = "/root/testdata/sf0.1"
+    asked = {r[0] for r in QUERIES["ret_policy_hits_all_items"](spark, sf).select("query_id").distinct().collect()}
+    items = {r[0] for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id").collect()}
+    want = set()
+    for d, source in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").collect():
+        item = d % len(items)
+        if int("".join(filter(str.isdigit, source))) % 3 and d % 4 < {0: 2, 1: 3, 2: 0}[item % 3]:
+            want.add(item)
+    assert len(items) == 200 and asked == want and max(asked) >= 160
+
+
 def test_fusion_limits(spark):
     leg = spark.createDataFrame([(1, i, i) for i in range(1, 61)], "query_id long, chunk_id long, rank long")
     fused = rt.rrf_fuse([leg, leg.filter("chunk_id > 40")], 50)
