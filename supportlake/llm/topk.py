@@ -145,20 +145,20 @@ def top_k(
     """``query_id, rank, vec_id, score``: the k best other rows of every row that is a query, ties to the smaller id.
 
     The score is the inner product of the quantized vectors, exact while it is below 2**53. Vectors of another width
-    than the table's most common one are an error. Ids are unique among usable rows: rows that repeat an id are one
+    than that of most usable rows (the smaller width, if two are equally common) take no part. Ids are unique among usable rows: rows that repeat an id are one
     candidate (the greatest vector of them). Fewer than k other rows give all of them; an empty table gives no rows.
     ``is_query`` is evaluated on the column ``vec_id``.
     """
     spark = vectors.sparkSession
-    rows = quantized(vectors, id_column, vector_column, scale).groupBy("vec_id").agg(F.max("v").alias("v"))
-    rows = materialize(rows.withColumn("is_query", is_query), "topk-rows")
-    facts = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q"), F.min(F.size("v")).alias("a"), F.max(F.size("v")).alias("z")).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not facts.n:
+    usable = quantized(vectors, id_column, vector_column, scale)
+    common = usable.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
+    if not common:
         return empty
-    if facts.a != facts.z:
-        raise ValueError(f"vectors have between {facts.a} and {facts.z} components")
-    width = int(facts.a)
+    width = int(common.width)
+    rows = usable.where(F.size("v") == width).groupBy("vec_id").agg(F.max("v").alias("v"))
+    rows = materialize(rows.withColumn("is_query", is_query), "topk-rows")
+    facts = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
     n_shards = max(1, min(MAX_SHARDS, -(-facts.n // SHARD_ROWS)))
     coded = with_signature(rows, width)
     # Rows with one and the same vector are split between shards too: the id is part of the order.

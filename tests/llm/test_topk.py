@@ -55,6 +55,14 @@ def test_odd_rows(spark):
     assert got == brute(rows, 20) and n == len(got)
 
 
+def test_rows_of_another_width_take_no_part(spark):
+    rows = vectors(random.Random(4), 45)
+    # A new id, a query of its own, and ids that also have a vector of the common width.
+    others = [(60, [0.5] * 7, 0, "x"), (61, [9.0] * 12, 0, "x"), (20, [9.0] * 9, 0, "x"), (3, [9.0], 0, "x")]
+    got, n = run(spark, rows + others)
+    assert got == brute(rows, 20) and n == len(got)
+
+
 def test_few_and_no_rows(spark):
     rows = vectors(random.Random(3), 5)
     got, _ = run(spark, rows)
