@@ -195,3 +195,27 @@ def test_pipeline_takes_an_empty_table(spark, sf, tmp_path):
 
     empty_table(spark).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_run_equals_poisson_inversion_and_the_library(spark, sf, tmp_path):
+    import corpus_pipeline
+    from supportlake.llm.queries import tokenizer_path
+    from tests.llm.test_mixing import copies
+    from tokenizers import Tokenizer
+
+    spark.read.parquet(f"{sf}/documents.parquet").limit(80).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
+    left = docs.collect()
+    chars = collections.Counter()
+    for r in left:
+        chars[r.source] += len(r.text)
+    share = sum(chars.values()) / len(chars)
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    want = collections.Counter()
+    for r in left:
+        ids = tuple(library.encode(r.text, add_special_tokens=False).ids)
+        want[(r.doc_id, r.text, ids)] += copies(share / chars[r.source], r.doc_id)
+    got = collections.Counter((r.doc_id, r.text, tuple(r.bpe_ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == +want and sum(got.values()) > 10
