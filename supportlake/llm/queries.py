@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supportlake.llm import backoff, editcount, encode, langid, minhash, mixing, quality, rlz, tokenfiles, topk
+from supportlake.llm import backoff, editcount, encode, langid, minhash, mixing, periodic, quality, rlz, tokenfiles, topk
 from supportlake.sources.tables import read_input
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,62 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words", "base_failed", "kept"
     )
+
+
+#: Unsigned crc32 of a decimal number in SQL: ``t`` is the usual byte table, from its rule.
+_CRC_TABLE = """crc AS (
+  SELECT list(list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) ORDER BY i) AS t
+  FROM range(256) AS r(i))"""
+
+
+def _crc(column: str) -> str:
+    codes = f"list_transform(string_split(CAST({column} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce({codes}, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+_RUNS = r"""
+WITH CRC, given AS (
+  SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(coalesce(text, ''), 'WORDS') AS w, HASH AS h FROM documents, crc
+), sized AS (SELECT *, len(w) AS n, h // 10 AS g FROM given),
+parts AS (SELECT *, CASE WHEN n > 0 AND h % 10 = 0 THEN g % n END AS a, CASE WHEN n > 0 AND h % 10 = 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM sized),
+d AS (SELECT doc_id, k, n, CASE WHEN a IS NULL THEN w ELSE [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] FOR i IN range(n)] END AS w FROM parts),
+six AS (SELECT k, i, array_to_string(w[i + 1:i + 6], ' ') AS s FROM d, unnest(range(n - 5)) AS t(i) WHERE n >= 12),
+same AS (SELECT x.k, x.i, y.i - x.i AS q FROM six x JOIN six y ON x.k = y.k AND x.s = y.s AND x.i < y.i),
+isles AS (SELECT k, q, i, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS isle FROM same),
+long AS (SELECT k, q, min(i) AS a, min(i) + count(*) + 5 + q AS z FROM isles GROUP BY k, q, isle HAVING count(*) + 5 + q >= greatest(12, 2 * q)),
+runs AS (SELECT * FROM long x WHERE NOT EXISTS (SELECT 1 FROM long y WHERE y.k = x.k AND y.q < x.q AND y.a <= x.a AND y.z >= x.z)),
+per AS (SELECT k, count(*) AS n_runs, sha256(string_agg(a || ',' || (z - a) || ',' || q || chr(10), '' ORDER BY a, q)) AS runs_sha256,
+  list(struct_pack(a := a, z := z, q := q) ORDER BY z - a DESC, a, q)[1] AS best FROM runs GROUP BY k),
+gone AS (SELECT DISTINCT k, i FROM runs, unnest(range(a + q, z)) AS t(i)),
+kept AS (SELECT k, string_agg(x, ' ' ORDER BY i) AS x FROM (SELECT k, i, w[i + 1] AS x FROM d, unnest(range(n)) AS t(i)) ANTI JOIN gone USING (k, i) GROUP BY k)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.a AS BIGINT) AS start, CAST(best.z - best.a AS BIGINT) AS length, CAST(best.q AS BIGINT) AS period,
+  CAST(1000 * (best.z - best.a) // best.q AS BIGINT) AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(x, '')) AS collapsed_sha256
+FROM d LEFT JOIN per USING (k) LEFT JOIN kept USING (k)
+""".replace("CRC", _CRC_TABLE).replace("HASH", _crc("doc_id")).replace("WORDS", _WORDS)
+
+
+def plant_runs(docs: DataFrame) -> DataFrame:
+    """Texts of a tenth of all ids made periodic: with h the crc32 of the id and g = h // 10, words from a = g % n on repeat p words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.expr("h div 10")
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_WORDS), F.lit(0))
+    chosen = docs.withColumn("h", h).withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    sized = chosen.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.pmod(g, F.col("n"))).cast("int"))
+    planned = sized.withColumn("p", F.expr("cast(1 + (n - a) div (3 + pmod(h div 10, 8)) as int)"))
+    turned = F.expr("concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, p), cast((n - a) div p + 1 as int))), 1, n - a))")
+    return planned.withColumn("text", F.when(F.col("a").isNotNull(), F.array_join(turned, " ")).otherwise(F.col("text"))).select("doc_id", "text")
+
+
+@query("op12_block_convolution", _RUNS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(plant_runs(read_input(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("less"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), listed.alias("listed"), "collapsed_text").select(
+        "doc_id", "n_runs", (-F.col("best.back")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.less")).alias("period"),
+        F.expr("1000 * best.length div -best.less").alias("exponent_milli"),
+        F.sha2(F.concat("listed", F.when(F.col("n_runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
