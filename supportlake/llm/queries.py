@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supportlake.llm import backoff, editcount, encode, langid, minhash, mixing, periodic, quality, rlz, tokenfiles, topk
+from supportlake.llm import backoff, editcount, encode, langid, minhash, mixing, periodic, quality, rlz, tokenfiles, topk, trie
+from supportlake.session import materialize
 from supportlake.sources.tables import read_input
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -239,3 +240,50 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat("listed", F.when(F.col("n_runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
         F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
     )
+
+
+_TRIE = r"""
+WITH CRC, given AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (SELECT conv_id, HASH % 4 AS h FROM (SELECT DISTINCT conv_id FROM given), crc),
+rebuilt AS (
+  SELECT ids.conv_id, pos AS o, role, text FROM ids JOIN given ON given.conv_id = ids.conv_id - ids.conv_id % 20 AND pos <= h
+  UNION ALL SELECT conv_id, pos + 3, role, text FROM given JOIN ids USING (conv_id) WHERE pos > h),
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY o) AS d, md5(length(role) || ':' || role || text) AS k,
+  len(regexp_extract_all(text, 'WORDS')) AS words FROM rebuilt),
+members AS (
+  SELECT conv_id, 0 AS d, 0 AS words, '' AS key FROM ids
+  UNION ALL SELECT conv_id, d, words, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d) FROM turns),
+nodes AS (SELECT key, max(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM members GROUP BY key),
+kids AS (SELECT left(key, length(key) - 32) AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+counted AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN kids USING (key)),
+sums AS (SELECT left(key, 32 * e) AS key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved
+  FROM counted, unnest(range(depth + 1)) AS t(e) GROUP BY 1),
+ends AS (SELECT key, sha256(string_agg(conv_id, ',' ORDER BY conv_id)) AS ends_sha256
+  FROM (SELECT conv_id, arg_max(key, d) AS key FROM members GROUP BY conv_id) GROUP BY key)
+SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM counted c JOIN sums USING (key) LEFT JOIN ends USING (key) LEFT JOIN nodes p ON c.depth > 0 AND p.key = left(c.key, length(c.key) - 32)
+""".replace("CRC", _CRC_TABLE).replace("HASH", _crc("conv_id")).replace("WORDS", _WORDS)
+
+
+def rebuild_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns of the rebuilt conversations, and their ids: c begins with the first h turns of c - c % 20, h = crc32(c) % 4, and goes on with its own after h."""
+    given = turns.where("conv_id is not null").select(
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    placed = materialize(trie.number_turns(given, "role", "text"), "rebuilt-numbers")
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    ids = given.select("conv_id").distinct()
+    wanted = ids.select(F.col("conv_id").alias("own"), (F.col("conv_id") - F.col("conv_id") % 20).alias("conv_id"), h.alias("h")).where("h > 0")
+    heads = placed.where("pos <= 3").join(wanted, "conv_id").where("pos <= h").select(F.col("own").alias("conv_id"), F.col("pos").alias("turn"), "role", "text")
+    tails = placed.where(F.col("pos") > h).select("conv_id", (F.col("pos") + 3).alias("turn"), "role", "text")
+    return heads.unionByName(tails), ids
+
+
+@query("op13_double_array_trie", _TRIE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, ids = rebuild_conversations(read_input(spark, sf_dir, "conversations"))
+    nodes = trie.prefix_trie(turns, ids)
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
