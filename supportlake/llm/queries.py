@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supportlake.llm import backoff, editcount, encode, langid, minhash, mixing, periodic, quality, rlz, tokenfiles, topk, trie
+from supportlake.llm import backoff, editcount, encode, langid, minhash, mixing, periodic, quality, rlz, toccur, tokenfiles, topk, trie
 from supportlake.session import materialize
 from supportlake.sources.tables import read_input
 
@@ -196,6 +196,28 @@ def _crc(column: str) -> str:
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
+_JOIN = r"""
+WITH RECURSIVE given AS (
+  SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'WORDS') AS w
+  FROM documents
+), elements AS (
+  SELECT DISTINCT k, array_to_string(w[i:i + 3], ' ') AS e FROM given, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS t(i) WHERE len(w) > 0
+), sizes AS (SELECT k, count(*) AS n FROM elements GROUP BY k),
+common AS (SELECT x.k AS a, y.k AS b, count(*) AS c FROM elements x JOIN elements y ON x.e = y.e AND x.k < y.k GROUP BY 1, 2),
+linked AS (SELECT a, b FROM common JOIN sizes x ON x.k = a JOIN sizes y ON y.k = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (SELECT k AS a, k AS b FROM sizes UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b = both.a),
+least AS (SELECT a AS k, min(doc_id) AS component_id FROM reach JOIN given ON given.k = reach.b GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS component_id
+FROM given LEFT JOIN sizes USING (k) LEFT JOIN least USING (k)
+""".replace("WORDS", _WORDS)
+
+
+@query("op11_divide_skip_join", _JOIN)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toccur.similarity_components(read_input(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 _RUNS = r"""
 WITH CRC, given AS (
   SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(coalesce(text, ''), 'WORDS') AS w, HASH AS h FROM documents, crc
