@@ -205,8 +205,8 @@ WITH RECURSIVE given AS (
 ), sizes AS (SELECT k, count(*) AS n FROM elements GROUP BY k),
 common AS (SELECT x.k AS a, y.k AS b, count(*) AS c FROM elements x JOIN elements y ON x.e = y.e AND x.k < y.k GROUP BY 1, 2),
 linked AS (SELECT a, b FROM common JOIN sizes x ON x.k = a JOIN sizes y ON y.k = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
-both AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
-reach AS (SELECT k AS a, k AS b FROM sizes UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b = both.a),
+edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (SELECT k AS a, k AS b FROM sizes UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
 least AS (SELECT a AS k, min(doc_id) AS component_id FROM reach JOIN given ON given.k = reach.b GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS component_id
 FROM given LEFT JOIN sizes USING (k) LEFT JOIN least USING (k)
