@@ -82,13 +82,13 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = LEG_LIMIT, **opti
 def vector_cells(chunks: DataFrame, n_lists: int, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
     """Chunks (chunk_id, embedding) written by k-means cell, and the unit centres of the cells.
 
-    Centres are fitted on all usable vectors. NULL and empty vectors have no cell. The table is partitioned by ``cell``, so a search
+    Centres are fitted on all usable vectors. NULL, empty and zero vectors have no cell. The table is partitioned by ``cell``, so a search
     reads the cells it probes and no others; a cell of more than a task's share of rows is many files and many tasks.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    usable = chunks.where("embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null)")
+    usable = chunks.where("embedding is not null and exists(embedding, x -> x <> 0) and not exists(embedding, x -> x is null)")
     points = usable.select("chunk_id", "embedding", array_to_vector("embedding").alias("features"))
     model = KMeans(k=n_lists, seed=seed, featuresCol="features", predictionCol="cell", distanceMeasure="cosine").fit(points)
     centres = np.array(model.clusterCenters())

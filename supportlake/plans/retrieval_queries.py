@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supportlake.functions import text as tx
+from supportlake.operators import postings as po
+from supportlake.operators import pq
 from supportlake.operators import retrieval as rt
 from supportlake.plans import adapters as ad
 from supportlake.plans.registry import query
-from supportlake.session import materialize
+from supportlake.session import materialize, path_exists
 from supportlake.sources.tables import read_input
 
 
@@ -36,8 +38,43 @@ def ret_dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return hits.withColumn("score", F.round("score", 6))
 
 
+_PQ_INDEXES: dict[tuple[str, str], pq.PQIndex] = {}
+
+
+def _stored_codes(spark: SparkSession, sf: str) -> pq.PQIndex:
+    """The index of compact codes of the corpus, built once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _PQ_INDEXES or not path_exists(spark, _PQ_INDEXES[key].codes_path):
+        _PQ_INDEXES[key] = pq.build_pq(corpus_vectors(spark, sf))
+    return _PQ_INDEXES[key]
+
+
 @query("ret_dense_topk_ann")
 def ret_dense_topk_ann(spark: SparkSession, sf: str) -> DataFrame:
+    return pq.pq_search(query_vectors(spark, sf), _stored_codes(spark, sf), 10)
+
+
+@query(
+    "ret_ann_recall",
+    f"""WITH {DENSE} SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_neighbours, true AS finds_nine_of_ten, true AS reads_a_fifth_at_most
+        FROM dense WHERE rank <= 10""",
+)
+def ret_ann_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """The approximate search measured against the exact one: queries, true neighbours, whether 0.9 of them are found, and whether a query
+    has at most a fifth of the full vectors re-scored. ``recall`` and ``rescored`` of the index are in the README."""
+    index = _stored_codes(spark, sf)
+    exact = rt.dense_topk(query_vectors(spark, sf), corpus_vectors(spark, sf), 10).select("query_id", "chunk_id")
+    near = pq.pq_search(query_vectors(spark, sf), index, 10).select("query_id", "chunk_id", F.lit(1).alias("found"))
+    joined = exact.join(near, ["query_id", "chunk_id"], "left")
+    return joined.agg(
+        F.count_distinct("query_id").alias("n_queries"), F.count("*").alias("n_neighbours"),
+        (F.count("found") >= 0.9 * F.count("*")).alias("finds_nine_of_ten"), F.lit(5 * index.n_rescored <= index.n_rows).alias("reads_a_fifth_at_most"),
+    )
+
+
+@query("ret_dense_topk_cells")
+def ret_dense_topk_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Search of probed cells by full vectors, without codes."""
     return rt.dense_topk_ann(query_vectors(spark, sf), corpus_vectors(spark, sf), 10)
 
 
@@ -67,8 +104,16 @@ def _index(spark: SparkSession, sf: str) -> DataFrame:
     return rt.lexical_index(docs.select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
-def _stored_index(spark: SparkSession, sf: str) -> DataFrame:
-    return ad.stored(spark, sf, "lexical-index", lambda: _index(spark, sf))
+_POSTING_INDEXES: dict[tuple[str, str], po.Postings] = {}
+
+
+def _stored_postings(spark: SparkSession, sf: str) -> po.Postings:
+    """The inverted index of the documents, built once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _POSTING_INDEXES or not path_exists(spark, _POSTING_INDEXES[key].path):
+        docs = ad.documents_spread(spark, sf)
+        _POSTING_INDEXES[key] = po.build_postings(docs.select(F.col("doc_id").alias("chunk_id"), "text"))
+    return _POSTING_INDEXES[key]
 
 
 _POSTINGS = f"""{_TOKENS},
@@ -88,6 +133,22 @@ def ret_bm25_terms(spark: SparkSession, sf: str) -> DataFrame:
     return rt.bm25_terms(_index(spark, sf))
 
 
+@query(
+    "ret_posting_blocks",
+    f"""WITH {_POSTINGS} SELECT term, count(*) AS df, sum(tf) AS occurrences, max(tf) AS max_tf, min(doc_len) AS min_len,
+        sum(tf * (chunk_id + 1) * doc_len) AS weighted FROM post JOIN lens USING (chunk_id) GROUP BY term""",
+)
+def ret_posting_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored blocks of every term, added up: what they hold and the bounds they are skipped by."""
+    blocks = _stored_postings(spark, sf).blocks(spark).where("term is not null")
+    added = lambda c, f: F.aggregate(c, F.lit(0).cast("bigint"), f)
+    whole = added(F.zip_with("ids", F.zip_with("tfs", "lens", lambda x, y: x * y), lambda x, y: (x + 1) * y), lambda a, x: a + x)
+    return blocks.groupBy("term").agg(
+        F.sum("n").alias("df"), F.sum(added("tfs", lambda a, x: a + x)).alias("occurrences"), F.max("max_tf").alias("max_tf"),
+        F.min("min_len").alias("min_len"), F.sum(whole).alias("weighted"),
+    )
+
+
 @query("ret_bm25_stats", f"WITH {_POSTINGS} SELECT n_docs, round(avg_len, 6) AS avg_len FROM stats")
 def ret_bm25_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rt.bm25_stats(_index(spark, sf)).withColumn("avg_len", F.round("avg_len", 6))
@@ -106,7 +167,7 @@ def _benchmark(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ret_bm25_topk", f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm25_all WHERE rank <= 10")
 def ret_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    hits = rt.bm25_topk(_benchmark(spark, sf), _stored_index(spark, sf), 10)
+    hits = po.bm25_search(_benchmark(spark, sf), _stored_postings(spark, sf), 10)
     return hits.withColumn("score", F.round("score", 6))
 
 

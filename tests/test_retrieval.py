@@ -86,7 +86,7 @@ def test_bm25_finds_cjk_terms(spark):
 def test_approximate_search_recall_and_scores(spark, sf):
     queries, corpus = vectors(spark, sf)
     exact = {(r["query_id"], r["chunk_id"]): r["score"] for r in rt.dense_topk(queries, corpus, 10).collect()}
-    near = {(r["query_id"], r["chunk_id"]): r["score"] for r in QUERIES["ret_dense_topk_ann"](spark, sf).collect()}
+    near = {(r["query_id"], r["chunk_id"]): r["score"] for r in QUERIES["ret_dense_topk_cells"](spark, sf).collect()}
     common = exact.keys() & near.keys()
     assert len(common) / len(exact) > 6 / 16  # better than the share of cells it reads
     assert all(math.isclose(exact[k], near[k], abs_tol=1e-8) for k in common)
@@ -102,7 +102,7 @@ def test_approximate_search_recall_and_scores(spark, sf):
 def test_approximate_search_finds_nine_of_ten_neighbours(spark, folder):
     sf = f"/root/testdata/{folder}"
     exact = set(rows(rt.dense_topk(rq.query_vectors(spark, sf), rq.corpus_vectors(spark, sf), 10), "query_id", "chunk_id"))
-    near = set(rows(QUERIES["ret_dense_topk_ann"](spark, sf), "query_id", "chunk_id"))
+    near = set(rows(QUERIES["ret_dense_topk_cells"](spark, sf), "query_id", "chunk_id"))
     assert len(exact & near) >= 0.9 * len(exact)
 
 
