@@ -31,23 +31,26 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return add
 
 
+#: Components of the given vectors; others take no part.
+VECTOR_WIDTH = 64
+
 _TOPK = """
 WITH v AS (
-  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  SELECT DISTINCT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = 64
     AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum([a.q[i] * b.q[i] FOR i IN range(1, len(a.q) + 1)]) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id
+  SELECT a.vec_id AS query_id, a.q, b.vec_id, CAST(list_sum([a.q[i] * b.q[i] FOR i IN range(1, len(a.q) + 1)]) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND (b.vec_id <> a.vec_id OR b.q <> a.q)
 )
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 20
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, q ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 20
 """
 
 
 @query("op1_topk_blocks", _TOPK)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(read_input(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+    return topk.top_k(read_input(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64, width=VECTOR_WIDTH)
 
 
 @query("op2_prob_minhash")

@@ -62,14 +62,16 @@ def with_signature(rows: DataFrame, width: int) -> DataFrame:
             code = bits @ (1 << np.arange(SIGN_BITS))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code, pa.int64())], [*batch.schema.names, "code"])
 
-    return rows.mapInArrow(sign, "vec_id long, v array<double>, is_query boolean, code long")
+    return rows.mapInArrow(sign, "vec_id long, row long, v array<double>, is_query boolean, code long")
 
 
 class Shard:
     """Blocks of one shard: bounds, forward indexes and ids."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, values: np.ndarray):
+        """``rows`` tells rows apart that share an id."""
         n = len(ids)
+        self.rows = rows
         self.ids = np.sort(ids, kind="stable")  # by id: a row's place stands for its id where scores are equal
         self.place = np.empty(n, dtype=np.int64)
         self.place[np.argsort(ids, kind="stable")] = np.arange(n)
@@ -80,8 +82,8 @@ class Shard:
         self.low = np.minimum.reduceat(values, self.cuts, axis=0)
         self.least = np.minimum.reduceat(ids, self.cuts)
 
-    def search(self, own: np.ndarray, queries: np.ndarray, floor: np.ndarray, floor_id: np.ndarray, k: int):
-        """(query, row, score) of each query's k best rows that beat its floor (score, then smaller id)."""
+    def search(self, own: np.ndarray, own_row: np.ndarray, queries: np.ndarray, floor: np.ndarray, floor_id: np.ndarray, k: int):
+        """(query, id, score) of each query's k best rows that beat its floor (score, then smaller id); its own row is none of them."""
         n = len(self.ids)
         bounds = np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
         order = np.argsort(-bounds, axis=1, kind="stable")
@@ -108,7 +110,7 @@ class Shard:
                 got = queries[q] @ self.values[a:z].T
                 ids = self.row_ids[a:z]
                 keep = (got > floor[q, None]) | ((got == floor[q, None]) & (ids[None, :] <= floor_id[q, None]))
-                keep &= ids[None, :] != own[q, None]
+                keep &= (ids[None, :] != own[q, None]) | (self.rows[None, a:z] != own_row[q, None])
                 some = np.flatnonzero(keep.any(axis=1))
                 if not len(some):
                     continue
@@ -125,44 +127,39 @@ class Shard:
         return at, self.ids[best[at, rank]], score[at, rank].astype(np.int64)
 
 
-_OUT = "query_id long, vec_id long, score long"
-_FIELDS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_OUT = "query_id long, query_row long, vec_id long, score long"
+_FIELDS = pa.schema([(name, pa.int64()) for name in ("query_id", "query_row", "vec_id", "score")])
 
 
-def _hits(shard: Shard, ids, values, floor, floor_id, k) -> Iterator[pa.RecordBatch]:
+def _hits(shard: Shard, ids, rows, values, floor, floor_id, k) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(ids), BATCH):
         part = slice(at, at + BATCH)
-        query, found, score = shard.search(ids[part], values[part], floor[part], floor_id[part], k)
+        query, found, score = shard.search(ids[part], rows[part], values[part], floor[part], floor_id[part], k)
         if len(query):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (ids[part][query], found, score)], schema=_FIELDS
+                [pa.array(x, pa.int64()) for x in (ids[part][query], rows[part][query], found, score)], schema=_FIELDS
             )
 
 
 def top_k(
-    vectors: DataFrame, is_query: Column, k: int, scale: int = 64, id_column: str = "vec_id", vector_column: str = "embedding"
+    vectors: DataFrame, is_query: Column, k: int, scale: int = 64, id_column: str = "vec_id", vector_column: str = "embedding", width: int = 64
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best other rows of every row that is a query, ties to the smaller id.
 
-    The score is the inner product of the quantized vectors, exact while it is below 2**53. Vectors of another width
-    than that of most usable rows (the smaller width, if two are equally common) take no part. Ids are unique among usable rows: rows that repeat an id are one
-    candidate (the greatest vector of them). Fewer than k other rows give all of them; an empty table gives no rows.
+    The score is the inner product of the quantized vectors, exact while it is below 2**53. Vectors of another than the given
+    ``width`` take no part. Rows that repeat an id with another vector are rows of their own, as queries and as candidates (a query that repeats
+    its id gives k hits for each of its vectors); rows that repeat id and quantized vector are one. Fewer than k other rows give all of them; an
+    empty table gives no rows.
     ``is_query`` is evaluated on the column ``vec_id``.
     """
-    spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    usable = quantized(vectors, id_column, vector_column, scale)
-    common = usable.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    if not common:
-        return empty
-    width = int(common.width)
-    rows = usable.where(F.size("v") == width).groupBy("vec_id").agg(F.max("v").alias("v"))
+    usable = quantized(vectors, id_column, vector_column, scale).where(F.size("v") == width)
+    rows = usable.distinct().withColumn("row", F.xxhash64("v")).select("vec_id", "row", "v")
     rows = materialize(rows.withColumn("is_query", is_query), "topk-rows")
     facts = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
     n_shards = max(1, min(MAX_SHARDS, -(-facts.n // SHARD_ROWS)))
     coded = with_signature(rows, width)
     # Rows with one and the same vector are split between shards too: the id is part of the order.
-    dealt = coded.repartitionByRange(n_shards, "code", "vec_id").withColumn("shard", F.spark_partition_id())
+    dealt = coded.repartitionByRange(n_shards, "code", "vec_id", "row").withColumn("shard", F.spark_partition_id())
     index = materialize(dealt, "topk-index")
 
     low = F.array(*[F.min(F.col("v")[i]) for i in range(width)])
@@ -170,19 +167,19 @@ def top_k(
     shards = index.groupBy("shard").agg(low.alias("low"), high.alias("high"), F.min("vec_id").alias("least"), F.count("*").alias("n"))
     summary = sorted(shards.collect(), key=lambda r: r.shard)  # at most MAX_SHARDS rows of fixed width
 
-    queries = index.where("is_query").select("vec_id", "v", "shard")
+    queries = index.where("is_query").select("vec_id", "row", "v", "shard")
     n_slices = max(1, -(-facts.q // SLICE_QUERIES))
 
     def meet(pairs: DataFrame) -> DataFrame:
-        """Hits of queries (``vec_id, v, shard, floor, floor_id``) in the shards they were sent to."""
+        """Hits of queries (``vec_id, row, v, shard, floor, floor_id``) in the shards they were sent to."""
         task = lambda c: F.pmod(F.xxhash64(c), F.lit(n_slices)).cast("int")
-        asked = pairs.select("shard", task("vec_id").alias("slice"), F.lit(1).alias("kind"), "vec_id", "v", "floor", "floor_id")
+        asked = pairs.select("shard", task("vec_id").alias("slice"), F.lit(1).alias("kind"), "vec_id", "row", "v", "floor", "floor_id")
         forward = index.select(
-            "shard", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("slice"), F.lit(0).alias("kind"), "vec_id", "v",
+            "shard", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("slice"), F.lit(0).alias("kind"), "vec_id", "row", "v",
             F.lit(0.0).alias("floor"), F.lit(0).cast("long").alias("floor_id"), "code",
         )
         both = forward.unionByName(asked.withColumn("code", F.lit(0).cast("long")))
-        laid = both.repartition("shard", "slice").sortWithinPartitions("shard", "slice", "kind", "code", "vec_id")
+        laid = both.repartition("shard", "slice").sortWithinPartitions("shard", "slice", "kind", "code", "vec_id", "row")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, shard, held = None, None, []
@@ -195,25 +192,25 @@ def top_k(
                     part, key = batch.slice(a, z - a), tuple(keys[a][:2])
                     if key != at:
                         at, shard, held = key, None, []
-                    ids, values = part.column("vec_id").to_numpy(), matrix(part.column("v"), width)
+                    own = part.column("vec_id").to_numpy(), part.column("row").to_numpy(), matrix(part.column("v"), width)
                     if not keys[a][2]:
-                        held.append((ids, values))
+                        held.append(own)
                         continue
                     if shard is None:
-                        shard = Shard(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+                        shard = Shard(*[np.concatenate(x) for x in zip(*held)])
                         held = []
-                    yield from _hits(shard, ids, values, part.column("floor").to_numpy(), part.column("floor_id").to_numpy(), k)
+                    yield from _hits(shard, *own, part.column("floor").to_numpy(), part.column("floor_id").to_numpy(), k)
 
         return laid.mapInArrow(run, _OUT)
 
     open_floor = [F.lit(float("-inf")).alias("floor"), F.lit(2**63 - 1).cast("long").alias("floor_id")]
-    home = materialize(meet(queries.select("vec_id", "v", "shard", *open_floor)), "topk-home")
+    home = materialize(meet(queries.select("vec_id", "row", "v", "shard", *open_floor)), "topk-home")
     if len(summary) > 1:
-        place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        place = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
         kth = home.withColumn("r", F.row_number().over(place)).where(F.col("r") == k)
-        floors = kth.select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"), F.col("vec_id").alias("floor_id"))
-        known = queries.join(floors, "vec_id", "left").select(
-            "vec_id", "v", "shard", F.coalesce("floor", open_floor[0]).alias("floor"), F.coalesce("floor_id", open_floor[1]).alias("floor_id")
+        floors = kth.select(F.col("query_id").alias("vec_id"), F.col("query_row").alias("row"), F.col("score").cast("double").alias("floor"), F.col("vec_id").alias("floor_id"))
+        known = queries.join(floors, ["vec_id", "row"], "left").select(
+            "vec_id", "row", "v", "shard", F.coalesce("floor", open_floor[0]).alias("floor"), F.coalesce("floor_id", open_floor[1]).alias("floor_id")
         )
         numbers = np.array([r.shard for r in summary])
         highs, lows = np.array([r.high for r in summary]), np.array([r.low for r in summary])
@@ -231,14 +228,14 @@ def top_k(
                     if len(query):
                         sent = part.take(pa.array(query))
                         yield pa.RecordBatch.from_arrays(
-                            [sent.column("vec_id"), sent.column("v"), pa.array(numbers[shard], pa.int32()), sent.column("floor"), sent.column("floor_id")],
-                            ["vec_id", "v", "shard", "floor", "floor_id"],
+                            [sent.column("vec_id"), sent.column("row"), sent.column("v"), pa.array(numbers[shard], pa.int32()), sent.column("floor"), sent.column("floor_id")],
+                            ["vec_id", "row", "v", "shard", "floor", "floor_id"],
                         )
 
-        away = meet(known.mapInArrow(route, "vec_id long, v array<double>, shard int, floor double, floor_id long"))
+        away = meet(known.mapInArrow(route, "vec_id long, row long, v array<double>, shard int, floor double, floor_id long"))
         hits = home.unionByName(away)
     else:
         hits = home
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    place = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

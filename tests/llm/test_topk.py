@@ -8,26 +8,26 @@ from supportlake.llm import topk
 SCHEMA = "vec_id long, embedding array<float>, label int, score string"
 
 
-def brute(rows, k, scale=64):
-    best = {}
+def brute(rows, k, scale=64, width=8):
+    """Rows of (query, rank, id, score) as a sorted list; distinct (id, quantized vector) rows are the candidates and the queries."""
+    held = set()
     for i, v, *_ in rows:
-        if i is None or not v or any(x is None or not math.isfinite(x) for x in v):
+        if i is None or not v or len(v) != width or any(x is None or not math.isfinite(x) for x in v):
             continue
-        q = [math.floor(scale * x) for x in v]
-        best[i] = max(best.get(i, q), q)
-    out = set()
-    for i, q in best.items():
+        held.add((i, tuple(math.floor(scale * x) for x in v)))
+    out = []
+    for i, q in held:
         if i % 20:
             continue
-        hits = sorted((-sum(a * b for a, b in zip(q, w)), j) for j, w in best.items() if j != i)[:k]
-        out |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(hits)}
-    return out
+        hits = sorted((-sum(a * b for a, b in zip(q, w)), j) for j, w in held if (j, w) != (i, q))[:k]
+        out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(hits)]
+    return sorted(out)
 
 
 def run(spark, rows, k=20):
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = topk.top_k(df, F.col("vec_id") % 20 == 0, k).collect()
-    return {tuple(r) for r in got}, len(got)
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, k, width=8).collect()
+    return sorted(tuple(r) for r in got), len(got)
 
 
 def vectors(rng, n, width=8):
@@ -50,9 +50,11 @@ def test_equals_brute_force_over_many_shards_and_blocks(spark, monkeypatch):
 def test_odd_rows(spark):
     rows = vectors(random.Random(2), 45)
     rows += [(60, None, 1, None), (80, [None] + [0.1] * 7, 1, None), (100, [float("nan")] * 8, 1, None), (120, [float("inf")] * 8, 1, None), (140, [], 1, None), (None, rows[0][1], None, None)]
-    rows += [rows[20], (20, rows[21][1], None, None)]  # a repeated row, a repeated id
+    rows += [rows[20], (20, rows[21][1], None, None), (3, rows[4][1], 0, "x")]  # a repeated row, repeated ids of a query and of a candidate
     got, n = run(spark, rows)
-    assert got == brute(rows, 20) and n == len(got)
+    assert got == brute(rows, 20) and n == len(got) == 4 * 20  # two vectors of query 20
+    every, _ = run(spark, rows, 100)
+    assert every == brute(rows, 100) and [r[2] for r in every if r[0] == 40].count(3) == 2 and (20, 20) in {(r[0], r[2]) for r in every}
 
 
 def test_rows_of_another_width_take_no_part(spark):
@@ -67,8 +69,8 @@ def test_few_and_no_rows(spark):
     rows = vectors(random.Random(3), 5)
     got, _ = run(spark, rows)
     assert got == brute(rows, 20) and len(got) == 4
-    assert run(spark, rows[:1])[0] == set()
-    assert run(spark, [(0, None, 1, None)])[0] == set()
+    assert run(spark, rows[:1])[0] == []
+    assert run(spark, [(0, None, 1, None)])[0] == []
 
 
 def test_blocks_are_pruned():
@@ -85,7 +87,7 @@ def test_blocks_are_pruned():
                 Counted.reads += 1
             return super().__getitem__(key)
 
-    shard = topk.Shard(np.arange(len(values)), values)
+    shard = topk.Shard(np.arange(len(values)), np.zeros(len(values), dtype=np.int64), values)
     shard.values = values.view(Counted)
-    query, ids, score = shard.search(np.array([-1]), np.full((1, 4), 3.0), np.array([-np.inf]), np.array([2**62]), 5)
+    query, ids, score = shard.search(np.array([-1]), np.array([0]), np.full((1, 4), 3.0), np.array([-np.inf]), np.array([2**62]), 5)
     assert Counted.reads == 1 and (ids < topk.BLOCK_ROWS).all()
