@@ -13,7 +13,7 @@ Who meets whom is found by two cuts that lose no link (all orders below are glob
 
 Routes make families. On every route all sets meet its most central one (a star), in slices that are indexed and searched.
 Routes that still join different components form families of sets; in each, those outside its largest component are indexed in slices
-and all others search them. Tasks hold a slice and emit links only: no group is capped, and no pairs are written out.
+and all others search them, by portions. Tasks hold a slice and emit links only: no group is capped, and no pairs are written out.
 """
 
 from __future__ import annotations
@@ -34,8 +34,9 @@ from supportlake.llm.minhash import shingles
 from supportlake.llm.words import Words, list_column, slices
 from supportlake.session import materialize
 
-#: Sets that one task indexes at once.
+#: Sets that one task indexes at once, and sets that search them there.
 SLICE_MEMBERS = 512
+SLICE_QUERIES = 2048
 #: Weight of a list's length in the choice of long lists, and t as a share (1 / TIMES) of a set.
 MU, TIMES = 0.0085, 20
 
@@ -183,9 +184,9 @@ def _by_group(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
 
 
 def search_slices(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """``a, b``: links between indexed and searching sets of a group, enough to join all that are linked.
+    """``a, b``: links between indexed and searching sets of a slice, enough to join all that are linked.
 
-    ``rows``: ``grp, slice, kind, node, part, text``; kind 0 is indexed, kind 1 searches. Sets of one ``part`` are joined already, and so are
+    ``rows``: ``grp, slice, kind, node, part, text``, the slice a number or a struct of numbers; kind 0 is indexed, kind 1 searches. Sets of one ``part`` are joined already, and so are
     sets that a link has joined before in the task.
     """
     laid = rows.repartition("grp", "slice").sortWithinPartitions("grp", "slice", "kind", "node")
@@ -253,11 +254,15 @@ def family_links(open_rows: DataFrame, texts: DataFrame, k: int, percent: int) -
     sizes = placed.groupBy("grp", "part").agg(F.count("*").alias("n"))
     facts = sizes.groupBy("grp").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     n_slices = F.ceil((F.col("all") - F.col("most")) / SLICE_MEMBERS).cast("int")
-    joined = placed.join(facts.select("grp", "main", n_slices.alias("n_slices")).where("n_slices > 0"), "grp")
+    n_portions = F.ceil(F.col("all") / SLICE_QUERIES).cast("int")
+    joined = placed.join(facts.select("grp", "main", n_slices.alias("n_slices"), n_portions.alias("n_portions")).where("n_slices > 0"), "grp")
     piece = F.pmod(F.xxhash64("node"), F.col("n_slices")).cast("int")
-    indexed = joined.where("part <> main").select("grp", piece.alias("slice"), F.lit(0).alias("kind"), "node", "part")
-    asking = joined.select("grp", F.explode(F.sequence(F.lit(0), F.col("n_slices") - 1)).alias("slice"), F.lit(1).alias("kind"), "node", "part")
-    return search_slices(indexed.unionByName(asking).join(texts, "node"), k, percent)
+    portion = F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_portions")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    indexed = joined.where("part <> main").select("grp", piece.alias("x"), every("n_portions").alias("y"), F.lit(0).alias("kind"), "node", "part")
+    asking = joined.select("grp", every("n_slices").alias("x"), portion.alias("y"), F.lit(1).alias("kind"), "node", "part")
+    rows = indexed.unionByName(asking).withColumn("slice", F.struct("x", "y")).drop("x", "y")
+    return search_slices(rows.join(texts, "node"), k, percent)
 
 
 def similarity_components(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
