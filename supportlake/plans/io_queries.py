@@ -15,7 +15,7 @@ from supportlake.plans import adapters as ad
 from supportlake.plans.evaluation_queries import evaluation_rows
 from supportlake.plans.guard_queries import _GUARD, generations
 from supportlake.plans.merge_queries import _STATE, _chunks
-from supportlake.plans.conversation_queries import _PAIRS, _DOC_FP
+from supportlake.plans.conversation_queries import _PAIRS, FINGERPRINT_SQL
 from supportlake.plans.registry import query
 from supportlake.session import run_dir
 from supportlake.sources import files, sinks
@@ -148,25 +148,38 @@ def str_redact(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("str_dedup_writes", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS conversation_id, props AS tool_call_id FROM events")
 def str_dedup_writes(spark: SparkSession, sf: str) -> DataFrame:
+    """Writes in the order of their time, an hour of lateness: a write that is repeated later than that is a new one, so keys are counted once."""
     base = run_dir(spark, "dedup")
     calls = read_input(spark, sf, "events").select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("conversation_id"), F.col("props").alias("tool_call_id")
     )
-    stream = split_stream(spark, calls, "dedup-input", order="event_id")
-    jobs.wait(jobs.stream_dedup_writes(stream, f"{base}/out", f"{base}/checkpoint", "3650 days"))
-    return spark.read.schema(calls.schema).parquet(f"{base}/out").select("conversation_id", "tool_call_id")
+    stream = split_stream(spark, calls.withColumn("at", F.unix_micros("ts")), "dedup-input", order="at").drop("at")
+    jobs.wait(jobs.stream_dedup_writes(stream, f"{base}/out", f"{base}/checkpoint", "1 hour"))
+    return spark.read.schema(calls.schema).parquet(f"{base}/out").select("conversation_id", "tool_call_id").distinct()
 
 
-@query("str_extract", f"SELECT DISTINCT 'conversation:' || {_DOC_FP} AS source_key FROM documents")
+_REDACTED_FP = FINGERPRINT_SQL.format(
+    "'copies' || chr(10) || 'q' || chr(10) || regexp_replace(regexp_replace(regexp_replace(text, '[0-9@_-]', '', 'g'), '(?i)(ord|tkt|ticket|case)', 'x', 'g')"
+    " || ' mail [EMAIL], phone [PHONE].', '^\\s+|\\s+$', '', 'g')"
+)
+
+
+@query("str_extract", f"SELECT DISTINCT 'conversation:' || {_REDACTED_FP} AS source_key FROM documents WHERE text IS NOT NULL")
 def str_extract(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as candidates that were redacted upstream, so the oracle can hash them."""
+    """Documents as candidates with an address and a number of their own, which redaction must take away before texts are compared.
+
+    Characters and words that other patterns could take are removed from the document first, so the oracle knows what stays.
+    """
     base = run_dir(spark, "extract")
-    rows = ad.documents(spark, sf).select(
-        F.col("doc_id").alias("candidate_id"), F.lit("copies").alias("category"), F.array(F.lit("q")).alias("questions"),
-        F.col("text").alias("answer"), (F.col("doc_id") % 2).alias("source_user_message_id"),
+    n = F.col("doc_id")
+    plain = F.regexp_replace(F.regexp_replace("text", "[0-9@_-]", ""), "(?i)(ord|tkt|ticket|case)", "x")
+    personal = F.concat(F.lit(" mail u"), (n % 97).cast("string"), F.lit("@example.org, phone 138"), F.lpad((n % 89).cast("string"), 8, "0"), F.lit("."))
+    rows = ad.documents(spark, sf).where("text is not null").select(
+        n.alias("candidate_id"), F.lit("copies").alias("category"), F.array(F.lit("q")).alias("questions"),
+        F.concat(plain, personal).alias("answer"), (n % 2).alias("source_user_message_id"),
     )
     stream = split_stream(spark, rows, "extract-input", order="candidate_id")
-    jobs.wait(jobs.stream_extract(stream, f"{base}/staging", f"{base}/promoted", f"{base}/checkpoint", redact=False))
+    jobs.wait(jobs.stream_extract(stream, f"{base}/staging", f"{base}/promoted", f"{base}/checkpoint"))
     return spark.read.parquet(f"{base}/promoted").select("source_key")
 
 
