@@ -2,7 +2,9 @@
 
 A document is cut into blocks by one regular expression and all later steps
 are folds over its short block array, so a whole corpus is chunked in one
-narrow pass: no shuffle, no per-row Python.
+narrow pass: no shuffle, no per-row Python. Folds emit into short arrays that
+are put together block by block (``scan``), and parts that belong together are
+cut out by boundary arrays, so the work follows the length of a document.
 """
 
 from __future__ import annotations
@@ -32,8 +34,7 @@ _HEADING_LINE = rf"\n(?={_TITLE})[^\n]*"
 _PROSE = rf"\n[\s\S]*?(?=\n(?:{_BLANK}*(?:```|~~~|\|)|{_TITLE})|\z)"
 BLOCK = rf"(?U){_FENCE}|{_TABLE}|{_HEADING_LINE}|{_PROSE}"
 
-_SEGMENTS = "array<struct<path:array<string>,kind:string,content:string>>"
-_PARTS = "array<struct<path:array<string>,kind:string,answer:string,ordinal:bigint>>"
+_SHOWN = "array<struct<path:array<string>,kind:string,content:string,begins:boolean>>"
 STRINGS = "array<string>"
 
 
@@ -52,6 +53,29 @@ def blocks(col: Column | str) -> Column:
     return F.regexp_extract_all(text, F.lit(BLOCK), F.lit(0))
 
 
+def scan(items: Column, state: dict[str, Column], emitted: str, step, width: int = 256) -> Column:
+    """All outputs of a running fold: ``step(state struct, item)`` gives the next state (a dict of columns) and an array to emit.
+
+    An array that grows by one element per step would be copied at every step; here a step grows an array of at most one block of
+    ``width`` items, and only blocks are put together.
+    """
+    def run(whole: Column) -> Column:
+        def one(acc: Column, item: Column) -> Column:
+            following, out = step(acc, item)
+            return F.struct(*[following[k].alias(k) for k in state], F.concat(acc["out"], out).alias("out"))
+
+        def block(acc: Column, number: Column) -> Column:
+            start = F.struct(*[acc[k].alias(k) for k in state], empty(emitted).alias("out"))
+            inner = F.aggregate(F.slice(whole, number * width + 1, F.lit(width)), start, one)
+            return bind(inner, lambda r: F.struct(*[r[k].alias(k) for k in state], F.concat(acc["out"], r["out"]).alias("out")))
+
+        first = F.struct(*[v.alias(k) for k, v in state.items()], empty(emitted).alias("out"))
+        numbers = F.sequence(F.lit(0), F.greatest((F.size(whole) - 1) / F.lit(width), F.lit(0)).cast("int"))
+        return F.aggregate(numbers, first, block, lambda acc: acc["out"])
+
+    return bind(items, run)
+
+
 def block_kind(block: Column) -> Column:
     return (
         F.when(block.rlike(rf"(?U)\A\n{_BLANK}*(?:```|~~~)"), "code")
@@ -93,27 +117,37 @@ def segments(col: Column | str) -> Column:
         ),
     )
 
-    def step(acc: Column, item: Column) -> Column:
-        out, path = acc["out"], acc["path"]
-        last = F.try_element_at(out, F.lit(-1))
-        merges = (item["kind"] == "prose") & (last["kind"] == "prose") & (last["path"] == path)
-        merged = F.concat(
-            F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))),
-            F.array(F.struct(path.alias("path"), F.lit("prose").alias("kind"),
-                             F.concat(last["content"], F.lit(" "), item["content"]).alias("content"))),
-        )
-        added = F.concat(out, F.array(F.struct(path.alias("path"), item["kind"].alias("kind"), item["content"].alias("content"))))
-        heading = item["kind"] == "heading"
-        return F.struct(
-            F.when(heading, F.concat(F.slice(path, F.lit(1), item["level"] - 1), F.array(item["content"])))
-            .otherwise(path).alias("path"),
-            F.when(heading | (item["content"] == ""), out)
-            .when(F.coalesce(merges, F.lit(False)), merged)
-            .otherwise(added).alias("out"),
-        )
+    def step(acc: Column, item: Column) -> tuple[dict[str, Column], Column]:
+        path, heading = acc["path"], item["kind"] == "heading"
+        shown = ~heading & (item["content"] != "")
+        # Prose goes on where the last thing shown was prose of the same path.
+        begins = ~((item["kind"] == "prose") & (acc["kind"] == "prose") & (acc["shown_path"] == path))
+        entry = F.struct(path.alias("path"), item["kind"].alias("kind"), item["content"].alias("content"), begins.alias("begins"))
+        following = {
+            "path": F.when(heading, F.concat(F.slice(path, F.lit(1), item["level"] - 1), F.array(item["content"]))).otherwise(path),
+            "kind": F.when(shown, item["kind"]).otherwise(acc["kind"]),
+            "shown_path": F.when(shown, path).otherwise(acc["shown_path"]),
+        }
+        return following, F.when(shown, F.array(entry)).otherwise(empty(_SHOWN))
+
+    state = {"path": empty(STRINGS), "kind": F.lit(""), "shown_path": empty(STRINGS)}
 
-    start = F.struct(empty(STRINGS).alias("path"), empty(_SEGMENTS).alias("out"))
-    return F.aggregate(filled, start, step, lambda acc: acc["out"])
+    def merged(out: Column) -> Column:
+        every = F.transform(out, lambda x, i: F.when(x["begins"], i))
+        starts = F.filter(every, lambda i: i.isNotNull())
+
+        def cut(at: Column) -> Column:
+            def one(start: Column, n: Column) -> Column:
+                stop = F.coalesce(F.get(at, n + 1), F.size(out))
+                first = F.get(out, start)
+                texts = F.transform(F.slice(out, start + 1, stop - start), lambda x: x["content"])
+                return F.struct(first["path"].alias("path"), first["kind"].alias("kind"), F.array_join(texts, " ").alias("content"))
+
+            return F.transform(at, one)
+
+        return bind(starts, cut)
+
+    return bind(scan(filled, state, _SHOWN, step), merged)
 
 
 # --- size-limited parts ----------------------------------------------------
@@ -223,22 +257,28 @@ def numbered_parts(segs: Column | str, max_chars: int, overlap: int) -> Column:
         lambda s: F.struct(s["path"].alias("path"), s["kind"].alias("kind"), sized_parts(s, max_chars, overlap).alias("parts")),
     )
 
-    def step(acc: Column, item: Column) -> Column:
-        key = F.array_join(item["path"], "\x01")
-        base = F.coalesce(F.try_element_at(acc["seen"], key), F.lit(0).cast("bigint"))
-        fresh = F.transform(
-            item["parts"],
-            lambda part, i: F.struct(
-                item["path"].alias("path"), item["kind"].alias("kind"), part.alias("answer"), (base + i).alias("ordinal")
-            ),
-        )
-        seen = F.map_concat(
-            F.map_filter(acc["seen"], lambda k, v: k != key), F.create_map(key, base + F.size(item["parts"]))
-        )
-        return F.struct(seen.alias("seen"), F.concat(acc["out"], fresh).alias("out"))
+    def numbered(items: Column) -> Column:
+        # How many parts of the same path come before: a running sum over the segments in the order of their paths.
+        keyed = F.array_sort(F.transform(
+            items, lambda s, i: F.struct(F.array_join(s["path"], "\x01").alias("key"), i.alias("i"), F.size(s["parts"]).cast("bigint").alias("n"))
+        ))
+
+        def step(acc: Column, item: Column) -> tuple[dict[str, Column], Column]:
+            before = F.when(item["key"] == acc["key"], acc["upto"]).otherwise(F.lit(0).cast("bigint"))
+            entry = F.struct(item["i"].alias("i"), before.alias("before"))
+            return {"key": item["key"], "upto": before + item["n"]}, F.array(entry)
+
+        state = {"key": F.lit(None).cast("string"), "upto": F.lit(0).cast("bigint")}
+        bases = F.array_sort(scan(keyed, state, "array<struct<i:int,before:bigint>>", step))
+
+        def parts(at: Column) -> Column:
+            return F.flatten(F.transform(items, lambda s, i: F.transform(s["parts"], lambda part, j: F.struct(
+                s["path"].alias("path"), s["kind"].alias("kind"), part.alias("answer"), (F.get(at, i)["before"] + j).alias("ordinal")
+            ))))
+
+        return bind(bases, parts)
 
-    start = F.struct(F.create_map().cast("map<string,bigint>").alias("seen"), empty(_PARTS).alias("out"))
-    return F.aggregate(sized, start, step, lambda acc: acc["out"])
+    return bind(sized, numbered)
 
 
 # --- labels of a part ------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from supportlake.functions import text as tx
 from supportlake.operators.conversations import has_tool_calls, with_turns
-from supportlake.operators.scan import join_per_key, running
+from supportlake.operators.scan import join_per_key, ordered_lists, running
 
 # Kept answer length, the tool marker and the cut-off notes.
 ASSISTANT_CHARS = 60
@@ -92,13 +92,12 @@ def layer2_shorten(turns: DataFrame, bounds: DataFrame, assistant_chars: int = A
         .otherwise(F.substring("content", 1, assistant_chars)).alias("content"),
         F.when(F.col("role") == "user", F.col("id")).otherwise(F.col("id") + 1).alias("position"),
     )
-    tools = old.filter(F.col("role") == "tool").groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct("id", "tool_call_id"))).alias("calls")
-    )
+    # By blocks of ids, so that a turn of very many tool rows is gathered by many tasks.
+    tools = ordered_lists(old.filter(F.col("role") == "tool"), key, "id", {"calls": F.col("tool_call_id")})
     marker = tools.select(
         *key, F.lit(None).cast("bigint").alias("id"), F.lit("assistant").alias("role"),
         F.concat(
-            F.lit(TOOL_MARKER[0]), F.array_join(F.transform("calls", lambda c: c["tool_call_id"]), ", "), F.lit(TOOL_MARKER[1])
+            F.lit(TOOL_MARKER[0]), F.array_join("calls", ", "), F.lit(TOOL_MARKER[1])
         ).alias("content"),
         (F.col("turn_start") + 1).alias("position"),
     )

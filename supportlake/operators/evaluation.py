@@ -382,6 +382,28 @@ def exact_quantiles(rows: DataFrame, value: str, quantiles: tuple[str, ...], key
     return placed.groupBy(*keys).agg(F.array(*[F.max(at(i)) for i in range(len(quantiles))]).alias("quantiles"))
 
 
+#: Size parameter of latency sketches, and the share of rows by which a rank read from one may be off (at 99 % confidence; the
+#: library's figure for this size is 0.0071, merged sketches included).
+SKETCH_K = 400
+SKETCH_RANK_ERROR = 0.01
+
+
+def latency_sketches(rows: DataFrame, keys: tuple[str, ...], value: str = "latency_seconds", k: int = SKETCH_K) -> DataFrame:
+    """``keys, n, sketch``: a quantile sketch per group, of a size that does not grow with the rows. NULL and NaN values are left out.
+
+    Sketches of a day are stored and never read again row by row: ``merge_sketches`` adds them up.
+    """
+    good = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    return good.groupBy(*keys).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, keys: tuple[str, ...], quantiles: tuple[float, ...], k: int = SKETCH_K) -> DataFrame:
+    """``keys, n, quantiles, rank_error`` of stored sketches put together, each quantile within ``rank_error`` of its rank."""
+    merged = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+    at = F.array(*[F.lit(float(q)) for q in quantiles])
+    return merged.select(*keys, "n", F.kll_sketch_get_quantile_double("sketch", at).alias("quantiles"), F.lit(SKETCH_RANK_ERROR).alias("rank_error"))
+
+
 # --- datasets --------------------------------------------------------------
 
 
@@ -464,6 +486,48 @@ def corpus_digest(chunks: DataFrame, key: str = "source_key", answer: str = "ans
     return total.select("n_chunks", F.sha2(joined, 256).alias("digest"))
 
 
+#: Bits of an order value that one block of a digest tree spans, and levels above which any 64-bit order is one block.
+TREE_BITS = 12
+
+
+def corpus_leaves(chunks: DataFrame, order: str = "draft_order", key: str = "source_key", answer: str = "answer", bits: int = TREE_BITS) -> DataFrame:
+    """``block, n_chunks, digest`` of the corpus in the order of a unique integer: the leaf level of a digest tree, to be stored.
+
+    A block is 2**bits consecutive order values. Its digest is that of its rows' digests in their order, so two rows that swap places change it.
+    A block's list is at most 2**bits hashes; a NULL differs from any text.
+    """
+    field = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c)), F.lit("n"))
+    row = F.sha2(F.concat(field(key), F.lit("\x00"), field(answer)), 256)
+    rows = chunks.select(F.shiftright(F.col(order).cast("bigint"), bits).alias("block"), F.col(order).alias("at"), row.alias("h"))
+    return _combine_level(rows, F.count("*")).withColumnRenamed("n", "n_chunks")
+
+
+def _combine_level(rows: DataFrame, size: Column) -> DataFrame:
+    listed = rows.groupBy("block").agg(size.alias("n"), F.array_sort(F.collect_list(F.struct("at", "h"))).alias("rows"))
+    return listed.select("block", "n", F.sha2(F.concat_ws("", F.col("rows.h")), 256).alias("digest"))
+
+
+def corpus_root(leaves: DataFrame, bits: int = TREE_BITS) -> DataFrame:
+    """``n_chunks, digest`` of a whole corpus from its leaves; levels are combined until one block can be left for any 64-bit order. An empty corpus gives no rows."""
+    level = leaves.select("block", F.col("n_chunks").alias("n"), "digest")
+    for _ in range(-(-64 // bits)):
+        level = _combine_level(
+            level.select(F.shiftright("block", bits).alias("block"), F.col("block").alias("at"), F.col("digest").alias("h"), "n"), F.sum("n")
+        )
+    # Orders below and above zero end in a block each.
+    return level.groupBy().agg(F.sum("n").alias("n_chunks"), F.array_sort(F.collect_list(F.struct("block", "digest"))).alias("ends")).where("n_chunks is not null").select(
+        "n_chunks", F.sha2(F.concat_ws("", F.col("ends.digest")), 256).alias("digest")
+    )
+
+
+def changed_blocks(stored: DataFrame, now: DataFrame) -> DataFrame:
+    """``block, status`` of the leaves in which a corpus differs from its stored ones: ``changed``, ``added`` or ``removed``."""
+    old, new = stored.select("block", F.col("digest").alias("was")), now.select("block", F.col("digest").alias("is"))
+    both = old.join(new, "block", "full_outer")
+    status = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").when(F.col("was") != F.col("is"), "changed")
+    return both.select("block", status.alias("status")).where("status is not null")
+
+
 def check_manifest(digest: DataFrame, manifest: DataFrame) -> DataFrame:
     """Each entry of a stored manifest (name, n_chunks, digest) next to the corpus as it is now.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supportlake.operators.merge import flag_member
-from supportlake.operators.scan import first_per_key, running
+from supportlake.operators.scan import first_per_key, ordered_lists, running
 
 # Log event names and the write tool.
 DOWNGRADE_PREFIX = "层1 降级"
@@ -137,18 +137,20 @@ def dedup_writes(calls: DataFrame, order: str) -> DataFrame:
 def fold_run_events(events: DataFrame) -> DataFrame:
     """One row per run: answer text, tool names, previews, errors and nodes in order.
 
-    Events: run_id, id, event, content, tool_name, node, preview, message. A run
-    is one answered turn; its text has to be one value in the result.
+    Events: run_id, id (unique integer), event, content, tool_name, node, preview, message. A run
+    is one answered turn; its text has to be one value in the result. Events are put together by blocks of ids.
     """
-    def listed(kind: str, field: str) -> Column:
-        item = F.when((F.col("event") == kind) & F.col(field).isNotNull(), F.struct("id", F.col(field).alias("v")))
-        return F.transform(F.array_sort(F.collect_list(item)), lambda s: s["v"])
-
-    return events.groupBy("run_id").agg(
-        F.array_join(listed("token", "content"), "").alias("answer"),
-        listed("tool_status", "tool_name").alias("tool_names"),
-        listed("ticket_preview", "preview").alias("previews"),
-        F.coalesce(F.bool_or(F.col("event") == "error"), F.lit(False)).alias("has_error_event"),
-        listed("error", "message").alias("error_messages"),
-        listed("workflow_status", "node").alias("workflow_nodes"),
+    def of(kind: str, field: str) -> Column:
+        return F.when(F.col("event") == kind, F.col(field))
+
+    folded = ordered_lists(
+        events, ["run_id"], "id",
+        {
+            "answer": of("token", "content"), "tool_names": of("tool_status", "tool_name"), "previews": of("ticket_preview", "preview"),
+            "error_messages": of("error", "message"), "workflow_nodes": of("workflow_status", "node"),
+        },
+        {"has_error_event": F.col("event") == "error"},
+    )
+    return folded.select(
+        "run_id", F.array_join("answer", "").alias("answer"), "tool_names", "previews", "has_error_event", "error_messages", "workflow_nodes"
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from supportlake.functions import text as tx
 from supportlake.operators.scan import dense_numbers, first_per_key
-from supportlake.session import materialize
+from supportlake.session import bucketed, materialize
 
 # Status names and byte limits of indexed fields.
 PENDING, VECTORIZED = "pending", "vectorized"
@@ -45,21 +45,25 @@ def flag_member(
     return joined.withColumn(flag, F.coalesce("__found", F.lit(False))).drop("__key", "__salt", "__found")
 
 
-def upsert_drafts(chunks: DataFrame, drafts: DataFrame) -> DataFrame:
+def latest_drafts(drafts: DataFrame) -> DataFrame:
+    """The last draft (highest ``draft_order``) of each key with its text and hash, as a table in buckets of the key."""
+    last = first_per_key(drafts, ["source_key"], "draft_order", last=True)
+    return bucketed(last.withColumns({
+        "embedding_text": tx.embedding_text("category", "questions", "answer"), "content_hash": tx.fingerprint("category", "questions", "answer"),
+    }), "source_key", "latest_drafts")
+
+
+def upsert_drafts(chunks: DataFrame, drafts: DataFrame, latest: bool = False) -> DataFrame:
     """Chunk table after an upsert; the last draft (highest ``draft_order``) of a key wins.
 
     A changed embedding text or a retired chunk goes back to pending without a
     vector; an unchanged chunk keeps its vector. New chunks get ids after the
     highest one, in draft order. ``content_hash`` is the fingerprint, so a
-    punctuation-only edit resets the vector but keeps the hash.
+    punctuation-only edit resets the vector but keeps the hash. ``latest`` says that ``drafts`` come from ``latest_drafts``. A chunk table
+    that is stored in buckets of ``source_key`` is not shuffled; the result is stored in such buckets.
     """
-    latest = first_per_key(drafts, ["source_key"], "draft_order", last=True).select(
-        "source_key", "draft_order", *_DRAFT_FIELDS,
-        tx.embedding_text("category", "questions", "answer").alias("embedding_text"),
-        tx.fingerprint("category", "questions", "answer").alias("content_hash"),
-    )
-    new = {f"new_{c}": F.col(c) for c in (*_DRAFT_FIELDS, "embedding_text", "content_hash", "draft_order")}
-    incoming = latest.select("source_key", *[c.alias(n) for n, c in new.items()])
+    last = drafts if latest else latest_drafts(drafts)
+    incoming = last.select("source_key", *[F.col(c).alias(f"new_{c}") for c in (*_DRAFT_FIELDS, "embedding_text", "content_hash", "draft_order")])
     both = chunks.join(incoming, "source_key", "full_outer")
     drafted, existed = F.col("new_draft_order").isNotNull(), F.col("id").isNotNull()
     # A NULL in the old row counts as changed, as any other difference does.
@@ -70,29 +74,34 @@ def upsert_drafts(chunks: DataFrame, drafts: DataFrame) -> DataFrame:
         "vector_status": F.when(reset, F.lit(PENDING)).otherwise(F.col("vector_status")),
         "vector_id": F.when(~reset | ~drafted, F.col("vector_id")),
         "is_active": F.when(drafted, F.lit(True)).otherwise(F.col("is_active")),
-    })
-    top = F.coalesce(chunks.agg(F.max("id")).scalar(), F.lit(0))
-    added = incoming.join(chunks.select("source_key"), "source_key", "left_anti").select("source_key", "new_draft_order")
-    # Keys only, written once: numbering reads them once per level.
-    added = materialize(added, "added-keys")
+    }).select(*chunks.columns, "new_draft_order")
+    # Written once: the largest id, the numbers of new chunks and the result are read from it.
+    stored = bucketed(merged, "source_key", "merged_chunks", placed=_placed(merged))
+    top = F.coalesce(stored.agg(F.max("id")).scalar(), F.lit(0))
+    added = materialize(stored.where("id is null").select("source_key", "new_draft_order"), "added-keys")
     numbers = dense_numbers(added, "new_draft_order", "new_id").select("source_key", "new_id")
-    numbered = merged.join(numbers, "source_key", "left").withColumn("id", F.coalesce("id", F.col("new_id") + top))
+    numbered = stored.join(numbers, "source_key", "left").withColumn("id", F.coalesce("id", F.col("new_id") + top))
     return numbered.select(*chunks.columns)
 
 
-def resolve_neighbors(chunks: DataFrame, drafts: DataFrame) -> DataFrame:
-    """Set previous/next chunk ids of drafted chunks; unknown keys give NULL."""
-    wanted = first_per_key(drafts, ["source_key"], "draft_order", last=True).select(
-        "source_key",
-        spread_nulls("previous_source_key", "source_key").alias("__previous"),
-        spread_nulls("next_source_key", "source_key").alias("__next"),
-    )
-    ids = chunks.select("source_key", "id")
-    before = ids.select(F.col("source_key").alias("__previous"), F.col("id").alias("__previous_id"))
-    after = ids.select(F.col("source_key").alias("__next"), F.col("id").alias("__next_id"))
-    links = wanted.join(before, "__previous", "left").join(after, "__next", "left").select(
-        "source_key", F.lit(True).alias("__drafted"), "__previous_id", "__next_id"
-    )
+def _placed(df: DataFrame) -> bool:
+    """Whether the rows of a join of two bucketed tables lie in their buckets already: its plan has no shuffle."""
+    return "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def resolve_neighbors(chunks: DataFrame, drafts: DataFrame, latest: bool = False) -> DataFrame:
+    """Set previous/next chunk ids of drafted chunks; unknown keys give NULL. ``latest`` as in ``upsert_drafts``.
+
+    Both neighbours are looked up by one join; NULL keys ask for nothing.
+    """
+    last = drafts if latest else first_per_key(drafts, ["source_key"], "draft_order", last=True)
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("previous_source_key").alias("wanted")), F.struct(F.lit(1).alias("side"), F.col("next_source_key").alias("wanted")))
+    asked = last.select("source_key", F.explode(sides).alias("s")).select("source_key", "s.side", "s.wanted")
+    ids = chunks.select(F.col("source_key").alias("wanted"), F.col("id").alias("__id"))
+    found = asked.where("wanted is not null").join(ids, "wanted")
+    links = asked.select("source_key", "side", F.lit(None).cast("bigint").alias("__id")).unionByName(found.select("source_key", "side", "__id")).groupBy("source_key").agg(
+        F.max(F.when(F.col("side") == 0, F.col("__id"))).alias("__previous_id"), F.max(F.when(F.col("side") == 1, F.col("__id"))).alias("__next_id"),
+    ).withColumn("__drafted", F.lit(True))
     joined = chunks.join(links, "source_key", "left")
     drafted = F.coalesce("__drafted", F.lit(False))
     return joined.withColumns({

@@ -132,3 +132,24 @@ def first_per_key(df: DataFrame, keys: list[str], order: str, *, last: bool = Fa
     pick = F.max(order) if last else F.min(order)
     winners = df.groupBy(*keys).agg(pick.alias(order))
     return df.drop(*keys).join(winners, order).select(*df.columns)
+
+
+def ordered_lists(df: DataFrame, keys: list[str], order: str, lists: dict[str, Column], others: dict[str, Column] | None = None, bits: int = 12) -> DataFrame:
+    """``keys``, an array per entry of ``lists`` with its non-NULL values in the order of a unique integer column, and other aggregates.
+
+    Values are gathered in blocks of 2**bits order values first, in as many tasks as a key has blocks; only blocks, one row each,
+    are put together by key. ``others``: boolean conditions, true if any row's is.
+    """
+    kinds = dict(df.select(*[c.alias(n) for n, c in lists.items()]).dtypes)
+    flags = others or {}
+    rows = df.select(
+        *keys, F.col(order).cast("bigint").alias("__at"), F.shiftright(F.col(order).cast("bigint"), bits).alias("__block"),
+        *[F.when(c.isNotNull(), F.array(c)).otherwise(F.array().cast(f"array<{kinds[n]}>")).alias(n) for n, c in lists.items()],
+        *[c.alias(n) for n, c in flags.items()],
+    )
+
+    def gathered(at: str) -> list[Column]:
+        whole = [F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size(n) > 0, F.struct(F.col(at).alias("at"), F.col(n).alias("v"))))), lambda x: x["v"])).alias(n) for n in lists]
+        return whole + [F.coalesce(F.bool_or(n), F.lit(False)).alias(n) for n in flags]
+
+    return rows.groupBy(*keys, "__block").agg(*gathered("__at")).groupBy(*keys).agg(*gathered("__block"))

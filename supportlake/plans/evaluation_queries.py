@@ -12,6 +12,7 @@ from supportlake.plans import adapters as ad
 from supportlake.plans.registry import query
 from supportlake.plans.retrieval_queries import DENSE, corpus_vectors, query_vectors
 from supportlake.plans.text_queries import TOKENS_SQL
+from supportlake.session import materialize
 from supportlake.sources.tables import read_input
 
 METRICS = tuple(f"recall_at_{k}" for k in (1, 5, 10)) + tuple(f"all_evidence_at_{k}" for k in (1, 5, 10)) + ("mrr",)
@@ -331,6 +332,25 @@ def evl_latency_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return report.select("strategy", F.col("quantiles")[0].alias("p50"), F.col("quantiles")[1].alias("p95"))
 
 
+@query(
+    "evl_latency_sketches",
+    """WITH r AS (SELECT event_type AS strategy, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT strategy, n, true AS p50_near, true AS p95_near, true AS p99_near FROM r""",
+)
+def evl_latency_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of each day, stored, merged by strategy, and held against exact ranks: the rows below a quantile and up to it enclose its rank within the stated error."""
+    rows = read_input(spark, sf, "events").select(F.col("event_type").alias("strategy"), F.to_date("ts").alias("day"), F.col("value").alias("latency_seconds"))
+    stored = materialize(ev.latency_sketches(rows, ("strategy", "day")), "latency-sketches")
+    wanted = (0.5, 0.95, 0.99)
+    merged = materialize(ev.merge_sketches(stored, ("strategy",), wanted), "latency-merged")
+    placed = rows.where("latency_seconds is not null").join(F.broadcast(merged), "strategy")  # a row per strategy
+    counts = placed.groupBy("strategy", "n", "rank_error").agg(
+        *[F.count_if(F.col("latency_seconds") < F.col("quantiles")[i]).alias(f"below{i}") for i in range(3)],
+        *[F.count_if(F.col("latency_seconds") <= F.col("quantiles")[i]).alias(f"upto{i}") for i in range(3)],
+    )
+    near = lambda i: (F.col(f"below{i}") <= F.col("n") * (wanted[i] + F.col("rank_error"))) & (F.col(f"upto{i}") >= F.col("n") * (wanted[i] - F.col("rank_error")))
+    return counts.select("strategy", "n", near(0).alias("p50_near"), near(1).alias("p95_near"), near(2).alias("p99_near"))
+
+
 # --- datasets --------------------------------------------------------------
 
 
@@ -396,6 +416,43 @@ def evl_corpus_digest(spark: SparkSession, sf: str) -> DataFrame:
     return ev.corpus_digest(docs)
 
 
+_TREE_LEVELS = """WITH h AS (SELECT doc_id, sha256('vk' || doc_id || chr(0) || coalesce('v' || text, 'n')) AS h FROM documents),
+       l0 AS (SELECT doc_id >> 6 AS block, count(*) AS n, sha256(string_agg(h, '' ORDER BY doc_id)) AS d FROM h GROUP BY 1)""" + "".join(
+    f", l{i + 1} AS (SELECT block >> 6 AS block, sum(n) AS n, sha256(string_agg(d, '' ORDER BY block)) AS d FROM l{i} GROUP BY 1)" for i in range(11)
+)
+
+
+@query(
+    "evl_corpus_tree",
+    _TREE_LEVELS + """, whole AS (SELECT 'kept' AS name, CAST(n AS BIGINT) AS n_chunks, sha256(d) AS digest, CAST([] AS BIGINT[]) AS blocks FROM l11)
+    SELECT name, n_chunks, digest, '' AS blocks FROM whole UNION ALL SELECT 'swapped', n_chunks, NULL, '0,1' FROM whole UNION ALL
+    SELECT 'edited', n_chunks, NULL, '2' FROM whole UNION ALL SELECT 'shorter', n_chunks - 1, NULL, '0' FROM whole""",
+)
+def evl_corpus_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus in the order of its documents, and what its stored leaves say of a swap of two rows, an edit and a loss: which blocks differ.
+
+    The digest is shown where the corpus is the stored one; elsewhere it must differ (null).
+    """
+    docs = ad.documents(spark, sf).select(
+        "doc_id", F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("source_key"), F.col("text").alias("answer"), F.col("doc_id").alias("draft_order")
+    )
+    n = F.col("doc_id")
+    swapped = docs.withColumn("draft_order", F.when(n == 5, 70).when(n == 70, 5).otherwise(n).cast("bigint"))
+    edited = docs.withColumn("answer", F.when(n == 130, F.concat(F.coalesce("answer", F.lit("")), F.lit("."))).otherwise(F.col("answer")))
+    shorter = docs.where(n != 63)
+    stored = materialize(ev.corpus_leaves(docs, bits=6), "corpus-leaves")
+    before = ev.corpus_root(stored, 6).select(F.col("digest").alias("was"))
+
+    def told(name: str, df: DataFrame) -> DataFrame:
+        now = materialize(ev.corpus_leaves(df, bits=6), "corpus-leaves")
+        blocks = ev.changed_blocks(stored, now).agg(F.array_join(F.array_sort(F.collect_list("block")).cast("array<string>"), ",").alias("blocks"))
+        same = F.col("digest") == before.scalar()
+        wrong = same if name != "kept" else ~same
+        return ev.corpus_root(now, 6).select(F.lit(name).alias("name"), "n_chunks", F.when(wrong, "wrong").when(same, F.col("digest")).alias("digest"), blocks.scalar().alias("blocks"))
+
+    return told("kept", docs).unionByName(told("swapped", swapped)).unionByName(told("edited", edited)).unionByName(told("shorter", shorter))
+
+
 @query(
     "evl_check_manifest",
     """WITH n AS (SELECT count(*) AS n FROM documents)

@@ -230,20 +230,28 @@ def _asked(spark: SparkSession, sf: str, texts: tuple[str, ...], around: bool =
     return ad.messages(spark, sf).filter("role = 'user'").select(
         "id", "conversation_id", "role",
         F.coalesce(F.concat(pick, F.lit("\n"), F.coalesce("content", F.lit(""))) if around else pick, F.col("content")).alias("content"),
-        (F.col("id") % step).alias("pick")
+        (F.col("id") % step).alias("pick"), F.col("content").alias("own"),
     )
 
 
 _STATUS_TEXTS = ("请问订单DEMO-1001的还在保吗？", "退款进度怎么样", "我能退款吗，退款进度怎么样", "保修期 还有多久？", "商品在保修期内呢")
 
 
+_BARE_SQL = "regexp_replace(regexp_replace(coalesce(content, ''), '\\s+', '', 'g'), '^[？?。！!]+|[？?。！!]+$', '', 'g')"
+
+
 @query(
     "rte_route_overrides",
-    ad.with_cte("messages") + """SELECT id, CASE WHEN id % 6 IN (0, 1, 3, 4) OR id % 11 = 0 THEN 'business' ELSE 'knowledge' END AS route FROM messages WHERE role = 'user'""",
+    ad.with_cte("messages") + f"""SELECT id, CASE WHEN id % 6 IN (0, 1, 3, 4) OR id % 11 = 0 THEN 'business' ELSE 'knowledge' END AS route,
+      CASE WHEN id % 11 = 0 OR regexp_full_match({_BARE_SQL}, '{"|".join(f"(?:{x})" for x in ro.STATUS_QUESTIONS)}') THEN 'business' ELSE 'knowledge' END AS own_route
+      FROM messages WHERE role = 'user'""",
 )
 def rte_route_overrides(spark: SparkSession, sf: str) -> DataFrame:
+    """The route of a planted question, and that of the row's own whole text."""
     rows = _asked(spark, sf, _STATUS_TEXTS, around=False)
-    return rows.select("id", ro.route_overrides("content", F.lit("knowledge"), F.col("id") % 11 == 0).alias("route"))
+    intent = F.col("id") % 11 == 0
+    own = ro.route_overrides(F.coalesce("own", F.lit("")), F.lit("knowledge"), intent)
+    return rows.select("id", ro.route_overrides("content", F.lit("knowledge"), intent).alias("route"), own.alias("own_route"))
 
 
 def _order_turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -296,9 +304,15 @@ def rte_parse_reference(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", *[c.alias(k) for k, c in ro.parse_reference("raw", "content").items() if k != "resolved_question"])
 
 
-@query("rte_is_greeting", ad.with_cte("messages") + "SELECT id, id % 4 IN (0, 1) AS greeting FROM messages WHERE role = 'user'")
+@query(
+    "rte_is_greeting",
+    ad.with_cte("messages") + f"""SELECT id, id % 4 IN (0, 1) AS greeting, regexp_replace(coalesce(content, ''), '\\s|[，,。.!！?？～~]', '', 'g') IN ({", ".join(f"'{g}'" for g in ro.GREETINGS)}) AS own_greeting
+      FROM messages WHERE role = 'user'""",
+)
 def rte_is_greeting(spark: SparkSession, sf: str) -> DataFrame:
-    return _asked(spark, sf, ("您好！", " 谢 谢~", "你好，查订单"), around=False).select("id", ro.is_greeting("content").alias("greeting"))
+    """Whether a planted message is a greeting, and whether the row's own whole text is."""
+    rows = _asked(spark, sf, ("您好！", " 谢 谢~", "你好，查订单"), around=False)
+    return rows.select("id", ro.is_greeting("content").alias("greeting"), ro.is_greeting(F.coalesce("own", F.lit(""))).alias("own_greeting"))
 
 
 _TICKET_TEXTS = ("请帮我创建一个工单", "不要建工单了", "能不能帮我建工单？", "他说“帮我创建工单”", "不想取消工单", "工单先取消吧")

@@ -55,25 +55,45 @@ def src_read_cases(spark: SparkSession, sf: str) -> DataFrame:
     case = F.to_json(F.struct(F.when(n % 17 == 3, "same").otherwise(F.concat(F.lit("c"), n.cast("string"))).alias("id"), steps.alias("steps")))
     path = run_dir(spark, "cases")
     users = read_input(spark, sf, "events").select("user_id").distinct()
-    users.select(F.concat(F.lit("["), case, F.lit("]")).alias("value")).write.option("lineSep", "\n").text(path)
-    arrays = spark.read.text(path).select(F.explode(F.from_json("value", files.CASE_SCHEMA)).alias("c")).select("c.*")
-    return files.check_cases(arrays).select("id", "problem")
+    # Every case file is one JSON array over several lines: a file per partition, each with the cases of its users.
+    arrays = users.groupBy((n % 64).alias("part")).agg(F.array_sort(F.collect_list(case)).alias("cases"))
+    arrays.select("part", F.concat(F.lit("[\n"), F.array_join("cases", ",\n"), F.lit("\n]")).alias("value")).write.partitionBy("part").text(path)
+    return files.read_cases(spark, path).select("id", "problem")
 
 
-@query("src_read_markdown", "SELECT lang || '.md' AS source, count(*) AS n_documents FROM documents GROUP BY lang")
+@query("src_read_markdown", """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'doc ' || doc_id || '+ü.md' ELSE 'doc-' || doc_id || '.md' END AS source, text FROM documents WHERE text IS NOT NULL AND text <> '')
+    SELECT source, length(text) AS n_chars, sha256(text) AS text_sha FROM d""")
 def src_read_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents written as one Markdown file set per language, read back and counted by title."""
-    path = run_dir(spark, "markdown")
-    docs = ad.documents(spark, sf).select(
-        "lang", F.concat(F.lit("# Document "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.regexp_replace("text", r"(?m)^#", " #")).alias("value")
-    )
-    docs.write.partitionBy("lang").text(path, lineSep="\n\n")
-    # Spark names part files itself, so the language is taken from the folder.
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
-        F.concat(F.regexp_extract(F.col("_metadata.file_path"), r"lang=([^/]+)", 1), F.lit(".md")).alias("source"), F.col("value").alias("text")
-    )
-    heads = chunking.explode_lines(raw).filter(F.col("line").rlike("^# Document \\d+$"))
-    return heads.groupBy("source").agg(F.count("*").alias("n_documents"))
+    """Every document as a Markdown file of its own, with notes of another kind beside them, read back by ``read_markdown``."""
+    folder = f"{run_dir(spark, 'markdown')}"
+    n = F.col("doc_id").cast("string")
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("doc "), n, F.lit("+ü.md"))).otherwise(F.concat(F.lit("doc-"), n, F.lit(".md")))
+    docs = ad.documents(spark, sf).where("text is not null and text <> ''").select(name.alias("name"), F.col("text").alias("body"))
+    notes = docs.limit(3).select(F.regexp_replace("name", "md$", "txt").alias("name"), "body")
+    written = write_files(docs.unionByName(notes), folder)
+    assert written
+    return files.read_markdown(spark, folder).select("source", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha"))
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Writes ``body`` of each row to the file ``name`` of a folder, inside tasks; the number of files."""
+    import pyarrow as pa
+
+    def write(batches):
+        from pyarrow import fs
+
+        # The path names the store; executors reach it as Spark does.
+        store, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store.create_dir(path, recursive=True)
+        n = 0
+        for batch in batches:
+            for name, body in zip(batch.column("name").to_pylist(), batch.column("body").to_pylist()):
+                with store.open_output_stream(f"{path}/{name}") as out:
+                    out.write(body.encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return rows.mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
 @query("snk_write_snapshot", _STATE + "SELECT id, hash AS content_hash, is_active FROM stored")

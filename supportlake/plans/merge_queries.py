@@ -15,7 +15,12 @@ from supportlake.sources.tables import read_input
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Stored chunk table: documents as they were before the import."""
-    return ad.stored(spark, sf, "chunks", lambda: _old_chunks(spark, sf))
+    return ad.stored_in_buckets(spark, sf, "chunks", "source_key", lambda: _old_chunks(spark, sf))
+
+
+def _latest(spark: SparkSession, sf: str) -> DataFrame:
+    """The import's drafts, one per key, as the import stores them."""
+    return ad.stored_in_buckets(spark, sf, "latest", "source_key", lambda: mg.latest_drafts(ad.stored(spark, sf, "drafts", lambda: _drafts(spark, sf))))
 
 
 def _old_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,7 +100,7 @@ def src_read_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("mrg_upsert_drafts", _STATE + "SELECT source_key, id, content_hash, vector_status, vector_id, is_active FROM upserted")
 def mrg_upsert_drafts(spark: SparkSession, sf: str) -> DataFrame:
-    out = mg.upsert_drafts(_chunks(spark, sf), _drafts(spark, sf))
+    out = mg.upsert_drafts(_chunks(spark, sf), _latest(spark, sf), latest=True)
     return out.select("source_key", "id", "content_hash", "vector_status", "vector_id", "is_active")
 
 
@@ -106,9 +111,9 @@ def mrg_upsert_drafts(spark: SparkSession, sf: str) -> DataFrame:
       LEFT JOIN docs nd ON nd.doc_id = u.draft + 1 LEFT JOIN upserted n ON n.source_key = nd.source_key""",
 )
 def mrg_resolve_neighbors(spark: SparkSession, sf: str) -> DataFrame:
-    drafts = _drafts(spark, sf)
-    merged = mg.upsert_drafts(_chunks(spark, sf), drafts)
-    return mg.resolve_neighbors(merged, drafts).select("id", "previous_chunk_id", "next_chunk_id")
+    drafts = _latest(spark, sf)
+    merged = mg.upsert_drafts(_chunks(spark, sf), drafts, latest=True)
+    return mg.resolve_neighbors(merged, drafts, latest=True).select("id", "previous_chunk_id", "next_chunk_id")
 
 
 @query(

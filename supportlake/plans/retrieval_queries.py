@@ -215,31 +215,18 @@ def ret_policy_scope(spark: SparkSession, sf: str) -> DataFrame:
     return rt.policy_scope(intents).withColumn("content_types", F.array_join("content_types", ","))
 
 
-@query(
-    "ret_policy_hits",
-    """WITH h AS (SELECT item_id AS query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS n,
+_POLICY_HITS = """WITH h AS (SELECT item_id AS query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS n,
         CASE doc_id % 4 WHEN 0 THEN '退换货与退款' WHEN 1 THEN '退换货与退款 / ' || source WHEN 2 THEN '支付与售后 / ' || source ELSE '支付与售后服务' END AS category,
         CASE CAST(regexp_extract(source, '[0-9]+') AS INTEGER) % 3 WHEN 0 THEN 'product_faq' WHEN 1 THEN 'after_sales' ELSE 'policy' END AS content_type
-      FROM documents JOIN benchmark ON item_id = doc_id % 40)
+      FROM documents JOIN benchmark ON item_id = doc_id % (SELECT count(*) FROM benchmark))
     SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n) AS n, category, content_type FROM h
-    WHERE content_type <> 'product_faq' AND ((query_id % 3 = 0 AND chunk_id % 4 < 2) OR (query_id % 3 = 1 AND chunk_id % 4 < 3))""",
-)
-def ret_policy_hits(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as hits of the first 40 benchmark items, with the scope their item's intent forces."""
-    return _policy_hits(spark, sf, 40)
+    WHERE content_type <> 'product_faq' AND ((query_id % 3 = 0 AND chunk_id % 4 < 2) OR (query_id % 3 = 1 AND chunk_id % 4 < 3))"""
 
 
-@query(
-    "ret_policy_hits_all_items",
-    """WITH h AS (SELECT item_id AS query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS n,
-        CASE doc_id % 4 WHEN 0 THEN '退换货与退款' WHEN 1 THEN '退换货与退款 / ' || source WHEN 2 THEN '支付与售后 / ' || source ELSE '支付与售后服务' END AS category,
-        CASE CAST(regexp_extract(source, '[0-9]+') AS INTEGER) % 3 WHEN 0 THEN 'product_faq' WHEN 1 THEN 'after_sales' ELSE 'policy' END AS content_type
-      FROM documents JOIN benchmark ON item_id = doc_id % (SELECT count(*) FROM benchmark))
-    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n) AS n, category, content_type FROM h
-    WHERE content_type <> 'product_faq' AND ((query_id % 3 = 0 AND chunk_id % 4 < 2) OR (query_id % 3 = 1 AND chunk_id % 4 < 3))""",
-)
-def ret_policy_hits_all_items(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents dealt over all benchmark items."""
+@query("ret_policy_hits", _POLICY_HITS)
+@query("ret_policy_hits_all_items", _POLICY_HITS)
+def ret_policy_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, dealt over all benchmark items, as hits with the scope their item's intent forces."""
     return _policy_hits(spark, sf, read_input(spark, sf, "benchmark").count())
 
 

@@ -67,6 +67,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str, placed: bool = False) -> DataFrame:
+    """Write a frame once as a table in buckets of ``key``, sorted by it, as many as there are shuffle partitions.
+
+    Tables with the same buckets are joined by the key without a shuffle. ``placed`` says that the rows come out of such a join and need no
+    shuffle for the write either. The table is external, in the folder of this application.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    rows = df if placed else df.repartition(n, key)
+    rows.write.bucketBy(n, key).sortBy(key).option("path", run_dir(spark, name)).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)

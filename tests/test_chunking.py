@@ -161,3 +161,38 @@ def test_rows_only_queries_match_brute_force(spark, sf):
         assert packed.get(doc_id, []) == brute_pack(sentences, 1200, 200)
     total = QUERIES["chk_chunk_documents"](spark, sf).agg(F.count("*"), F.count_distinct("source_key")).first()
     assert total[0] == total[1] > len(docs)
+
+
+def many_sections(n):
+    more = "More text follows now, and it is long enough. " * 12
+    return "".join(f"# Part {i % 40}\n\n## Section {i}?\n\nSome words. {more}\n\n| a | b |\n|---|---|\n| {i} | x |\n\nThe end of {i}.\n\n" for i in range(n))
+
+
+def test_long_document_takes_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([("s", many_sections(n))], "source string, text string").repartition(1).persist()
+        df.count()
+        began = time.perf_counter()
+        rows = chunking.chunk_documents(df).agg(F.count("*"), F.max("answer")).first()[0]
+        return time.perf_counter() - began, rows
+
+    seconds(60)
+    (short, few), (long, many) = seconds(300), seconds(3000)
+    assert many == 10 * few and long <= 15 * short  # ten times the text; the rest is noise of a loaded machine
+
+
+def test_scan_emits_over_many_blocks(spark):
+    frame = spark.createDataFrame([([], 0), ([5], 1), (list(range(1, 1200)), 2)], "a array<int>, i int")
+
+    def step(acc, item):
+        total = acc["total"] + item
+        return {"total": total}, F.when(item % 3 == 0, F.array(total, item)).otherwise(F.array().cast("array<int>"))
+
+    got = {r.i: r.o for r in frame.select("i", md.scan(F.col("a"), {"total": F.lit(0)}, "array<int>", step, width=7).alias("o")).collect()}
+    want, total = [], 0
+    for x in range(1, 1200):
+        total += x
+        want += [total, x] if x % 3 == 0 else []
+    assert got == {0: [], 1: [], 2: want}
