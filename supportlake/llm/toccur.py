@@ -300,8 +300,11 @@ def similarity_components(docs: DataFrame, percent: int = 85, k: int = 4) -> Dat
     unlike = placed.groupBy("route").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("route")
     open_rows = materialize(placed.join(unlike, "route"), "toccur-open")
     more = materialize(family_links(open_rows, texts, k, percent), "toccur-more-links")
-    parts = connected_components(stars.unionByName(more))
-    whole = nodes.select("node", "first_id").join(parts, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
+    # The new links join components of the stars: a small graph of its own.
+    place = lambda df, end: df.join(parts.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    joined = connected_components(place(place(more, "a"), "b").where("a <> b").distinct())
+    first = place(nodes.select("node", "first_id", F.col("node").alias("part")), "part")
+    whole = first.join(joined.withColumnRenamed("node", "part"), "part", "left").select("node", "first_id", F.coalesce("component", "part").alias("component"))
     classes = whole.groupBy("component").agg(F.min("first_id").alias("least"))
     named = whole.join(classes, "component").select("node", "least", F.lit(True).alias("worded"))
     out = signed.select("doc_id", "node", "size", F.col("heads").isNotNull().alias("worded")).join(named, ["node", "worded"], "left")
