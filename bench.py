@@ -11,7 +11,7 @@ from supportlake.plans.catalog import QUERIES
 from supportlake.session import local_session, remove_run_dirs
 
 HEADLINE = (
-    "ret_flagship_report", "ret_dense_topk", "ret_bm25_topk", "ret_retrieve_hybrid", "chk_chunk_documents", "chk_split_sentences",
+    "ret_flagship_report", "ret_dense_topk", "ret_posting_blocks", "ret_bm25_topk", "ret_retrieve_hybrid", "chk_chunk_documents", "chk_split_sentences",
     "txt_fingerprint", "txt_redact_pii", "cnv_pair_turns", "cnv_advance_cursor", "cnv_exact_dedup", "ctx_layer1", "ctx_summary_batch",
     "mrg_upsert_drafts", "mrg_sync_plan", "grd_guard_answers", "rte_accept_refunds", "log_audit_loop_limits", "evl_grouped_report",
     "evl_paired_comparisons",

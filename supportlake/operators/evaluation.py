@@ -410,8 +410,8 @@ def merge_sketches(sketches: DataFrame, keys: tuple[str, ...], quantiles: tuple[
 def validate_dataset(cases: DataFrame, sources: DataFrame, minimum: int = 300) -> DataFrame:
     """(rule, eval_id) violations of a labelled case table; empty if it is valid.
 
-    Keys of cases are looked up in the source table by equi joins on exploded
-    keys; every group rule is one aggregate.
+    Cases are read twice: once for the rules of a row and the keys it names, which are written and looked up in the source table by one
+    join, and once for the rules of groups, which are one aggregate over (kind of group, key), combined before the shuffle.
     """
     family = F.coalesce(F.col("family_id"), F.lit("")) != ""
     truth = F.coalesce(F.col("relevant_source_keys"), F.array().cast("array<string>"))
@@ -430,35 +430,51 @@ def validate_dataset(cases: DataFrame, sources: DataFrame, minimum: int = 300) -
         "family_required": ~family & F.col("eval_id").startswith("V2"),
     }
     named = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in row_rules.items()]))
-    found = [cases.select(F.explode(named).alias("rule"), "eval_id")]
+    def mark(rule, key, wanted, scope) -> Column:
+        return F.struct(rule.alias("rule"), key.alias("key"), wanted.alias("wanted"), scope.alias("scope"))
+
+    none = F.lit(None).cast("string")
+    scoped = family & (F.coalesce(F.col("category"), F.lit("")) != "")
+    marks = F.concat(
+        F.transform(named, lambda r: mark(r, none, none, none)),
+        F.transform(truth, lambda k: mark(none, k, F.lit("gold"), F.when(scoped, F.col("category")))),
+        F.when(family, F.transform(distractors, lambda k: mark(none, k, F.lit("distractor"), none))).otherwise(
+            F.transform(F.slice(distractors, 1, 0), lambda k: mark(none, k, F.lit("distractor"), none))
+        ),
+    )
+    marked = materialize(cases.select("eval_id", F.explode(marks).alias("m")).select("eval_id", "m.*"), "dataset-marks")
+    found = [marked.where("rule is not null").select("rule", "eval_id")]
     known = sources.select(F.col("source_key").alias("key"), F.col("category").alias("key_category"), F.lit(True).alias("__known"))
-
-    def looked_up(keys: Column, where: Column) -> DataFrame:
-        rows = cases.filter(where).select("eval_id", "category", F.explode(keys).alias("key"))
-        return rows.join(known, "key", "left")
-
-    gold = looked_up(truth, F.lit(True))
-    found.append(gold.filter(F.col("__known").isNull()).select(F.lit("missing_gold_source").alias("rule"), "eval_id").distinct())
-    others = looked_up(distractors, family)
-    found.append(others.filter(F.col("__known").isNull()).select(F.lit("missing_distractor_source").alias("rule"), "eval_id").distinct())
-    scoped = looked_up(truth, family & (F.coalesce(F.col("category"), F.lit("")) != ""))
-    outside = scoped.filter(F.col("__known") & (F.col("key_category") != F.col("category")))
-    found.append(outside.select(F.lit("gold_outside_category").alias("rule"), "eval_id").distinct())
-    for name, key in (("duplicate_eval_id", F.col("eval_id")), ("duplicate_query", tx.strip("query"))):
-        repeated = cases.groupBy(key.alias("k")).agg(F.count("*").alias("n"), F.min("eval_id").alias("eval_id")).filter("n > 1")
-        found.append(repeated.select(F.lit(name).alias("rule"), "eval_id"))
-    found.append(split_leakage(cases.filter(family), "family_id").select(F.lit("family_leak").alias("rule"), F.col("family_id").alias("eval_id")))
-    total = cases.agg(F.count("*").alias("n")).filter(F.col("n") < minimum)
-    found.append(total.select(F.lit("dataset_below_minimum").alias("rule"), F.lit(None).cast("string").alias("eval_id")))
-    if minimum >= 300:
-        in_bucket = [F.count_if(F.col("bucket") == b).alias(b) for b in BUCKETS]
-        cells = [F.count_if((F.col("bucket") == b) & (F.col("difficulty") == d)).alias(f"{b}/{d}") for b in BUCKETS for d in DIFFICULTIES]
-        counts = cases.agg(*in_bucket, *cells)
-        small = F.array_compact(F.array(*[F.when(F.col(b) < MIN_BUCKET_CASES, F.lit(b)) for b in BUCKETS]))
-        empty = F.array_compact(F.array(*[F.when(F.col(f"`{b}/{d}`") == 0, F.lit(f"{b}/{d}")) for b in BUCKETS for d in DIFFICULTIES]))
-        found.append(counts.select(F.lit("bucket_below_minimum").alias("rule"), F.explode(small).alias("eval_id")))
-        found.append(counts.select(F.lit("missing_difficulty").alias("rule"), F.explode(empty).alias("eval_id")))
-        found.append(split_leakage(cases, "topic_id").select(F.lit("topic_leak").alias("rule"), F.col("topic_id").alias("eval_id")))
+    asked = marked.where("rule is null")
+    # A NULL key is in no source; it asks for nothing and stays out of the join.
+    looked = asked.where("key is not null").join(known, "key", "left").select("eval_id", "wanted", "scope", "__known", "key_category")
+    looked = looked.unionByName(asked.where("key is null").select("eval_id", "wanted", "scope", F.lit(None).cast("boolean").alias("__known"), none.alias("key_category")))
+    wrong = F.when(F.col("__known").isNull(), F.concat(F.lit("missing_"), F.col("wanted"), F.lit("_source"))).when(
+        F.col("key_category") != F.col("scope"), F.lit("gold_outside_category")
+    )
+    found.append(looked.select(wrong.alias("rule"), "eval_id").where("rule is not null").distinct())
+
+    strict = minimum >= 300
+    group = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    groups = [group("total", none), group("duplicate_eval_id", F.col("eval_id")), group("duplicate_query", tx.strip("query")), group("family_leak", F.when(family, F.col("family_id")))]
+    if strict:
+        groups += [group("topic_leak", F.col("topic_id")), group("bucket", F.col("bucket")), group("cell", F.concat_ws("/", "bucket", "difficulty"))]
+    counted = cases.select("eval_id", "split", F.explode(F.array(*groups)).alias("g")).groupBy("g").agg(
+        F.count("*").alias("n"), F.min("eval_id").alias("eval_id"), F.min("split").alias("first_split"), F.max("split").alias("last_split")
+    ).select("g.kind", "g.key", "n", "eval_id", "first_split", "last_split")
+    counted = materialize(counted, "dataset-groups")
+    found.append(counted.where("kind like 'duplicate%' and n > 1").select(F.col("kind").alias("rule"), "eval_id"))
+    found.append(counted.where("(kind = 'topic_leak' or kind = 'family_leak' and key is not null) and first_split <> last_split").select(F.col("kind").alias("rule"), F.col("key").alias("eval_id")))
+    # Buckets and their cells are a fixed list, so one row holds what they count.
+    of = lambda kind, key=None: F.coalesce(F.sum(F.when((F.col("kind") == kind) & (F.lit(True) if key is None else F.col("key") == key), F.col("n"))), F.lit(0))
+    cells = [f"{b}/{d}" for b in BUCKETS for d in DIFFICULTIES] if strict else []
+    buckets = list(BUCKETS) if strict else []
+    fixed = counted.where("kind in ('total', 'bucket', 'cell')").agg(of("total").alias("total"), *[of("bucket", b).alias(b) for b in buckets], *[of("cell", c).alias(c) for c in cells])
+    problem = lambda rule, name: F.struct(F.lit(rule).alias("rule"), name.alias("eval_id"))
+    short = [F.when(F.col("total") < minimum, problem("dataset_below_minimum", none))]
+    short += [F.when(F.col(b) < MIN_BUCKET_CASES, problem("bucket_below_minimum", F.lit(b))) for b in buckets]
+    short += [F.when(F.col(f"`{c}`") == 0, problem("missing_difficulty", F.lit(c))) for c in cells]
+    found.append(fixed.select(F.explode(F.array_compact(F.array(*short))).alias("p")).select("p.rule", "p.eval_id"))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -42,3 +42,38 @@ def test_scans_read_only_needed_columns(spark, sf):
     text = plan(spark, sf, "cnv_pending_conversations")
     assert "text" not in text.split("ReadSchema:")[1].split("\n")[0]
     assert "props" not in plan(spark, sf, "log_context_report").split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_chunk_table_is_joined_in_its_buckets(spark):
+    """An upsert moves neither the chunk table nor the drafts: both lie in buckets of the key."""
+    from supportlake.operators import merge as mg
+    from supportlake.session import bucketed
+    from tests.test_guard_routing_logs import CHUNKS
+
+    rows = [("k%d" % i, "c", ["q"], f"a{i}", ["p"], "policy", False, None, None, i) for i in range(300)]
+    schema = "source_key string, category string, questions array<string>, answer string, chapter_path array<string>, content_type string, is_critical boolean, previous_source_key string, next_source_key string, draft_order long"
+    latest = mg.latest_drafts(spark.createDataFrame(rows + [("k7", *rows[3][1:-1], 999)], schema))
+    assert latest.count() == 300 and latest.where("source_key = 'k7'").first().answer == "a3"
+    chunks = bucketed(spark.createDataFrame([], CHUNKS), "source_key", "plan_chunks")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = chunks.join(latest.select("source_key", "draft_order"), "source_key", "full_outer")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text and "Exchange" not in text
+        merged = mg.upsert_drafts(chunks, latest, latest=True)
+        assert sorted(r.id for r in merged.collect()) == list(range(1, 301))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_dataset_rules_read_the_cases_twice(spark, sf):
+    from supportlake.operators import evaluation as ev
+    from supportlake.plans.evaluation_queries import _dataset
+
+    seen = []
+    real, ev.materialize = ev.materialize, lambda df, name: seen.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name)
+    try:
+        plan = ev.validate_dataset(*_dataset(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        ev.materialize = real
+    # The cases for marks and for groups, and the sources once.
+    assert sum(text.count("documents.parquet") for text in [*seen, plan]) <= 3
