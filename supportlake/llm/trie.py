@@ -321,7 +321,8 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame | None = None) -> Dat
     )
     nodes = materialize(facts, "trie-nodes")
     upper = nodes.where("shared")
-    below = nodes.join(upper.select(F.col("key").alias("parent_key")), "parent_key", "left_semi").groupBy("parent_key").agg(
+    # Children are added up by parent before the join, so that a node of very many children is a row per task.
+    below = nodes.where("parent_key is not null").groupBy("parent_key").agg(
         F.count("*").alias("n_children"), F.sum(F.when(~F.col("shared"), F.col("leaves"))).alias("leaves"),
         F.sum(F.when(~F.col("shared"), F.col("saved"))).alias("saved"),
     )
