@@ -48,9 +48,9 @@ def flag_member(
 def latest_drafts(drafts: DataFrame) -> DataFrame:
     """The last draft (highest ``draft_order``) of each key with its text and hash, as a table in buckets of the key."""
     last = first_per_key(drafts, ["source_key"], "draft_order", last=True)
-    return bucketed(last.withColumns({
+    return bucketed(last, "source_key", "latest_drafts", lambda rows: rows.withColumns({
         "embedding_text": tx.embedding_text("category", "questions", "answer"), "content_hash": tx.fingerprint("category", "questions", "answer"),
-    }), "source_key", "latest_drafts")
+    }))
 
 
 def upsert_drafts(chunks: DataFrame, drafts: DataFrame, latest: bool = False) -> DataFrame:
@@ -60,14 +60,18 @@ def upsert_drafts(chunks: DataFrame, drafts: DataFrame, latest: bool = False) ->
     vector; an unchanged chunk keeps its vector. New chunks get ids after the
     highest one, in draft order. ``content_hash`` is the fingerprint, so a
     punctuation-only edit resets the vector but keeps the hash. ``latest`` says that ``drafts`` come from ``latest_drafts``. A chunk table
-    that is stored in buckets of ``source_key`` is not shuffled; the result is stored in such buckets.
+    that is stored in buckets of ``source_key`` is not shuffled. The result is a view of the two tables, so a use of it reads the columns it
+    needs; texts are compared by their SHA-256, so a use that needs no text does not join or sort them.
     """
     last = drafts if latest else latest_drafts(drafts)
-    incoming = last.select("source_key", *[F.col(c).alias(f"new_{c}") for c in (*_DRAFT_FIELDS, "embedding_text", "content_hash", "draft_order")])
-    both = chunks.join(incoming, "source_key", "full_outer")
+    digest = F.sha2("embedding_text", 256)
+    incoming = last.select(
+        "source_key", *[F.col(c).alias(f"new_{c}") for c in (*_DRAFT_FIELDS, "embedding_text", "content_hash", "draft_order")], digest.alias("__new_digest")
+    )
+    both = chunks.withColumn("__digest", digest).join(incoming, "source_key", "full_outer")
     drafted, existed = F.col("new_draft_order").isNotNull(), F.col("id").isNotNull()
     # A NULL in the old row counts as changed, as any other difference does.
-    reset = drafted & (~existed | ~F.col("embedding_text").eqNullSafe(F.col("new_embedding_text")) | ~F.col("is_active"))
+    reset = drafted & (~existed | ~F.col("__digest").eqNullSafe(F.col("__new_digest")) | ~F.col("is_active"))
     merged = both.withColumns({
         **{c: F.when(drafted, F.col(f"new_{c}")).otherwise(F.col(c)) for c in (*_DRAFT_FIELDS, "content_hash")},
         "embedding_text": F.when(reset, F.col("new_embedding_text")).otherwise(F.col("embedding_text")),
@@ -75,20 +79,14 @@ def upsert_drafts(chunks: DataFrame, drafts: DataFrame, latest: bool = False) ->
         "vector_id": F.when(~reset | ~drafted, F.col("vector_id")),
         "is_active": F.when(drafted, F.lit(True)).otherwise(F.col("is_active")),
     }).select(*chunks.columns, "new_draft_order")
-    # Written once: the largest id, the numbers of new chunks and the result are read from it.
-    stored = bucketed(merged, "source_key", "merged_chunks", placed=_placed(merged))
-    top = F.coalesce(stored.agg(F.max("id")).scalar(), F.lit(0))
-    added = materialize(stored.where("id is null").select("source_key", "new_draft_order"), "added-keys")
+    top = F.coalesce(chunks.agg(F.max("id")).scalar(), F.lit(0))
+    # Written once, keys and numbers only: they are counted, numbered and looked up.
+    added = materialize(merged.where("id is null").select("source_key", "new_draft_order"), "added-keys")
     numbers = dense_numbers(added, "new_draft_order", "new_id").select("source_key", "new_id")
-    numbered = stored.join(numbers, "source_key", "left").withColumn("id", F.coalesce("id", F.col("new_id") + top))
+    numbered = merged.join(numbers.hint("shuffle_hash"), "source_key", "left").withColumn("id", F.coalesce("id", F.col("new_id") + top))
     return numbered.select(*chunks.columns)
 
 
-def _placed(df: DataFrame) -> bool:
-    """Whether the rows of a join of two bucketed tables lie in their buckets already: its plan has no shuffle."""
-    return "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
-
-
 def resolve_neighbors(chunks: DataFrame, drafts: DataFrame, latest: bool = False) -> DataFrame:
     """Set previous/next chunk ids of drafted chunks; unknown keys give NULL. ``latest`` as in ``upsert_drafts``.
 

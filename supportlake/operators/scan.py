@@ -131,7 +131,8 @@ def first_per_key(df: DataFrame, keys: list[str], order: str, *, last: bool = Fa
     """
     pick = F.max(order) if last else F.min(order)
     winners = df.groupBy(*keys).agg(pick.alias(order))
-    return df.drop(*keys).join(winners, order).select(*df.columns)
+    # Winners are narrow and as evenly spread as the order values: hashed, so that the payload is not sorted.
+    return df.drop(*keys).join(winners.hint("shuffle_hash"), order).select(*df.columns)
 
 
 def ordered_lists(df: DataFrame, keys: list[str], order: str, lists: dict[str, Column], others: dict[str, Column] | None = None, bits: int = 12) -> DataFrame:

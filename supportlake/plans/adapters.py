@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supportlake.session import bucketed, path_exists, run_dir
+from supportlake.session import path_exists, run_dir
 from supportlake.sources.tables import read_input, spread
 
 # Message ids leave room for a billion turns per conversation.
@@ -86,12 +86,12 @@ def stored(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFram
 _TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def stored_in_buckets(spark: SparkSession, sf: str, name: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """As ``stored``, in buckets of a key, so that joins by it do not move the table."""
+def stored_in_buckets(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """As ``stored``, for a table that ``build`` writes in buckets of a key (``bucketed``), so that joins by it do not move it."""
     at = (spark.sparkContext.applicationId, sf, name)
     files = _TABLES[at].inputFiles() if at in _TABLES else []  # a file per bucket
     if not files or not path_exists(spark, files[0]):
-        _TABLES[at] = bucketed(build(), key, name.replace("-", "_"))
+        _TABLES[at] = build()
     return _TABLES[at]
 
 

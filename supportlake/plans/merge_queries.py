@@ -10,32 +10,37 @@ from supportlake.operators import merge as mg
 from supportlake.plans import adapters as ad
 from supportlake.plans.registry import query
 from supportlake.plans.text_queries import FINGERPRINT_SQL
+from supportlake.session import bucketed
 from supportlake.sources.tables import read_input
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Stored chunk table: documents as they were before the import."""
-    return ad.stored_in_buckets(spark, sf, "chunks", "source_key", lambda: _old_chunks(spark, sf))
+    return ad.stored_in_buckets(spark, sf, "chunks", lambda: _old_chunks(spark, sf))
 
 
 def _latest(spark: SparkSession, sf: str) -> DataFrame:
     """The import's drafts, one per key, as the import stores them."""
-    return ad.stored_in_buckets(spark, sf, "latest", "source_key", lambda: mg.latest_drafts(ad.stored(spark, sf, "drafts", lambda: _drafts(spark, sf))))
+    return ad.stored_in_buckets(spark, sf, "latest", lambda: mg.latest_drafts(_drafts(spark, sf)))
 
 
 def _old_chunks(spark: SparkSession, sf: str) -> DataFrame:
     drafts = ad.chunk_drafts(spark, sf).filter("doc_id % 5 <> 4")
     n = F.col("doc_id")
     text = F.when(n % 5 == 1, F.concat("answer", F.lit("!"))).when(n % 5 == 2, F.concat("answer", F.lit(" old"))).otherwise(F.col("answer"))
-    old = drafts.withColumn("answer", text)
-    return old.select(
-        (n + 1).alias("id"), "source_key", "category", "questions", "answer",
-        tx.embedding_text("category", "questions", "answer").alias("embedding_text"), "chapter_path", "content_type",
-        "is_critical", (n % 7 != 0).alias("is_active"),
-        F.lit(None).cast("bigint").alias("previous_chunk_id"), F.lit(None).cast("bigint").alias("next_chunk_id"),
-        F.when(n % 3 != 0, n + 1).alias("vector_id"), F.when(n % 3 != 0, "vectorized").otherwise("pending").alias("vector_status"),
-        tx.fingerprint("category", "questions", "answer").alias("content_hash"),
-    )
+    old = drafts.withColumn("answer", text).select("doc_id", "source_key", "category", "questions", "answer", "chapter_path", "content_type", "is_critical")
+
+    def finish(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            (n + 1).alias("id"), "source_key", "category", "questions", "answer",
+            tx.embedding_text("category", "questions", "answer").alias("embedding_text"), "chapter_path", "content_type",
+            "is_critical", (n % 7 != 0).alias("is_active"),
+            F.lit(None).cast("bigint").alias("previous_chunk_id"), F.lit(None).cast("bigint").alias("next_chunk_id"),
+            F.when(n % 3 != 0, n + 1).alias("vector_id"), F.when(n % 3 != 0, "vectorized").otherwise("pending").alias("vector_status"),
+            tx.fingerprint("category", "questions", "answer").alias("content_hash"),
+        )
+
+    return bucketed(old, "source_key", "chunks", finish)
 
 
 def _drafts(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,8 +51,10 @@ def _drafts(spark: SparkSession, sf: str) -> DataFrame:
     )
     before = docs.select((F.col("n") + 1).alias("doc_id"), F.col("k").alias("previous_source_key"))
     after = docs.select((F.col("n") - 1).alias("doc_id"), F.col("k").alias("next_source_key"))
-    bare = drafts.drop("previous_source_key", "next_source_key")
-    return bare.join(before, "doc_id", "left").join(after, "doc_id", "left").drop("doc_id", "lang")
+    bare = drafts.drop("previous_source_key", "next_source_key", "draft_order")
+    # Hashed by their keys, so that the texts are not sorted; the order is named last, so that rows that lie by number lie by it.
+    joined = bare.join(before.hint("shuffle_hash"), "doc_id", "left").join(after.hint("shuffle_hash"), "doc_id", "left")
+    return joined.withColumn("draft_order", F.col("doc_id")).drop("doc_id", "lang")
 
 
 def _emb(text: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,17 +68,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, name: str, placed: bool = False) -> DataFrame:
-    """Write a frame once as a table in buckets of ``key``, sorted by it, as many as there are shuffle partitions.
+#: With at most this many open files in a task, Spark writes rows as they come instead of sorting them by file first.
+WRITERS_SETTING, WRITERS = "spark.sql.maxConcurrentOutputFileWriters", "4"
 
-    Tables with the same buckets are joined by the key without a shuffle. ``placed`` says that the rows come out of such a join and need no
-    shuffle for the write either. The table is external, in the folder of this application.
+
+def bucketed(df: DataFrame, key: str, name: str, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Write a frame once as a table in buckets of ``key``, as many as there are shuffle partitions.
+
+    Tables with the same buckets are joined by the key without a shuffle. ``finish`` adds columns that follow from the others and
+    need not be moved: it is applied where the rows of a bucket lie. A task writes one bucket, so its rows are not sorted, whatever
+    their width. The table is external, in the folder of this application.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex}"
-    rows = df if placed else df.repartition(n, key)
-    rows.write.bucketBy(n, key).sortBy(key).option("path", run_dir(spark, name)).format("parquet").saveAsTable(table)
+    rows = df.repartition(n, key)
+    rows = rows if finish is None else finish(rows)
+    before = spark.conf.get(WRITERS_SETTING)
+    spark.conf.set(WRITERS_SETTING, WRITERS)
+    try:
+        rows.write.bucketBy(n, key).option("path", run_dir(spark, name)).format("parquet").saveAsTable(table)
+    finally:
+        spark.conf.set(WRITERS_SETTING, before)
     return spark.table(table)
 
 
