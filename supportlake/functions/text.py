@@ -33,6 +33,13 @@ def strip(col: Column | str) -> Column:
     return F.regexp_replace(_c(col), rf"(?U)^{WS}+|{WS}+$", "")
 
 
+def strip_text(col: Column | str) -> Column:
+    """As ``strip``, for a column of long texts: only those that begin or end with white space are searched."""
+    text = _c(col)
+    outer = F.substring(text, 1, 1).rlike(rf"(?U){WS}") | F.substring(text, -1, 1).rlike(rf"(?U){WS}")
+    return F.when(outer, strip(text)).otherwise(text)
+
+
 def is_blank(col: Column | str) -> Column:
     return ~_c(col).rlike(rf"(?U)[^\s\x1c-\x1f]")
 
@@ -45,7 +52,7 @@ def count_matches(col: Column | str, pattern: str) -> Column:
 
 
 def embedding_text(category: Column | str, questions: Column | str, answer: Column | str) -> Column:
-    lines = F.concat(F.array(strip(category)), F.transform(_c(questions), strip), F.array(strip(answer)))
+    lines = F.concat(F.array(strip(category)), F.transform(_c(questions), strip), F.array(strip_text(answer)))
     return F.array_join(lines, "\n")
 
 
@@ -85,20 +92,21 @@ def fingerprint(category: Column | str, questions: Column | str, answer: Column
 
 # --- personal data ---------------------------------------------------------
 
-# Patterns applied in this order and the label each one leaves.
+# Patterns applied in this order and the label each one leaves. A pattern begins with the characters that a match
+# can begin with, so that most places of a text are passed by one look.
 PII_PATTERNS = (
-    ("phone", r"(?U)(?<!\d)(?:(?:\+|00)?86[-\s]?)?1[3-9]\d{9}(?!\d)", "[PHONE]"),
+    ("phone", r"(?U)(?=[+018])(?<!\d)(?:(?:\+|00)?86[-\s]?)?1[3-9]\d{9}(?!\d)", "[PHONE]"),
     ("email", r"(?iuU)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}(?![A-Z0-9-])", "[EMAIL]"),
-    ("id_card", r"(?U)(?<!\d)[1-9]\d{16}[0-9Xx](?!\w)", "[ID_CARD]"),
+    ("id_card", r"(?U)(?=[1-9])(?<!\d)[1-9]\d{16}[0-9Xx](?!\w)", "[ID_CARD]"),
     (
         "labelled_id",
-        r"(?iuU)(?:订单(?:编号|号)|工单(?:编号|号)|order\s*(?:id|no)?|ticket\s*(?:id|no)?)"
+        r"(?iuU)(?=[订工ot])(?:订单(?:编号|号)|工单(?:编号|号)|order\s*(?:id|no)?|ticket\s*(?:id|no)?)"
         r"\s*(?:为|是|[:：#])?\s*[A-Z0-9][A-Z0-9_-]{2,}",
         "[REDACTED_ID]",
     ),
     (
         "prefixed_id",
-        r"(?iuU)(?:ORD|ORDER|TKT|TICKET|CASE)[-_]?[A-Z0-9][A-Z0-9_-]{2,}(?![A-Z0-9_-])",
+        r"(?iuU)(?=[OTC])(?:ORD|ORDER|TKT|TICKET|CASE)[-_]?[A-Z0-9][A-Z0-9_-]{2,}(?![A-Z0-9_-])",
         "[REDACTED_ID]",
     ),
 )
