@@ -435,8 +435,9 @@ def retrieve(
 ) -> tuple[DataFrame, DataFrame]:
     """(candidates, final) of one strategy for a whole query table.
 
-    Candidates are written once: an external model scores them, and rerank
-    joins those scores back. Pass ``legs`` to share the searches of strategies.
+    Ranked hits are written once. Candidates are a view of hits and chunks, so that answers are read, moved and written for
+    those uses only that take them; whoever uses candidates often writes the columns in question. Pass ``legs`` to share the
+    searches of strategies.
     """
     if strategy not in STRATEGIES:
         raise ValueError("unknown strategy")
@@ -444,9 +445,9 @@ def retrieve(
         raise ValueError("hybrid_rerank needs a score table")
     if legs is None:
         legs = search_legs(queries, chunks, strategy != "bm25", strategy != "dense")
-    hits = legs[strategy] if strategy in legs else rrf_fuse([legs["dense"], legs["bm25"]], limit)
+    hits = legs[strategy] if strategy in legs else materialize(rrf_fuse([legs["dense"], legs["bm25"]], limit), "fused-hits")
     hashes = chunks.filter("is_active").select(F.col("id").alias("chunk_id"), "content_hash")
-    candidates = materialize(hydrate(hits.join(hashes, "chunk_id"), chunks, sync), "candidates")
+    candidates = hydrate(hits.join(hashes, "chunk_id"), chunks, sync)
     if strategy == "hybrid_rerank":
         return candidates, rerank(candidates, scores)
     return candidates, candidates.filter(F.col("n") <= FINAL_LIMIT)

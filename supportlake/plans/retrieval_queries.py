@@ -264,15 +264,17 @@ fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 
 def _stored(spark: SparkSession, sf: str) -> DataFrame:
     """Chunk table whose texts are all documents and whose vectors are the corpus vectors, where there is one."""
-    return ad.stored(spark, sf, "searched-chunks", lambda: _searched(spark, sf))
+    # The text is stored once; it is the answer and what is searched.
+    return ad.stored(spark, sf, "searched-chunks", lambda: _searched(spark, sf)).withColumn("embedding_text", F.col("answer"))
 
 
 def _searched(spark: SparkSession, sf: str) -> DataFrame:
     drafts = ad.chunk_drafts(spark, sf)
     vectors = corpus_vectors(spark, sf).withColumnRenamed("chunk_id", "doc_id")
     n = F.col("doc_id")
-    return drafts.join(vectors, "doc_id", "left").select(
-        n.alias("id"), "source_key", "category", "questions", "answer", F.col("answer").alias("embedding_text"), "chapter_path",
+    # Vectors are hashed, so that the texts are moved but not sorted.
+    return drafts.join(vectors.hint("shuffle_hash"), "doc_id", "left").select(
+        n.alias("id"), "source_key", "category", "questions", "answer", "chapter_path",
         "content_type", F.lit(True).alias("is_active"), "embedding", "label", F.when(F.col("embedding").isNotNull(), "vectorized").otherwise("pending").alias("vector_status"),
         F.concat(F.lit("h"), n.cast("string")).alias("content_hash"),
     )
@@ -352,6 +354,8 @@ def ret_retrieve_strategies(spark: SparkSession, sf: str) -> DataFrame:
         base = "hybrid" if strategy == "hybrid_rerank" else strategy
         candidates, final = rt.retrieve(queries, stored, sync, base, legs=legs)
         if strategy == "hybrid_rerank":
+            # Read by the scores, by their checks and by the order: written once.
+            candidates = materialize(candidates.select("query_id", "chunk_id", "n", "score"), "candidates")
             final = rt.rerank(candidates, _scores(candidates))
         part = final.select(F.lit(strategy).alias("strategy"), "query_id", "chunk_id", "n", F.round("score", 6).alias("score"))
         part = materialize(part, "strategy")
