@@ -23,6 +23,10 @@ RUN_LOG_SCHEMA = T.StructType([
 ])
 
 
+#: A scan deals small files out by an assumed cost of opening them, 32 to a partition; so many tasks a core share them at most.
+TASKS_PER_CORE = 16
+
+
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """(source, text) for every ``*.md`` file of a folder; none at all is an error.
 
@@ -30,11 +34,13 @@ def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     where order matters; nothing is gathered to sort it here.
     """
     files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
+    parts = files._jdf.queryExecution().toRdd().getNumPartitions()  # each of a few small files only
+    if not parts:
+        raise FileNotFoundError(f"no Markdown file in {folder}")
     named = files.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source"), F.col("value").alias("text"))
     named = named.withColumn("source", F.url_decode(F.regexp_replace("source", r"\+", "%2B")))
-    if named.isEmpty():
-        raise FileNotFoundError(f"no Markdown file in {folder}")
-    return named
+    most = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    return named.coalesce(most) if parts > most else named
 
 
 def read_jsonl(
