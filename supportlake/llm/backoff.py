@@ -8,6 +8,8 @@ goes through the shuffle once per chunk that has the n-gram, not once per occurr
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -86,13 +88,15 @@ def score_documents(docs: DataFrame, order: int = 2, backoff: float = 0.4, leave
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         hashes, counts = chunk_words(left.column("text"))
         lengths, parts = right.column("length").to_numpy(), right.column("part").to_numpy()
-        totals = []
-        for length in range(1, order + 1):
-            mine = np.flatnonzero(lengths == length)
-            mine = mine[np.argsort(parts[mine])]
-            sums = [unplanes(right.column("totals")[int(i)].as_py()) for i in mine]
-            totals.append(np.concatenate(sums).astype(np.int64) if sums else np.empty(0, dtype=np.int64))
-        logs, missed = score_words(hashes, counts, totals, all_words, backoff, leave_out)
+
+        def totals() -> Iterator[np.ndarray]:
+            for length in range(1, order + 1):
+                mine = np.flatnonzero(lengths == length)
+                mine = mine[np.argsort(parts[mine])]
+                sums = [unplanes(right.column("totals")[int(i)].as_py()).view(np.int64) for i in mine]
+                yield np.concatenate(sums) if sums else np.empty(0, dtype=np.int64)
+
+        logs, missed = score_words(hashes, counts, totals(), all_words, backoff, leave_out)
         return pa.table({
             "doc_id": left.column("doc_id"), "n_words": pa.array(counts, pa.int64()), "log_score": pa.array(logs, pa.float64()),
             "mean_log_score": pa.array(logs / np.maximum(counts, 1), mask=counts == 0), "n_backoff": pa.array(missed, pa.int64()),
@@ -141,42 +145,53 @@ def _count(chunked: DataFrame, length: int, n_parts: int) -> DataFrame:
     return counted.groupBy("part").applyInArrow(total, "chunk int, part int, length int, totals binary, events long")
 
 
-def score_words(hashes: np.ndarray, counts: np.ndarray, totals: list[np.ndarray], all_words: int, backoff: float, leave_out: bool):
+def score_words(hashes: np.ndarray, counts: np.ndarray, totals: Iterable[np.ndarray], all_words: int, backoff: float, leave_out: bool):
     """(sum of logarithms, words that backed off) of each document of a chunk.
 
-    ``totals``: for each length the counts of the chunk's distinct n-grams in ascending order of their keys.
+    ``totals``: for each length the counts of the chunk's distinct n-grams in ascending order of their keys. They are taken one
+    after the other; of the counts of each word's grams those of two lengths are held at once.
     """
     n, first = len(hashes), np.append(0, np.cumsum(counts))
-    owner = np.repeat(np.arange(len(counts)), counts)
-    place = np.arange(n) - np.repeat(first[:-1], counts)  # of each word in its document
-    gram: list[np.ndarray] = []  # count of the gram of each length that starts at each word, -1 where it leaves the document
+    owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    place = (np.arange(n) - np.repeat(first[:-1], counts)).astype(np.int32)  # of each word in its document
     for length, known in enumerate(totals, 1):
-        count = np.full(n, -1, dtype=np.int64)
-        at, keys = gram_keys(hashes, first, length)
-        if len(at):
-            order = np.argsort(keys, kind="stable")  # equal keys stay in the order of their documents
-            keys, at = keys[order], at[order]
-            fresh = np.diff(keys, prepend=~keys[:1]) != 0
-            found = known[np.cumsum(fresh) - 1]
-            if leave_out:
-                doc = owner[at]
-                run = fresh | (np.diff(doc, prepend=-1) != 0)
-                start = np.flatnonzero(run)
-                found = found - np.diff(np.append(start, len(at)))[np.cumsum(run) - 1]
-            count[at] = found
-        gram.append(count)
-    rest = all_words - (counts[owner] if leave_out else 0)
-    alone = gram[0]
-    value = np.where(alone > 0, alone / np.maximum(rest, 1), 1.0 / (rest + 1))
-    missed = alone <= 0
-    for length in range(2, len(totals) + 1):
-        # The gram of this length that ends at a word, and its context, which starts at the same word.
-        at = np.flatnonzero(place >= length - 1)
-        start = at - (length - 1)
-        full, context = gram[length - 1][start], gram[length - 2][start]
-        seen = full > 0
-        value[at] = np.where(seen, full / np.maximum(context, 1), backoff * value[at])
-        missed = np.zeros(n, dtype=bool)
-        missed[at] = ~seen
+        count = _occurrences(hashes, first, length, known, owner, leave_out)
+        if length == 1:
+            rest = all_words - (counts[owner] if leave_out else 0)
+            value = np.where(count > 0, count / np.maximum(rest, 1), 1.0 / (rest + 1))
+            missed = count <= 0
+            del rest
+        else:
+            # The gram of this length that ends at a word, and its context, which starts at the same word.
+            at = np.flatnonzero(place >= length - 1)
+            full, context = count[at - (length - 1)], shorter[at - (length - 1)]
+            seen = full > 0
+            value[at] = np.where(seen, full / np.maximum(context, 1), backoff * value[at])
+            missed = np.zeros(n, dtype=bool)
+            missed[at] = ~seen
+            del at, full, context, seen
+        shorter = count
     logs = np.bincount(owner, weights=np.log(value), minlength=len(counts))
     return logs, np.bincount(owner[missed], minlength=len(counts)).astype(np.int64)
+
+
+def _occurrences(hashes: np.ndarray, first: np.ndarray, length: int, known: np.ndarray, owner: np.ndarray, leave_out: bool) -> np.ndarray:
+    """Count of the gram of one length that starts at each word, -1 where it leaves the document."""
+    count = np.full(len(hashes), -1, dtype=np.int64)
+    at, keys = gram_keys(hashes, first, length)
+    if not len(at):
+        return count
+    order = np.argsort(keys, kind="stable")  # equal keys stay in the order of their documents
+    keys, at = keys[order], at[order]
+    del order
+    fresh = np.append(True, keys[1:] != keys[:-1])
+    del keys
+    found = known[np.cumsum(fresh) - 1]
+    if leave_out:
+        doc = owner[at]
+        run = fresh | np.append(True, doc[1:] != doc[:-1])
+        del doc
+        own = np.diff(np.append(np.flatnonzero(run), len(at)))
+        found -= own[np.cumsum(run) - 1]
+    count[at] = found
+    return count

@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from supportlake.llm import backoff, langid, mixing, quality, rlz
@@ -44,6 +45,24 @@ def test_backoff_equals_brute_force(spark, monkeypatch):
     assert all(abs(got[i].log_score - want[i]) < 1e-9 and got[i].n_words == len(docs[i]) for i in range(120))
 
 
+def test_backoff_scores_a_chunk_in_bounded_memory():
+    """Gram counts of two lengths at a time and no list of all answers: under 120 bytes a word."""
+    import tracemalloc
+
+    n = 200_000
+    hashes = np.random.default_rng(3).integers(1, 50_000, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.full(n // 200, 200, dtype=np.int64)
+    first = np.append(0, np.cumsum(counts))
+    known = [np.unique(backoff.gram_keys(hashes, first, k)[1], return_counts=True)[1].astype(np.int64) for k in (1, 2, 3)]
+    tracemalloc.start()
+    try:
+        logs, missed = backoff.score_words(hashes, counts, (k.copy() for k in known), 2 * n, 0.4, True)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(logs) == len(missed) == len(counts) and peak < 120 * n
+
+
 def test_backoff_odd_rows(spark):
     got = backoff.score_documents(odd_table(spark)).collect()
     assert len(got) == len(odd_rows())
