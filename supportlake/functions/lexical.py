@@ -13,11 +13,13 @@ _WORDS = rf"[{_CJK}]+|[\p{{L}}\p{{N}}_&&[^{_CJK}]]+"
 
 def tokenize(col: Column | str) -> Column:
     """Lower-cased words; a CJK run gives its overlapping character pairs."""
-    pieces = F.regexp_extract_all(F.lower(_c(col)), F.lit(_WORDS), F.lit(0))
+    lowered = F.lower(_c(col))
+    pieces = F.regexp_extract_all(lowered, F.lit(_WORDS), F.lit(0))
 
     def expand(piece: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.length(piece) - 1), lambda i: F.substring(piece, i, F.lit(2)))
         cut = piece.rlike(f"^[{_CJK}]") & (F.length(piece) > 2)
         return F.when(cut, pairs).otherwise(F.array(piece))
 
-    return F.flatten(F.transform(pieces, expand))
+    # One look at the text spares most texts a look at each of their words.
+    return F.when(lowered.rlike(f"[{_CJK}]"), F.flatten(F.transform(pieces, expand))).otherwise(pieces)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +13,9 @@ from pyspark.sql import types as T
 from supportlake.functions import jsonval as js
 from supportlake.functions import text as tx
 from supportlake.functions.lexical import tokenize
+from supportlake.operators.products import bm25_best, pack_queries
 from supportlake.operators.scan import running
-from supportlake.operators.topk import rank_hits, topk
+from supportlake.operators.topk import BROADCAST_BYTES, rank_hits, topk
 from supportlake.session import materialize, run_dir
 
 # Candidate limits, fusion constant, and the policy scopes.
@@ -220,8 +223,7 @@ def bm25_topk(
 ) -> DataFrame:
     """BM25 top-k. Queries: query_id, text. Index: from :func:`lexical_index`.
 
-    Each distinct query term counts once. The index is read in place; a term
-    that occurs in every chunk costs arithmetic, never a row per pair.
+    Each distinct query term counts once. A term that occurs in every chunk costs arithmetic, never a row per pair: see ``products``.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokenize("text"))).alias("term"))
     # Counted first, so that a term of nearly every chunk is combined before it moves.
@@ -232,48 +234,13 @@ def bm25_topk(
     # Written once: its size is checked before it is read.
     weighted = materialize(terms.join(used, "term").select("query_id", "term", idf.alias("idf")), "query-terms")
 
-    def pack(rows: pa.Table) -> dict:
-        query_ids, query_pos = np.unique(rows.column("query_id").to_numpy(), return_inverse=True)
-        encoded = rows.column("term").combine_chunks().dictionary_encode()
-        codes = encoded.indices.to_numpy()
-        by_term = np.argsort(codes, kind="stable")
-        starts = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(encoded.dictionary)))])
-        return {
-            "query_ids": query_ids, "terms": encoded.dictionary, "starts": starts.astype(np.int64),
-            "owners": query_pos[by_term].astype(np.int64), "idf": rows.column("idf").to_numpy()[by_term],
-        }
+    def search(tables: Iterator[pa.Table], packed: dict, k: int) -> pa.RecordBatch:
+        return bm25_best(tables, packed, k, k1, b, avg_len)
 
-    def score(rows: pa.Table, packed: dict) -> np.ndarray:
-        import pyarrow.compute as pc
-
-        lists = rows.column("tokens").combine_chunks()
-        n_terms, n_rows = len(packed["terms"]), len(lists)
-        owner = np.repeat(np.arange(n_rows), np.diff(lists.offsets.to_numpy()))
-        place = pc.index_in(lists.flatten(), value_set=packed["terms"])
-        known = ~np.asarray(place.is_null())
-        code = place.fill_null(0).to_numpy()[known].astype(np.int64)
-        cell, tf = np.unique(owner[known] * max(n_terms, 1) + code, return_counts=True)
-        row, term = cell // max(n_terms, 1), cell % max(n_terms, 1)
-        length = rows.column("doc_len").to_numpy()
-        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / avg_len))
-        # A posting adds to exactly the queries that hold its term; postings are
-        # taken in portions whose additions fit a bounded buffer.
-        first, stop = packed["starts"][term], packed["starts"][term + 1]
-        reach = stop - first
-        portion = np.cumsum(reach) // 2_000_000
-        n_queries = len(packed["query_ids"])
-        matrix = np.zeros(n_queries * n_rows)
-        for number in range(int(portion[-1]) + 1 if len(portion) else 0):
-            low, high = np.searchsorted(portion, [number, number + 1])
-            f, r = first[low:high], reach[low:high]
-            entry = np.repeat(f - (np.cumsum(r) - r), r) + np.arange(r.sum())
-            flat = packed["owners"][entry] * n_rows + np.repeat(row[low:high], r)
-            added = packed["idf"][entry] * np.repeat(part[low:high], r)
-            matrix += np.bincount(flat, weights=added, minlength=len(matrix))
-        matrix = matrix.reshape(n_queries, n_rows)
-        return np.where(matrix > 0, matrix, -np.inf)
-
-    return topk(weighted, index.select("chunk_id", "tokens", "doc_len"), k, pack, score, **options)
+    # Packed words are half the size of their rows. A row is moved as one text, as its tokens have no blanks.
+    options.setdefault("broadcast_bytes", 2 * BROADCAST_BYTES)
+    corpus = index.select("chunk_id", F.array_join("tokens", " ").alias("words"), "doc_len")
+    return topk(weighted, corpus, k, pack_queries, None, search=search, **options)
 
 
 # --- filters, fusion, hydration --------------------------------------------

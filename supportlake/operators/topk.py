@@ -27,6 +27,8 @@ HITS = "query_id bigint, chunk_id bigint, score double"
 Pack = Callable[[pa.Table], dict]
 # score(arrow batch or table of corpus rows, packed) -> matrix of queries x rows
 Score = Callable[[pa.Table, dict], np.ndarray]
+# search(tables of corpus rows, packed, k) -> batch of the k best rows per query, for scores that are not made as one matrix
+Search = Callable[[Iterator[pa.Table], dict, int], pa.RecordBatch]
 
 
 class _Best:
@@ -36,30 +38,34 @@ class _Best:
         self.scores = np.full((n_queries, k), -np.inf)
         self.ids = np.full((n_queries, k), np.iinfo(np.int64).max, dtype=np.int64)
 
-    def add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
-        """Only queries with a row that reaches their k-th score are touched, all of them at once."""
+    def add(self, ids: np.ndarray, matrix: np.ndarray, who: np.ndarray | None = None, above: float = -np.inf) -> None:
+        """Scores above ``above`` of the queries (all, or the numbers ``who``) for the rows ``ids``; scores are rounded here.
+
+        Only scores that reach the k-th of their query are looked at one by one.
+        """
         k = self.scores.shape[1]
-        hit = np.flatnonzero((matrix >= self.scores[:, -1:]).any(axis=1) & (matrix > -np.inf).any(axis=1))
-        if not len(hit):
+        if not matrix.size:
             return
-        fresh = matrix[hit]
-        if fresh.shape[1] > 2 * k:
-            # The k best scores and all that tie with the last of them: nothing else can enter.
-            edge = np.maximum(-np.partition(-fresh, k - 1, axis=1)[:, k - 1 : k], self.scores[hit, -1:])
-            reach = fresh >= edge
-            width = int(reach.sum(axis=1).max())
-            if width < fresh.shape[1]:
-                pick = np.argsort(~reach, axis=1, kind="stable")[:, :width]
-                fresh = np.where(np.take_along_axis(reach, pick, 1), np.take_along_axis(fresh, pick, 1), -np.inf)
-                keys = ids[pick]
-            else:
-                keys = np.broadcast_to(ids, fresh.shape)
-        else:
-            keys = np.broadcast_to(ids, fresh.shape)
-        scores = np.concatenate([self.scores[hit], fresh], axis=1)
-        keys = np.concatenate([self.ids[hit], keys], axis=1)
-        order = np.lexsort((keys, -scores), axis=1)[:, :k]
-        self.scores[hit], self.ids[hit] = np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)
+        who = np.arange(len(matrix)) if who is None else who
+        floor = self.scores[who, -1]
+        if matrix.shape[1] > 2 * k:
+            # Queries with fewer than k rows so far: the k best scores and all that tie with the last of them.
+            fresh = np.flatnonzero(floor == -np.inf)
+            floor[fresh] = np.fmax(-np.partition(-matrix[fresh], k - 1, axis=1)[:, k - 1], -np.inf)
+        # A score just below the floor may be rounded up to it.
+        least = np.maximum(floor - 10.0**-SCORE_DIGITS, np.nextafter(above, np.inf))
+        query, column = np.divmod(np.flatnonzero(matrix >= least[:, None]), matrix.shape[1])
+        if not len(query):
+            return
+        hit, query_place = np.unique(query, return_inverse=True)
+        mine = who[hit]
+        owner = np.r_[query_place, np.repeat(np.arange(len(hit)), k)]
+        scores = np.r_[np.round(matrix[query, column], SCORE_DIGITS), self.scores[mine].ravel()]
+        keys = np.r_[ids[column], self.ids[mine].ravel()]
+        order = np.lexsort((keys, -scores, owner))
+        size = np.bincount(owner)
+        pick = order[(np.cumsum(size) - size)[:, None] + np.arange(k)]
+        self.scores[mine], self.ids[mine] = scores[pick], keys[pick]
 
     def batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
         query, rank = np.nonzero(self.scores > -np.inf)
@@ -81,8 +87,7 @@ def _best_of(tables: Iterator[pa.Table], packed: dict, score: Score, k: int) ->
     for table in tables:
         for start in range(0, table.num_rows if n_queries else 0, step):
             part = table.slice(start, step)
-            matrix = np.round(score(part, packed), SCORE_DIGITS)
-            best.add(part.column("chunk_id").to_numpy(), matrix)
+            best.add(part.column("chunk_id").to_numpy(), score(part, packed))
     return best.batch(packed["query_ids"])
 
 
@@ -99,14 +104,16 @@ def topk(
     corpus: DataFrame,
     k: int,
     pack: Pack,
-    score: Score,
+    score: Score | None,
     broadcast_bytes: int = BROADCAST_BYTES,
+    search: Search | None = None,
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank) of the k best corpus rows per query.
 
     ``queries`` has ``query_id`` (several rows per query are allowed) and
-    ``corpus`` a unique ``chunk_id``; both are bigint.
+    ``corpus`` a unique ``chunk_id``; both are bigint. ``search`` takes the place of ``score``.
     """
+    search = search or (lambda tables, packed, k: _best_of(tables, packed, score, k))
     if k < 1:
         raise ValueError("k must be positive")
     row_bytes = F.lit(16)
@@ -121,7 +128,7 @@ def topk(
 
         def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = packed.value
-            yield _best_of((pa.Table.from_batches([b]) for b in batches), values, score, k)
+            yield search((pa.Table.from_batches([b]) for b in batches), values, k)
 
         hits = corpus.mapInArrow(narrow, HITS)
     else:
@@ -132,7 +139,7 @@ def topk(
             if left.num_rows == 0 or right.num_rows == 0:
                 return pa.Table.from_batches([], schema=pa.schema(
                     [("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())]))
-            return pa.Table.from_batches([_best_of(iter([right]), pack(left), score, k)])
+            return pa.Table.from_batches([search(iter([right]), pack(left), k)])
 
         here = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
             "__slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint")))

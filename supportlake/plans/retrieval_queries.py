@@ -297,7 +297,9 @@ def ret_rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
     queries, stored = _text_queries(spark, sf), _stored(spark, sf)
     searched = stored.select(F.col("id").alias("chunk_id"), "embedding", F.col("embedding_text").alias("text"))
     dense = rt.dense_topk(queries, searched)
-    lexical = rt.bm25_topk(queries.select("query_id", F.col("lexical").alias("text")), rt.lexical_index(searched))
+    # Read for its terms, its sizes and the scores: texts are cut into words once.
+    index = materialize(rt.lexical_index(searched), "lexical-index")
+    lexical = rt.bm25_topk(queries.select("query_id", F.col("lexical").alias("text")), index)
     return rt.rrf_fuse([dense, lexical]).withColumn("score", F.round("score", 9))
 
 
