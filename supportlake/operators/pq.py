@@ -1,8 +1,8 @@
 """Approximate search by product quantisation over cells, with exact re-scoring.
 
 A vector is its cell and a code of a few bytes: the residual to the cell's centre, cut into sub-vectors, each replaced by the
-number of its nearest of at most 256 codewords. A search makes one table per query, of the products of its sub-vectors with all codewords;
-the score of a row is that of its cell's centre plus one table entry per sub-vector. Only the best rows by that score are looked up
+number of its nearest of at most 256 codewords. The score of a row is the product of the query with the vector its code stands for: a block of
+rows of a cell is decoded once and multiplied with all queries that probe the cell. Only the best rows by that score are looked up
 in the table of full vectors and scored exactly.
 
 How many cells are probed and how many rows are re-scored is measured when the index is built, against an exact search of a bounded
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from supportlake.operators.retrieval import RECALL, _matrix, _pack_vectors, cell_count, dense_topk, vector_cells
-from supportlake.operators.topk import BROADCAST_BYTES, SCORE_DIGITS, rank_hits, topk
+from supportlake.operators.topk import BROADCAST_BYTES, SCORE_DIGITS, _Best, rank_hits, topk
 from supportlake.session import materialize, run_dir
 
 #: Components of a sub-vector, codewords, and rows they are fitted on (picked by hash; the bound of the fit).
@@ -30,6 +30,8 @@ FIT_ROWS = 1 << 16
 #: Rows of the corpus on which probes and re-scored rows are measured, and most re-scored rows of a query.
 MEASURE_ROWS = 256
 MOST_RESCORED = 1000
+#: Queries and rows that are scored at once.
+SCORE_QUERIES, SCORE_ROWS = 1024, 4096
 CODES = "chunk_id bigint, cell int, code binary"
 
 
@@ -88,7 +90,8 @@ def _fit(cells: DataFrame, centres: np.ndarray) -> np.ndarray:
     n_subs, width = _padded(centres.shape[1]) // SUB_WIDTH, centres.shape[1]
     sample = cells.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(FIT_ROWS)
     spread = sample.withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(n_subs - 1))))
-    cut = spread.select("sub", "cell", "chunk_id", "embedding")
+    # Dealt by number, as a shuffle of so few bytes would otherwise be put together to one task that fits all of them.
+    cut = spread.select("sub", "cell", "chunk_id", "embedding").repartition(n_subs, "sub")
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk_id")
@@ -181,29 +184,43 @@ def code_topk(queries: DataFrame, index: PQIndex, k: int, n_probe: int, **option
     def pack(rows: pa.Table) -> dict:
         packed = _pack_vectors(rows, width)
         vectors = packed["groups"][0][2]
-        parts = np.pad(vectors, ((0, 0), (0, _padded(width) - width))).reshape(len(vectors), -1, SUB_WIDTH)
         probes = np.zeros((len(vectors), len(centres)), dtype=bool)
         if len(vectors):
             np.put_along_axis(probes, near(vectors), True, axis=1)
-        # Per query: the products with all centres, and a table of those of each sub-vector with all codewords.
-        tables = np.einsum("qsc,swc->sqw", parts, words)
-        return {"query_ids": packed["query_ids"], "tables": tables, "centres": np.where(probes, vectors @ centres.T, -np.inf)}
-
-    def score(rows: pa.Table, packed: dict) -> np.ndarray:
-        code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-        total = packed["centres"][:, rows.column("cell").to_numpy()]
-        for sub, table in enumerate(packed["tables"]):
-            total = total + table[:, code[:, sub]]
-        return total
-
-    # A query's table is larger than its vector: the limit is that of the tables.
-    options.setdefault("broadcast_bytes", BROADCAST_BYTES * (width + 2) // words[:, :, 0].size)
+        return {"query_ids": packed["query_ids"], "vectors": vectors, "probes": probes}
+
+    def search(tables: Iterator[pa.Table], packed: dict, k: int) -> pa.RecordBatch:
+        best, vectors, probes = _Best(k, len(packed["query_ids"])), packed["vectors"], packed["probes"]
+        for table in tables:
+            order = np.argsort(table.column("cell").to_numpy(), kind="stable")
+            for start in range(0, len(order), SCORE_ROWS):
+                rows = table.take(pa.array(order[start : start + SCORE_ROWS]))
+                ids, cell = rows.column("chunk_id").to_numpy(), rows.column("cell").to_numpy()
+                decoded = decode(rows.column("code"), cell)
+                cuts = np.r_[0, np.flatnonzero(np.diff(cell)) + 1, len(cell)].tolist()
+                for first in range(0, len(vectors), SCORE_QUERIES):
+                    own, asked = probes[first : first + SCORE_QUERIES], vectors[first : first + SCORE_QUERIES]
+                    matrix = np.full((len(own), len(cell)), -np.inf)
+                    for low, high in zip(cuts[:-1], cuts[1:]):
+                        who = np.flatnonzero(own[:, cell[low]])
+                        matrix[who, low:high] = asked[who] @ decoded[low:high].T
+                    best.add(ids, matrix, np.arange(first, first + len(own)))
+        return best.batch(packed["query_ids"])
+
+    def decode(codes: pa.ChunkedArray, cell: np.ndarray) -> np.ndarray:
+        """The rows' centres plus the codewords they stand for: one product with these is the sum of a query's table entries."""
+        code = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(cell), -1)
+        rest = words[np.arange(len(words)), code].reshape(len(cell), -1)
+        return centres[cell] + rest[:, :width]
+
+    # A query has its vector, its probes and its best rows: the limit is that of all three.
+    options.setdefault("broadcast_bytes", BROADCAST_BYTES * 8 * (width + 2) // (8 * (width + 2) + len(centres) + 16 * k))
     asked = queries.select("query_id", "embedding")
     stored = index.codes(queries.sparkSession)
     if n_probe < len(centres):
         wanted = [r.cell for r in asked.mapInArrow(probed, "cell int").distinct().collect()]  # at most one row per cell
         stored = stored.where(F.col("cell").isin(wanted))
-    return topk(asked, stored, k, pack, score, **options)
+    return topk(asked, stored, k, pack, None, search=search, **options)
 
 
 def pq_search(queries: DataFrame, index: PQIndex, k: int, n_probe: int | None = None, n_rescored: int | None = None, **options) -> DataFrame:

@@ -66,3 +66,29 @@ def test_codewords_of_few_points():
     points = np.repeat(np.arange(5.0), 4)[:, None] * np.ones((1, 4))
     words = pq.fit_codewords(points, 256)
     assert words.shape == (256, 4) and {float(w[0]) for w in words[pq._nearest(points, words)]} == {0.0, 1.0, 2.0, 3.0, 4.0}
+
+
+def test_blocks_of_queries_and_rows_do_not_change_the_codes_found(spark, small, monkeypatch):
+    """Rows that are decoded once and multiplied in blocks, for few probes too, give what one query at a time gives."""
+    index = pq.build_pq(small, n_lists=6)
+    asked = small.where("chunk_id < 30").selectExpr("chunk_id as query_id", "embedding")
+    alone = {}
+    for i in (0, 11, 29):
+        alone |= pairs(pq.code_topk(asked.where(f"query_id = {i}"), index, 9, 2))
+    monkeypatch.setattr(pq, "SCORE_QUERIES", 7)
+    monkeypatch.setattr(pq, "SCORE_ROWS", 23)
+    for options in ({}, {"broadcast_bytes": 800}):
+        found = pairs(pq.code_topk(asked, index, 9, 2, **options))
+        assert {p: s for p, s in found.items() if p[0] in (0, 11, 29)} == alone and len(found) == 30 * 9
+
+
+def test_codewords_are_fitted_by_several_tasks(spark, small):
+    """A small shuffle is put together to one task unless its parts are numbered; that task fitted all sub-vectors."""
+    shown = []
+    taken = type(small).toArrow
+    type(small).toArrow = lambda self: (shown.append(self._jdf.queryExecution().toString()), taken(self))[1]
+    try:
+        pq.build_pq(small, n_lists=5)
+    finally:
+        type(small).toArrow = taken
+    assert "REPARTITION_BY_NUM" in shown[0]
