@@ -141,13 +141,29 @@ def blocks_of(words: np.ndarray, owners: np.ndarray, values: np.ndarray, n: int,
 
 
 def pack_queries(rows: pa.Table) -> dict:
-    """Queries of (query_id, term, idf) rows: their words, and blocks of them."""
-    query_ids, who = np.unique(rows.column("query_id").to_numpy(), return_inverse=True)
-    coded = rows.column("term").combine_chunks().dictionary_encode()
+    """Queries of (query_id, terms, idfs) rows: their words, a value per word, and blocks of them.
+
+    A term has the same idf in all queries. Only plain arrays, with four bytes an entry, are kept: a broadcast is held by every worker.
+    """
+    terms, idfs = (rows.column(c).combine_chunks() for c in ("terms", "idfs"))
+    query_ids, place = np.unique(rows.column("query_id").to_numpy(), return_inverse=True)
+    who = np.repeat(place, pc.fill_null(pc.list_value_length(terms), 0).to_numpy())
+    coded = terms.flatten().dictionary_encode()
     words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    idf = np.zeros(len(coded.dictionary))
+    idf[words] = idfs.flatten().to_numpy()
     groups = fit_groups(words, who, len(query_ids))
-    blocks = list(blocks_of(words, who, rows.column("idf").to_numpy(), len(query_ids), groups))
-    return {"query_ids": query_ids, "terms": coded.dictionary, "groups": groups, "blocks": blocks}
+    small = lambda x: x.astype(np.int32)
+    blocks = [
+        (group, queries, lists.n, *map(small, (lists.words, lists.starts, lists.owners)))
+        for group, queries, lists in blocks_of(words, who, np.broadcast_to(0.0, len(words)), len(query_ids), groups)
+    ]
+    return {"query_ids": query_ids, "terms": coded.dictionary, "idf": idf, "groups": groups, "blocks": blocks}
+
+
+def _lists(packed: dict, n: int, words: np.ndarray, starts: np.ndarray, owners: np.ndarray) -> Lists:
+    """The entries of a packed block, as they are multiplied."""
+    return Lists(n, words.astype(np.int64), starts.astype(np.int64), owners.astype(np.int64), np.repeat(packed["idf"][words], np.diff(starts)))
 
 
 def bm25_best(tables: Iterator[pa.Table], packed: dict, k: int, k1: float, b: float, avg_len: float) -> pa.RecordBatch:
@@ -167,7 +183,8 @@ def bm25_best(tables: Iterator[pa.Table], packed: dict, k: int, k1: float, b: fl
             weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / avg_len))
             ids = part.column("chunk_id").to_numpy()
             blocks = list(blocks_of(word, row, weight, part.num_rows, packed["groups"]))
-            for group, queries, left in packed["blocks"]:
+            for group, queries, *entries in packed["blocks"]:
+                left = _lists(packed, *entries)
                 # Rows of the queries' own group first: few others reach their scores.
                 for _, rows, right in sorted(blocks, key=lambda x: x[0] != group):
                     best.add(ids[rows], products(left, right), queries, 0.0)

@@ -15,7 +15,7 @@ from supportlake.functions import text as tx
 from supportlake.functions.lexical import tokenize
 from supportlake.operators.products import bm25_best, pack_queries
 from supportlake.operators.scan import running
-from supportlake.operators.topk import BROADCAST_BYTES, rank_hits, topk
+from supportlake.operators.topk import BROADCAST_BYTES, _Best, rank_hits, topk
 from supportlake.session import materialize, run_dir
 
 # Candidate limits, fusion constant, and the policy scopes.
@@ -33,6 +33,8 @@ RECALL_QUERIES = 512
 MAX_CELLS = 256
 #: A cell of fewer rows is one file.
 CELL_FILE_ROWS = 128
+#: Rows and queries that are multiplied at once.
+DENSE_ROWS, DENSE_QUERIES = 4096, 1024
 
 
 # --- dense leg -------------------------------------------------------------
@@ -75,10 +77,25 @@ def _cosine(rows: pa.Table, packed: dict) -> np.ndarray:
     return out
 
 
+def _cosine_best(tables: Iterator[pa.Table], packed: dict, k: int) -> pa.RecordBatch:
+    """The k best rows per query, many rows against a block of queries: the more rows at once, the fewer reach a query's k-th score."""
+    best = _Best(k, len(packed["query_ids"]))
+    for table in tables:
+        for start in range(0, table.num_rows, DENSE_ROWS):
+            part = table.slice(start, DENSE_ROWS)
+            ids = part.column("chunk_id").to_numpy()
+            for width, who, vectors in packed["groups"]:
+                found, good = _matrix(part.column("embedding"), width)
+                for low in range(0, len(who) if len(good) else 0, DENSE_QUERIES):
+                    block = slice(low, low + DENSE_QUERIES)
+                    best.add(ids[good], vectors[block] @ found.T, who[block])
+    return best.batch(packed["query_ids"])
+
+
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = LEG_LIMIT, **options) -> DataFrame:
     """Cosine top-k. Queries: query_id, embedding. Chunks: chunk_id, embedding."""
     return topk(
-        queries.select("query_id", "embedding"), chunks.select("chunk_id", "embedding"), k, _pack_vectors, _cosine, **options
+        queries.select("query_id", "embedding"), chunks.select("chunk_id", "embedding"), k, _pack_vectors, None, search=_cosine_best, **options
     )
 
 
@@ -231,13 +248,14 @@ def bm25_topk(
     stats = bm25_stats(index).first()
     n_docs, avg_len = stats["n_docs"], stats["avg_len"] or 1.0
     idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # Written once: its size is checked before it is read.
-    weighted = materialize(terms.join(used, "term").select("query_id", "term", idf.alias("idf")), "query-terms")
+    weighted = terms.join(used, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", idf.alias("idf"))).alias("entries"))
+    # Written once: its size is checked before it is read. A query is one row, no larger than its text and its numbers.
+    weighted = materialize(weighted.select("query_id", F.col("entries.term").alias("terms"), F.col("entries.idf").alias("idfs")), "query-terms")
 
     def search(tables: Iterator[pa.Table], packed: dict, k: int) -> pa.RecordBatch:
         return bm25_best(tables, packed, k, k1, b, avg_len)
 
-    # Packed words are half the size of their rows. A row is moved as one text, as its tokens have no blanks.
+    # Packed words are a quarter of the size of their rows. A row is read as one text, as its tokens have no blanks.
     options.setdefault("broadcast_bytes", 2 * BROADCAST_BYTES)
     corpus = index.select("chunk_id", F.array_join("tokens", " ").alias("words"), "doc_len")
     return topk(weighted, corpus, k, pack_queries, None, search=search, **options)

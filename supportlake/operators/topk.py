@@ -13,17 +13,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 2**20
 SLICE_ROWS = 100_000
+#: With at most this many blocks of queries the corpus is read in place for each; beyond, it is moved to the cells of the grid.
+PASSES = 8
+#: A task sends up to k rows per query, so tasks follow the cores and not the size of the corpus; a cluster that still grows has at least some.
+TASKS_PER_CORE, LEAST_TASKS = 3, 24
 # Scores are compared at this many decimals, so equal vectors tie exactly.
 SCORE_DIGITS = 9
 
 HITS = "query_id bigint, chunk_id bigint, score double"
 
-# pack(arrow table of query rows) -> packed queries with a ``query_ids`` array
+# pack(arrow table of query rows) -> packed queries with a ``query_ids`` array; plain values, as a broadcast is read without this package
 Pack = Callable[[pa.Table], dict]
 # score(arrow batch or table of corpus rows, packed) -> matrix of queries x rows
 Score = Callable[[pa.Table, dict], np.ndarray]
@@ -91,6 +96,14 @@ def _best_of(tables: Iterator[pa.Table], packed: dict, score: Score, k: int) ->
     return best.batch(packed["query_ids"])
 
 
+def _narrow(packed: Broadcast, search: Search, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = packed.value
+        yield search((pa.Table.from_batches([b]) for b in batches), values, k)
+
+    return narrow
+
+
 def rank_hits(hits: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Rank 1..k per query by score, then id; Spark limits each task to k rows first."""
     spec = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("chunk_id"))
@@ -123,16 +136,17 @@ def topk(
         else:
             row_bytes = row_bytes + (F.coalesce(F.octet_length(name), F.lit(0)) if kind == "string" else F.lit(8))
     size = queries.agg(F.sum(row_bytes)).first()[0] or 0
-    if size <= broadcast_bytes:
-        packed = queries.sparkSession.sparkContext.broadcast(pack(queries.toArrow()))
-
-        def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            values = packed.value
-            yield search((pa.Table.from_batches([b]) for b in batches), values, k)
-
-        hits = corpus.mapInArrow(narrow, HITS)
+    blocks = max(1, int(-(-size // broadcast_bytes)))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    if blocks <= PASSES:
+        context = queries.sparkSession.sparkContext
+        corpus = corpus.coalesce(max(LEAST_TASKS, TASKS_PER_CORE * context.defaultParallelism))
+        hits = None
+        for number in range(blocks):
+            part = queries.where(block == number) if blocks > 1 else queries
+            found = corpus.mapInArrow(_narrow(context.broadcast(pack(part.toArrow())), search, k), HITS)
+            hits = found if hits is None else hits.unionByName(found)
     else:
-        blocks = int(-(-size // broadcast_bytes))
         slices = max(1, -(-corpus.count() // SLICE_ROWS))
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -141,7 +155,7 @@ def topk(
                     [("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())]))
             return pa.Table.from_batches([search(iter([right]), pack(left), k)])
 
-        here = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
+        here = queries.withColumn("__block", block).withColumn(
             "__slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint")))
         )
         there = corpus.withColumn("__slice", F.pmod(F.xxhash64("chunk_id"), F.lit(slices))).withColumn(
