@@ -16,9 +16,10 @@ import pyarrow.compute as pc
 
 from supportlake.operators.topk import _Best
 
-#: Queries or rows of a block, rows that are read at once, and additions that are buffered at once.
+#: Queries or rows of a block, rows and words of text that are read at once, words that are counted at once, and additions that are buffered at once.
 BLOCK = 1024
-STEP_ROWS = 10_240
+STEP_ROWS, STEP_WORDS = 10_240, 8_000_000
+TEXT_WORDS = 500_000
 PORTION = 500_000
 #: A word is multiplied densely if this share of a block's pairs has it, as one addition takes as long as hundreds of dense ones; most such words.
 DENSE_SHARE = 0.002
@@ -166,23 +167,43 @@ def _lists(packed: dict, n: int, words: np.ndarray, starts: np.ndarray, owners:
     return Lists(n, words.astype(np.int64), starts.astype(np.int64), owners.astype(np.int64), np.repeat(packed["idf"][words], np.diff(starts)))
 
 
+def _steps(sizes: np.ndarray, rows: int, total: int) -> list[tuple[int, int]]:
+    """Cuts of rows: at most ``rows`` of them, and of sizes that come to about ``total``."""
+    held = (np.cumsum(sizes) - 1).clip(0) // total
+    return [(start, min(start + rows, high)) for low, high in _cuts(held) for start in range(low, high, rows)] if len(sizes) else []
+
+
+def _known_words(part: pa.Table, packed: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, word and frequency of the words of the rows that some query has, counted for few words of text at a time."""
+    n_terms = max(len(packed["terms"]), 1)
+    lists = pc.split_pattern(part.column("words").combine_chunks(), " ")
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    # Terms are looked up at once, as every look-up hashes all of them first.
+    place = pc.fill_null(pc.index_in(lists.flatten(), value_set=packed["terms"]), -1).to_numpy()
+    del lists
+    first = np.r_[0, np.cumsum(sizes)]
+    cells, times = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for low, high in _steps(sizes, part.num_rows, TEXT_WORDS):
+        mine = place[first[low] : first[high]]
+        cell, tf = np.unique((np.repeat(np.arange(low, high), sizes[low:high]) * n_terms + mine)[mine >= 0], return_counts=True)
+        cells.append(cell)
+        times.append(tf)
+    cell = np.concatenate(cells)
+    return cell // n_terms, cell % n_terms, np.concatenate(times)
+
+
 def bm25_best(tables: Iterator[pa.Table], packed: dict, k: int, k1: float, b: float, avg_len: float) -> pa.RecordBatch:
     """The k best rows (chunk_id, words: tokens joined by blanks, doc_len) of every packed query that share a word with it."""
     best = _Best(k, len(packed["query_ids"]))
-    n_terms = max(len(packed["terms"]), 1)
     for table in tables:
-        for start in range(0, table.num_rows, STEP_ROWS):
-            part = table.slice(start, STEP_ROWS)
-            lists = pc.split_pattern(part.column("words").combine_chunks(), " ")
-            owner = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
-            place = pc.index_in(lists.flatten(), value_set=packed["terms"])
-            known = np.asarray(place.is_valid())
-            cell, tf = np.unique(owner[known] * n_terms + place.drop_null().to_numpy(), return_counts=True)
-            row, word = cell // n_terms, cell % n_terms
+        for start, stop in _steps(pc.fill_null(table.column("doc_len"), 0).to_numpy(), STEP_ROWS, STEP_WORDS):
+            part = table.slice(start, stop - start)
+            row, word, tf = _known_words(part, packed)
             length = part.column("doc_len").to_numpy()
             weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / avg_len))
             ids = part.column("chunk_id").to_numpy()
             blocks = list(blocks_of(word, row, weight, part.num_rows, packed["groups"]))
+            del row, word, tf, weight
             for group, queries, *entries in packed["blocks"]:
                 left = _lists(packed, *entries)
                 # Rows of the queries' own group first: few others reach their scores.
