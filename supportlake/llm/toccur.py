@@ -12,8 +12,10 @@ Who meets whom is found by two cuts that lose no link (all orders below are glob
 * Of those, by ascending frequency, all but the t - 1 most frequent are routes: linked sets share one.
 
 Routes make families. On every route all sets meet its most central one (a star), in slices that are indexed and searched.
-Routes that still join different components form families of sets; in each, those outside its largest component are indexed in slices
-and all others search them, by portions. Tasks hold a slice and emit links only: no group is capped, and no pairs are written out.
+Sets on routes that still join different components are compared as a whole by the second cut: of their elements only those count that
+sets of two components have, and a set that has fewer than ceil(P x / 100) of these has no link outside its component. The routes of the
+others form families of sets; in each, those outside its largest component are indexed in slices and all others search them, by portions.
+Tasks hold a slice and emit links only: no group is capped, and no pairs are written out.
 """
 
 from __future__ import annotations
@@ -164,10 +166,12 @@ def sign(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def routes(nodes: DataFrame) -> DataFrame:
-    """``route, id`` of ``id, need, heads``: the elements by which a set meets others, each on two sets or more."""
-    entries = nodes.select("id", "need", F.explode("heads").alias("route"))
-    often = entries.groupBy("route").agg(F.count("*").alias("n")).where("n > 1")
-    shared = entries.join(often, "route")
+    """``route, id`` of ``id, need, heads`` and perhaps ``part``: the elements by which a set meets others, each on sets of two parts or more."""
+    part = ["part"] if "part" in nodes.columns else []  # without it each set is a part
+    entries = nodes.select("id", "need", *part, F.explode("heads").alias("route"))
+    unlike = F.min("part") < F.max("part") if part else F.count("*") > 1
+    often = entries.groupBy("route").agg(F.count("*").alias("n"), unlike.alias("unlike")).where("unlike").drop("unlike")
+    shared = entries.select("id", "need", "route").join(often, "route")
     own = Window.partitionBy("id")
     ranked = shared.withColumn("r", F.row_number().over(own.orderBy("n", "route"))).withColumn("all", F.count("*").over(own))
     return ranked.where("r <= all - need + 1").select("route", "id")
@@ -242,6 +246,38 @@ def star_links(met: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return search_slices(members.unionByName(asking).join(texts, "node"), k, percent)
 
 
+def whole_sets(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """``node, part, id, need, heads`` of ``node, part, text``: all elements of a set, and how many it shares with any set it is linked with."""
+    given = rows.select("node", "part", F.xxhash64("node").alias("id"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, z, words in slices(lower_ascii(batch.column("text")), 1 << 20):
+                values, cuts = sets_of(words, k)
+                sizes = np.diff(cuts)
+                need = pa.array(least_overlap(sizes, percent), pa.int64())
+                heads = list_column(values.view(np.int64), sizes, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.slice(a, z - a).column(c) for c in ("node", "part", "id")), need, heads], ["node", "part", "id", "need", "heads"])
+
+    return given.mapInArrow(run, "node binary, part binary, id long, need long, heads array<long>")
+
+
+def unlike_routes(rows: DataFrame) -> DataFrame:
+    """The rows of ``route, node, part`` whose route joins different parts."""
+    unlike = rows.groupBy("route").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("route")
+    return rows.join(unlike, "route")
+
+
+def narrowed(open_rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """``route, node, part`` like ``open_rows``, by whole sets: linked sets of different parts that share a route there share one here.
+
+    Only elements of two parts or more count. Sets that meet by a common passage, or by chance, have too few of them and are left out.
+    """
+    sets = materialize(whole_sets(open_rows.select("node", "part").distinct().join(texts, "node"), k, percent), "toccur-sets")
+    met = routes(sets.select("id", "need", "heads", F.xxhash64("part").alias("part")))
+    return materialize(unlike_routes(met.join(sets.select("id", "node", "part"), "id").select("route", "node", "part")), "toccur-narrowed")
+
+
 def family_links(open_rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """``a, b``: links between different components that share a route. ``open_rows``: ``route, node, part``.
 
@@ -276,29 +312,30 @@ def similarity_components(docs: DataFrame, percent: int = 85, k: int = 4) -> Dat
     """
     signed = materialize(sign(docs, k, percent), "toccur-signed")
     nodes = materialize(
-        signed.where("heads is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value("need").alias("need"), F.any_value("heads").alias("heads"))
+        signed.where("heads is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value("size").alias("size"), F.any_value("need").alias("need"), F.any_value("heads").alias("heads"))
         .withColumn("id", F.xxhash64("node")), "toccur-nodes",
     )
     # Rows carry 64-bit ids; two texts with one id would only both be compared.
     met = materialize(routes(nodes.select("id", "need", "heads")), "toccur-routes")
     counts = met.groupBy("route").agg(F.count("*").alias("n")).where("n > 1")
-    crowd = materialize(met.join(counts, "route").join(nodes.select("id", "node"), "id").select("route", "node", "n"), "toccur-crowd")
+    crowd = materialize(met.join(counts, "route").join(nodes.select("id", "node", "size"), "id").select("route", "node", "size", "n"), "toccur-crowd")
     # The centre of a route is the set whose routes are the fullest: in a group of near copies one with few edits of its own.
     central = crowd.groupBy("node").agg(F.sum("n").alias("weight"))
-    best = crowd.join(central, "node").groupBy("route").agg(F.max(F.struct("weight", "node"))["node"].alias("leader"))
-    members = materialize(crowd.join(best, "route"), "toccur-members")
+    best = crowd.join(central, "node").groupBy("route").agg(F.max(F.struct("weight", "node", "size")).alias("top"))
+    members = materialize(crowd.join(best.select("route", F.col("top.node").alias("leader"), F.col("top.size").alias("leader_size")), "route"), "toccur-members")
 
     firsts = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first_id")
     keyed = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = keyed.join(firsts, (keyed.node == firsts.node) & keyed.doc_id.eqNullSafe(firsts.first_id)).select(keyed.node, "text")
     texts = materialize(texts.groupBy("node").agg(F.max("text").alias("text")), "toccur-texts")
 
-    pairs = members.where("node <> leader").select("leader", "node").distinct()
+    # Sets of sizes that no link allows need not meet.
+    near = F.greatest("size", "leader_size") * percent <= F.least("size", "leader_size") * 100
+    pairs = members.where(near & (F.col("node") != F.col("leader"))).select("leader", "node").distinct()
     stars = materialize(star_links(pairs, texts, k, percent), "toccur-links")
     parts = connected_components(stars)
     placed = members.where("n > 2").join(parts, "node", "left").select("route", "node", F.coalesce("component", "node").alias("part"))
-    unlike = placed.groupBy("route").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("route")
-    open_rows = materialize(placed.join(unlike, "route"), "toccur-open")
+    open_rows = narrowed(materialize(unlike_routes(placed), "toccur-open"), texts, k, percent)
     more = materialize(family_links(open_rows, texts, k, percent), "toccur-more-links")
     # The new links join components of the stars: a small graph of its own.
     place = lambda df, end: df.join(parts.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")

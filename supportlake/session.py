@@ -60,11 +60,20 @@ def remove_run_dirs(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: With this, Spark deletes what a query shuffled at its end; else that stays on disk until the driver happens to collect its garbage.
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame once and read it back: cuts lineage, survives lost executors."""
+    """Write a frame once and read it back: cuts lineage, survives lost executors. What was shuffled for it goes once it is written."""
     spark = df.sparkSession
     path = run_dir(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP_SETTING, "false")
+    spark.conf.set(CLEANUP_SETTING, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

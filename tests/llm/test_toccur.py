@@ -1,11 +1,14 @@
 """The n-gram similarity join against brute force."""
 
+import hashlib
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from supportlake.llm import queries, toccur
+from supportlake.session import CLEANUP_SETTING, materialize
 from tests.llm.common import WORD, edited, empty_table, odd_rows, odd_table, prose, table
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -104,6 +107,29 @@ def test_hot_group_stays_linear(spark, monkeypatch):
     assert got == {0} and sum(seen) < 150 * 20
 
 
+def test_sets_with_a_common_passage_are_no_family(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = prose(rng, 90)
+    texts = [" ".join(passage + prose(rng, 45)) for _ in range(60)]  # sets share two thirds of their elements
+    base = prose(rng, 150)
+    texts += [" ".join(edited(rng, base, 4)) for _ in range(12)]
+    seen = []
+    real = toccur.family_links
+    monkeypatch.setattr(toccur, "family_links", lambda rows, *a: seen.append({bytes(r.node) for r in rows.select("node").collect()}) or real(rows, *a))
+    got = sorted(tuple(r) for r in toccur.similarity_components(table(spark, texts)).collect())
+    assert got == brute_components(texts)
+    assert not seen[0] & {hashlib.md5(t.encode()).digest() for t in texts[:60]}
+
+
+def test_written_tables_leave_nothing_shuffled(spark):
+    held = lambda: set(spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().keys().mkString(",").split(","))
+    counted = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before, setting = held(), spark.conf.get(CLEANUP_SETTING)
+    kept = materialize(counted, "cleaned")
+    assert held() <= before and spark.conf.get(CLEANUP_SETTING) == setting
+    assert sorted(kept.collect()) == sorted(counted.collect())
+
+
 def test_odd_rows_and_empty_table(spark):
     assert toccur.similarity_components(empty_table(spark)).count() == 0
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in toccur.similarity_components(odd_table(spark)).collect())
