@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from supportlake.functions import jsonval as js
 from supportlake.functions import text as tx
+from supportlake.session import materialize
 
 RUN_LOG_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()), T.StructField("conversation_id", T.StringType()), T.StructField("path", T.StringType()),
@@ -23,16 +29,39 @@ RUN_LOG_SCHEMA = T.StructType([
 ])
 
 
-#: A scan deals small files out by an assumed cost of opening them, 32 to a partition; so many tasks a core share them at most.
-TASKS_PER_CORE = 16
+#: Files that a task reads at least, and the most tasks a core has of a folder.
+FILES_PER_TASK, TASKS_PER_CORE = 32, 16
+#: Names listed, and bytes of texts read, that a task hands over at once.
+LISTED, READ_BYTES = 10_000, 1 << 22
 
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """(source, text) for every ``*.md`` file of a folder; none at all is an error.
 
     The source is the file name. Row order is the file name, so sort by it
-    where order matters; nothing is gathered to sort it here.
+    where order matters; nothing is gathered to sort it here. One task lists
+    the folder into a table of names and tasks read what they are dealt of
+    it, so the driver holds no list of files. Names and texts are those of
+    Spark's own scan: no hidden files and no empty ones.
     """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    uri = store.makeQualified(path).toUri()
+    place = uri.getPath() if uri.getScheme() == "file" else uri.toString()
+    if not _is_folder(place):
+        return scan_markdown(spark, folder)
+    listed = materialize(spark.range(0, 1, 1, 1).mapInArrow(_lister(place), "source string, nested boolean"), "markdown-names")
+    n, nested = listed.agg(F.count("source"), F.max("nested")).first()
+    if nested:
+        return scan_markdown(spark, folder)
+    if not n:
+        raise FileNotFoundError(f"no Markdown file in {folder}")
+    parts = min(-(-n // FILES_PER_TASK), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    return listed.where("source is not null").select("source").repartition(parts, "source").mapInArrow(_reader(place), "source string, text string")
+
+
+def scan_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """Like ``read_markdown``, by Spark's own scan: for patterns, partitioned folders and stores that only Spark reads. The driver lists all files."""
     files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     parts = files._jdf.queryExecution().toRdd().getNumPartitions()  # each of a few small files only
     if not parts:
@@ -43,6 +72,90 @@ def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return named.coalesce(most) if parts > most else named
 
 
+def _is_folder(place: str) -> bool:
+    """Whether Python can open a place, a local path or the URI of a store, and it is a folder."""
+    if place.startswith("/"):
+        return os.path.isdir(place)
+    try:
+        store, path = fs.FileSystem.from_uri(place)
+        return store.get_file_info(path).type == fs.FileType.Directory
+    except (pa.ArrowException, OSError):
+        return False
+
+
+def _entries(place: str) -> Iterator[tuple[str, bool, int]]:
+    """(name, is a folder, bytes) of what lies in a folder."""
+    if place.startswith("/"):
+        with os.scandir(place) as found:
+            for entry in found:
+                if entry.is_dir():
+                    yield entry.name, True, 0
+                elif entry.is_file():
+                    yield entry.name, False, entry.stat().st_size
+        return
+    store, path = fs.FileSystem.from_uri(place)
+    for info in store.get_file_info(fs.FileSelector(path)):
+        yield info.base_name, info.type == fs.FileType.Directory, info.size or 0
+
+
+def _is_hidden(name: str) -> bool:
+    """Names that Spark's scans leave out."""
+    if name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _lister(place: str) -> Callable:
+    """A function for tasks: names of the Markdown files of a folder, and whether folders of a partition lie beside them."""
+    def batch(names: list[str], nested: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([*names, None], pa.string()), pa.array([False] * len(names) + [nested])], ["source", "nested"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            names, nested = [], False
+            for name, folder, size in _entries(place):
+                if _is_hidden(name):
+                    continue
+                if folder:
+                    nested |= "=" in name
+                elif size and name.endswith(".md"):
+                    names.append(name)
+                if len(names) >= LISTED:
+                    yield batch(names, nested)
+                    names = []
+            yield batch(names, nested)
+
+    return run
+
+
+def _reader(place: str) -> Callable:
+    """A function for tasks: the files of a folder by their names."""
+    def batch(names: list[str], texts: list[bytes]) -> pa.RecordBatch:
+        # Bytes as they are, like those of Spark's own scan.
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.binary()).view(pa.string())], ["source", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if place.startswith("/"):
+            opened = lambda name: open(f"{place}/{name}", "rb")
+        else:
+            store, path = fs.FileSystem.from_uri(place)
+            opened = lambda name: store.open_input_stream(f"{path}/{name}", compression=None)
+        names, texts, size = [], [], 0
+        for given in batches:
+            for name in given.column("source").to_pylist():
+                with opened(name) as file:
+                    text = file.read()
+                names.append(name)
+                texts.append(text)
+                size += len(text)
+                if size >= READ_BYTES:
+                    yield batch(names, texts)
+                    names, texts, size = [], [], 0
+        yield batch(names, texts)
+
+    return run
+
+
 def read_jsonl(
     spark: SparkSession, path: str, schema: T.StructType, required: tuple[str, ...] = ()
 ) -> tuple[DataFrame, DataFrame]:

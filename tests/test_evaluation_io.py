@@ -129,6 +129,30 @@ def test_markdown_folder(spark, tmp_path):
         files.read_markdown(spark, str(tmp_path / "none"))
 
 
+def test_markdown_files_are_not_listed_by_the_driver(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "LISTED", 7)
+    monkeypatch.setattr(files, "READ_BYTES", 64)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "other.md").write_text("elsewhere")
+    odd = {"a b+ü%20#?.md": "ä\r\n\ufeff😀\n".encode(), "bad.md": b"no \xff utf-8", "_x=1.md": b"kept", **{f"n{i}.md": b"text %d" % i for i in range(60)}}
+    for name, text in {**odd, "empty.md": b"", "_x.md": b"hidden", ".y.md": b"hidden", "z.MD": b"other", "z.md.txt": b"other"}.items():
+        (tmp_path / name).write_bytes(text)
+    def rows(frame):
+        return sorted((r.source, bytes(r.text)) for r in frame.select("source", F.col("text").cast("binary").alias("text")).collect())
+    read = files.read_markdown(spark, str(tmp_path))
+    assert not [f for f in read.inputFiles() if f.endswith(".md")]
+    assert rows(read) == rows(files.scan_markdown(spark, str(tmp_path))) == sorted(odd.items())
+    # Patterns, single files and partitioned folders are left to Spark's scan.
+    assert rows(files.read_markdown(spark, f"{tmp_path}/s*b")) == rows(files.read_markdown(spark, f"{tmp_path}/sub/other.md")) == [("other.md", b"elsewhere")]
+    (tmp_path / "parts" / "lang=en").mkdir(parents=True)
+    (tmp_path / "parts" / "lang=en" / "p.md").write_text("part")
+    assert rows(files.read_markdown(spark, f"file://{tmp_path}/parts")) == [("p.md", b"part")]
+    (tmp_path / "void").mkdir()
+    (tmp_path / "void" / "empty.md").write_text("")
+    with pytest.raises(FileNotFoundError):
+        files.read_markdown(spark, str(tmp_path / "void"))
+
+
 def test_case_files(spark, tmp_path):
     cases = [
         {"id": "a", "steps": [{"kind": "message", "message": "hi"}, {"kind": "confirmation", "approve": True}]}, {"id": "a", "steps": [{"kind": "message", "message": "x"}]},
