@@ -335,8 +335,7 @@ def similarity_components(docs: DataFrame, percent: int = 85, k: int = 4) -> Dat
     stars = materialize(star_links(pairs, texts, k, percent), "toccur-links")
     parts = connected_components(stars)
     placed = members.where("n > 2").join(parts, "node", "left").select("route", "node", F.coalesce("component", "node").alias("part"))
-    open_rows = narrowed(materialize(unlike_routes(placed), "toccur-open"), texts, k, percent)
-    more = materialize(family_links(open_rows, texts, k, percent), "toccur-more-links")
+    more = materialize(family_links(narrowed(unlike_routes(placed), texts, k, percent), texts, k, percent), "toccur-more-links")
     # The new links join components of the stars: a small graph of its own.
     place = lambda df, end: df.join(parts.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
     joined = connected_components(place(place(more, "a"), "b").where("a <> b").distinct())
